@@ -1,0 +1,92 @@
+"""Cross-entropy difference scores (Moore and Lewis, 2010) with byte n-gram models.
+
+A target and a background model of one order, one smoothing and one vocabulary (the 256 byte values and a start) are
+counted over all their documents. A token's loss is its negative log probability; a document's score is the mean, over
+its tokens, of target loss minus background loss: the lower, the more it is like the target.
+
+Counts are added up in Spark by trigram. What a worker holds is two tables of 256 ** 3 probabilities (128 MB) at any
+size of the corpus, and what is broadcast are the counts behind them, at most 256 ** 3 rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from phonolith.llm import words as W
+
+SMOOTHING = 5.0
+
+
+def trigrams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For every byte of texts, the number of its trigram; the two bytes before a text are 0."""
+    one, two = np.zeros(len(data), np.uint32), np.zeros(len(data), np.uint32)
+    one[1:], two[2:] = data[:-1], data[:-2]
+    starts = offsets[:-1][offsets[1:] > offsets[:-1]]
+    one[starts], two[starts] = 0, 0
+    second = starts + 1
+    two[second[second < len(data)]] = 0
+    return two << np.uint32(16) | one << np.uint32(8) | data
+
+
+def log_probabilities(trigram: np.ndarray, count: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """Natural logs for all 256 ** 3 trigrams: each order is smoothed with the one below, the lowest with the uniform."""
+    n3 = np.zeros(1 << 24, np.float32)
+    n3[trigram] = count
+    n3 = n3.reshape(256, 256, 256)
+    n2 = n3.sum(0, dtype=np.float64)
+    n1 = n2.sum(0)
+    p1 = (n1 + smoothing / 256) / (n1.sum() + smoothing)
+    p2 = (n2 + smoothing * p1) / (n2.sum(1, keepdims=True) + smoothing)
+    out = np.empty((256, 256, 256), np.float32)
+    for a in range(256):
+        out[a] = np.log((n3[a] + smoothing * p2) / (n3[a].sum(1, keepdims=True, dtype=np.float64) + smoothing))
+    return out.ravel()
+
+
+def trigram_counts(documents: DataFrame, target: str) -> DataFrame:
+    """``trigram, in_target, in_all``: occurrences in rows where the boolean column ``target`` holds, and in all rows."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                data, offsets = W.raw(part.column("text"))
+                grams = trigrams_of(data, offsets)
+                own = np.repeat(np.array([bool(x) for x in part.column("target").to_pylist()]), np.diff(offsets))
+                every = np.bincount(grams, minlength=1)
+                found = np.flatnonzero(every)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.bincount(grams[own], minlength=len(every))[found]), pa.array(every[found])], ["trigram", "in_target", "in_all"])
+
+    counts = documents.select("text", F.col(target).alias("target")).mapInArrow(rows, "trigram int, in_target bigint, in_all bigint")
+    return counts.groupBy("trigram").agg(F.sum("in_target").alias("in_target"), F.sum("in_all").alias("in_all"))
+
+
+def cross_entropy_difference(documents: DataFrame, target: str, smoothing: float = SMOOTHING) -> DataFrame:
+    """``doc_id, n_tokens, target_loss, background_loss, score`` of every row; losses are means per token (byte).
+
+    ``target`` names a boolean column (null: not in the target). Null and empty texts have no tokens, losses and score
+    0. Without any target row the target model is uniform. Repeated rows count and score each. Other columns are not read.
+    """
+    found = trigram_counts(documents, target).toPandas().sort_values("trigram")
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast((found["trigram"].to_numpy(np.int64), found["in_target"].to_numpy(np.int64), found["in_all"].to_numpy(np.int64)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, in_target, in_all = shared.value
+        logs = [log_probabilities(grams, n, smoothing) for n in (in_target, in_all)]
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                data, offsets = W.raw(part.column("text"))
+                own = trigrams_of(data, offsets)
+                n = np.diff(offsets)
+                losses = []
+                for table in logs:
+                    total = np.concatenate([[0.0], np.cumsum(table[own], dtype=np.float64)])
+                    losses.append(-(total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *map(pa.array, losses), pa.array(losses[0] - losses[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return documents.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
