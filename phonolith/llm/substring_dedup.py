@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonolith.llm import words as W
-from phonolith.llm.store import written
+from phonolith.llm.store import forget, written
 
 _SPAN = "array<struct<start:int,n:int,source:bigint,source_start:int>>"
 
@@ -74,9 +74,9 @@ def _edge_rows(k: int, a: int):
                     continue
                 first = words.first
                 doc = words.doc[at]
-                word = (hashes & np.uint64(0x7FFFFFFF)).astype(np.int32)
-                after = np.where(at + k < first[doc + 1], word[np.minimum(at + k, len(word) - 1)], -1)
-                before = np.where(at > first[doc], word[at - 1], -1)
+                word = (hashes & np.uint64(0x7FFFFFFE)).astype(np.int64) + 1
+                after = np.where(at + k < first[doc + 1], word[np.minimum(at + k, len(word) - 1)], 0)
+                before = np.where(at > first[doc], word[at - 1], 0)
                 second = W.gram_hashes(W.word_hashes(words, 1), k)
                 ids = part.column("doc_id").to_numpy()
                 yield pa.RecordBatch.from_arrays(
@@ -85,10 +85,9 @@ def _edge_rows(k: int, a: int):
                         pa.array(second[at].view(np.int64)),
                         pa.array(ids[doc]),
                         pa.array((at - first[doc]).astype(np.int32)),
-                        pa.array(before.astype(np.int32)),
-                        pa.array(after.astype(np.int32)),
+                        pa.array(before << 32 | after),
                     ],
-                    ["e", "g", "doc", "pos", "prv", "nxt"],
+                    ["e", "g", "doc", "pos", "beside"],
                 )
 
     return rows
@@ -122,7 +121,7 @@ def _cut_rows(k: int):
 def repeated_paths(documents: DataFrame, k: int = 13, a: int = 6) -> tuple[DataFrame, DataFrame]:
     """Occurrences of branch-free paths in texts that are no copies, and every id with the copy it repeats.
 
-    The first table has ``doc, start, n_edges, source, head, head2`` (source: the smallest document with the path), the
+    The first table has ``doc, start, n_edges, source, head`` (source: the smallest document with the path), the
     second ``doc_id, d, copy_of`` (d: a hash of the text; copy_of: null unless a smaller id has the same text).
     """
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
@@ -140,24 +139,22 @@ def repeated_paths(documents: DataFrame, k: int = 13, a: int = 6) -> tuple[DataF
     marked = written(marked.join(originals, "d"), "anchors")
 
     todo = docs.select("doc_id", "d", "text").join(marked, ["doc_id", "d"])
-    edges = todo.select("doc_id", "text", "anchors").mapInArrow(_edge_rows(k, a), "e bigint, g bigint, doc bigint, pos int, prv int, nxt int")
+    edges = todo.select("doc_id", "text", "anchors").mapInArrow(_edge_rows(k, a), "e bigint, g bigint, doc bigint, pos int, beside bigint")
     edges = written(edges, "edges")
+    forget(marked)
 
-    nodes = edges.groupBy("e", "g").agg(
-        F.min("doc").alias("source"),
-        F.max("doc").alias("last"),
-        (F.min("nxt") == F.max("nxt")).alias("one_out"),
-        (F.min("prv") == F.max("prv")).alias("one_in"),
-    )
-    nodes = nodes.where("source <> last").drop("last")
+    # a node is plain if all its occurrences have one word before and one word after
+    nodes = edges.groupBy("e", "g").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), (F.min("beside") == F.max("beside")).alias("plain"))
+    nodes = written(nodes.where("source <> last").drop("last"), "nodes")
     along = Window.partitionBy("doc").orderBy("pos")
-    goes_on = F.lag("one_out").over(along) & F.col("one_in") & (F.lag("pos").over(along) + 1 == F.col("pos"))
-    walked = edges.select("e", "g", "doc", "pos").join(nodes, ["e", "g"]).withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
-    walked = walked.withColumn("path", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(along))
-    paths = walked.groupBy("doc", "path").agg(
-        F.min("pos").alias("start"), F.count("*").cast("int").alias("n_edges"), F.min("source").alias("source"), F.min_by("e", "pos").alias("head"), F.min_by("g", "pos").alias("head2")
-    )
-    return written(paths.drop("path"), "paths"), ids
+    goes_on = F.lag("plain").over(along) & F.col("plain") & (F.lag("pos").over(along) + 1 == F.col("pos"))
+    walked = edges.select("e", "g", "doc", "pos").join(nodes, ["e", "g"]).select("doc", "pos", "source", "plain", F.xxhash64("e", "g").alias("node"))
+    walked = walked.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).withColumn("path", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(along))
+    paths = walked.groupBy("doc", "path").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n_edges"), F.min("source").alias("source"), F.min_by("node", "pos").alias("head"))
+    paths = written(paths.drop("path"), "paths")
+    for used in (edges, nodes):
+        forget(used)
+    return paths, ids
 
 
 def remove_repeated_spans(documents: DataFrame, k: int = 13, a: int = 6) -> DataFrame:
@@ -169,8 +166,8 @@ def remove_repeated_spans(documents: DataFrame, k: int = 13, a: int = 6) -> Data
     """
     paths, ids = repeated_paths(documents, k, a)
     found = paths.where("source < doc")
-    proof = paths.where("source = doc").groupBy("source", "head", "head2").agg(F.min("start").alias("source_start"))
-    spans = found.join(proof, ["source", "head", "head2"], "left").groupBy(F.col("doc").alias("doc_id"))
+    proof = paths.where("source = doc").groupBy("source", "head").agg(F.min("start").alias("source_start"))
+    spans = found.join(proof, ["source", "head"], "left").groupBy(F.col("doc").alias("doc_id"))
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", (F.col("n_edges") + k - 1).alias("n"), "source", "source_start"))).cast(_SPAN).alias("spans"))
     plan = ids.join(spans, "doc_id", "left").where("spans is not null or copy_of is not null")
     texts = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("d"))
