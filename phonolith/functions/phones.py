@@ -155,10 +155,10 @@ def word_color(score: Column) -> Column:
 
 def log_softmax_over(log_probs: Column, allowed: Column) -> Column:
     """Log probabilities of the allowed places (array of booleans) normalised among themselves; others get -1e30."""
-    kept = F.filter(F.arrays_zip(log_probs.alias("lp"), allowed.alias("ok")), lambda x: x["ok"])
-    top = F.array_max(F.transform(kept, lambda x: x["lp"]))
-    total = top + F.log(F.aggregate(kept, F.lit(0.0), lambda s, x: s + F.exp(x["lp"] - top)))
-    return F.zip_with(log_probs, allowed, lambda lp, ok: F.when(ok, lp - total).otherwise(F.lit(-1e30)))
+    # one-element arrays hold the largest value and the total, so that each is computed once
+    kept = F.filter(F.zip_with(log_probs, allowed, lambda lp, ok: F.when(ok, lp)), lambda x: x.isNotNull())
+    both = F.transform(F.array(kept), lambda k: F.transform(F.array(F.array_max(k)), lambda top: top + F.log(F.aggregate(k, F.lit(0.0), lambda s, x: s + F.exp(x - top))))[0])
+    return F.transform(both, lambda total: F.zip_with(log_probs, allowed, lambda lp, ok: F.when(ok, lp - total).otherwise(F.lit(-1e30))))[0]
 
 
 def argmax(values: Column) -> Column:

@@ -24,8 +24,8 @@ def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str,
     both = dots.unionByName(marks, allowMissingColumns=True)
     both = both.withColumns({"_b": F.last("_own", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_own", ignorenulls=True).over(window.rowsBetween(1, Window.unboundedFollowing))})
     before, after = F.greatest(F.lit(0), F.col(at) - F.col("_b.e")), F.col("_a.s") - F.col(at)
-    pick = F.when(F.col("_a").isNull() | (before <= after), F.col("_b")).otherwise(F.col("_a"))
-    return both.where("_kind = 1").withColumn("_pick", pick).withColumns({name: F.col("_pick.n"), "distance": F.when(F.col("_pick.s") == F.col("_a.s"), after).otherwise(before)}).drop("_t", "_kind", "_own", "_b", "_a", "_pick")
+    pick = F.when(F.col("_a").isNull() | (F.col("_b").isNotNull() & (before <= after)), F.col("_b")).otherwise(F.col("_a"))
+    return both.where("_kind = 1").withColumn("_pick", pick).withColumns({name: F.col("_pick.n"), "distance": F.when(F.coalesce(F.col("_pick.s") == F.col("_a.s"), F.lit(False)), after).otherwise(before)}).drop("_t", "_kind", "_own", "_b", "_a", "_pick")
 
 
 def paired(rows: DataFrame, keys: list[str], version: str, value: Column, versions: tuple[str, str]) -> DataFrame:

@@ -67,9 +67,9 @@ class Detector:
             ]
         ).fit(data.where("_fold <> 0"))
         held = self.model.transform(data.where("_fold = 0")).withColumn("raw", vector_to_array("probability")[1])
-        self.calibration = IsotonicRegression(featuresCol="raw", labelCol="_label").fit(held)
+        self.calibration = IsotonicRegression(featuresCol="raw", labelCol="_label", predictionCol="calibrated").fit(held)
         return self
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         raw = self.model.transform(self._flagged(rows)).withColumn("raw", vector_to_array("probability")[1])
-        return self.calibration.transform(raw).withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))))
+        return self.calibration.transform(raw).withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))))

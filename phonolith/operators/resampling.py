@@ -23,7 +23,7 @@ def resample(units: DataFrame, unit: str, n_resamples: int, seed: int) -> DataFr
     """
     numbered = units.withColumn("_place", (F.row_number().over(Window.orderBy(unit)) - 1).cast("bigint"))
     slots = numbered.select(F.col("_place").alias("_slot"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    draws = slots.select("_slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).cast("bigint").alias("replicate"))
+    draws = slots.select("_slot", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_resamples - 1).cast("bigint"))).alias("replicate"))
     return draws.select("replicate", draw(F.col("replicate"), F.col("_slot"), F.col("_n"), seed).alias("_place")).join(numbered, "_place").drop("_place")
 
 

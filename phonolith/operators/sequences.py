@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phonolith.functions.lazy import pandas_function
 from phonolith.operators import kernels as K
 
 OPS = "array<struct<kind:string,expected:string,heard:string,exp_pos:int,heard_pos:int>>"
@@ -21,7 +22,7 @@ def _ops(ops: Sequence[K.Op]) -> list[dict]:
     return [vars(o) for o in ops]
 
 
-@F.pandas_udf(OPS)
+@pandas_function(OPS)
 def _align(expected: pd.Series, heard: pd.Series, flags: pd.Series) -> pd.Series:
     return pd.Series([_ops(K.align(list(e), list(h), list(f) if f is not None else None)) if e is not None and h is not None else None for e, h, f in zip(expected, heard, flags, strict=True)], dtype=object)
 
@@ -45,36 +46,36 @@ def edit_cost(ops: Column) -> Column:
     return F.aggregate(ops, F.lit(0.0), lambda s, o: s + one(o))
 
 
-@F.pandas_udf("array<array<string>>")
+@pandas_function("array<array<string>>")
 def align_words(expected: pd.Series, heard: pd.Series, flags: pd.Series) -> pd.Series:
     """The heard word of each expected word; null where one was skipped."""
     plain = lambda x: [list(w) for w in x]
     return pd.Series([K.align_words(plain(e), plain(h), list(f)) for e, h, f in zip(expected, heard, flags, strict=True)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@pandas_function("array<string>")
 def narrow_to_broad(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else K.narrow_to_broad(w))
 
 
-@F.pandas_udf("struct<found:int,exact:int>")
+@pandas_function("struct<found:int,exact:int>")
 def match_errors(expert: pd.Series, ours: pd.Series) -> pd.DataFrame:
     """Errors as arrays of (kind, expected, heard)."""
     key = lambda x: [(i["kind"], i["expected"], i["heard"]) for i in x]
     return pd.DataFrame([K.match_errors(key(e), key(o)) for e, o in zip(expert, ours, strict=True)], columns=["found", "exact"])
 
 
-@F.pandas_udf("struct<ta:int,fr:int,fa:int,tr:int,diagnosed:int>")
+@pandas_function("struct<ta:int,fr:int,fa:int,tr:int,diagnosed:int>")
 def mdd_counts(canonical: pd.Series, annotated: pd.Series, predicted: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([K.mdd_counts(list(c), list(a), list(p)) for c, a, p in zip(canonical, annotated, predicted, strict=True)])
 
 
-@F.pandas_udf("struct<scores:array<double>,stats:map<string,int>>")
+@pandas_function("struct<scores:array<double>,stats:map<string,int>>")
 def transfer_labels(expected: pd.Series, arpabet: pd.Series, scores: pd.Series, function: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([K.transfer_labels(list(e), list(a), list(s), bool(f)) for e, a, s, f in zip(expected, arpabet, scores, function, strict=True)], columns=["scores", "stats"])
 
 
-@F.pandas_udf("struct<ok:boolean,reason:string,tokens:array<string>,expected:array<string>,perceived:array<string>,accented:int>")
+@pandas_function("struct<ok:boolean,reason:string,tokens:array<string>,expected:array<string>,perceived:array<string>,accented:int>")
 def build_target(words: pd.Series, raw: pd.Series) -> pd.DataFrame:
     """words: array of (text, phones: array of parsed labels); raw: expected tokens by word."""
     rows = [K.build_target([{"text": w["text"], "phones": list(w["phones"])} for w in ws], [list(t) for t in r]) for ws, r in zip(words, raw, strict=True)]
@@ -88,7 +89,7 @@ def matrix(flat, n_vocab: int) -> np.ndarray:
 def greedy_decode(log_probs: Column, n_vocab: Column, blank: int = 0, ignore: Sequence[int] = ()) -> Column:
     """(token, first frame) of the runs of the best token; log_probs are row-major."""
 
-    @F.pandas_udf("array<struct<token:int,frame:int>>")
+    @pandas_function("array<struct<token:int,frame:int>>")
     def run(values: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([[{"token": a, "frame": b} for a, b in K.greedy_decode(matrix(v, k), blank, ignore)] for v, k in zip(values, n, strict=True)], dtype=object)
 
@@ -98,7 +99,7 @@ def greedy_decode(log_probs: Column, n_vocab: Column, blank: int = 0, ignore: Se
 def forced_align(log_probs: Column, n_vocab: Column, targets: Column, blank: int = 0) -> Column:
     """(start, end, lpp, lpr) of each target; null without a path."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,lpp:double,lpr:double>>")
+    @pandas_function("array<struct<start:int,end:int,lpp:double,lpr:double>>")
     def run(values: pd.Series, n: pd.Series, tokens: pd.Series) -> pd.Series:
         out = []
         for v, k, t in zip(values, n, tokens, strict=True):

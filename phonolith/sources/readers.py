@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phonolith.functions.lazy import pandas_function
+
 MANIFEST = "id string, speaker string, l1 string, gender string, audio string, seconds double, text string, tokens array<string>, canonical array<string>, expected array<string>, perceived array<string>, function array<boolean>, errors array<array<string>>"
 SYSTEM = "name string, recognizer string, decision string, settings struct<gop_threshold:double,pattern_threshold:double,w_margin_threshold:double,hidden_thresholds:map<string,double>>"
 
@@ -78,7 +80,7 @@ def to_model_input(samples: np.ndarray, rate: int, target: int = 16_000) -> np.n
     return x
 
 
-@F.pandas_udf("array<float>")
+@pandas_function("array<float>")
 def decode_wave(content: pd.Series) -> pd.Series:
     """PCM wave files as model input; null for other bytes."""
 
