@@ -7,17 +7,22 @@ place with what follows it, so the ids of the pieces, one after the other, are t
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from phonolith.llm import words as W
 
-_PIECES = 400_000  # pieces that a process remembers
+_PIECES = 2_000_000  # pieces that a process remembers, at about 40 bytes each
+_SHORT = 64  # bytes of a piece that is worth remembering
 
 
 class Encoder:
-    """Encodes Arrow string arrays with a tokenizer file. One for each process and file: see ``encoder()``."""
+    """Encodes Arrow string arrays with a tokenizer file. One for each process and file: see ``encoder()``.
+
+    Known pieces are kept in NumPy arrays, under two independent 64-bit hashes of their bytes, in order of the first.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -27,19 +32,37 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        self.first, self.second, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.ids, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
 
-    def _add(self, pieces: list[str]) -> None:
+    def _add(self, pieces: list[str]) -> np.ndarray:
+        """Encode pieces; their numbers among the ids."""
         encoded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32)
-        used = self.ends[-1]
+        flat = np.fromiter(chain.from_iterable(encoded), np.uint32)
+        used, before = self.ends[-1], len(self.ends) - 1
         if used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:used], np.empty(2 * (used + len(flat)), np.uint32)])
+            self.ids = np.concatenate([self.ids[:used], np.empty(used // 2 + 2 * len(flat), np.uint32)])
         self.ids[used : used + len(flat)] = flat
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.ends = np.concatenate([self.ends, used + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))])
+        return before + np.arange(len(pieces))
+
+    def _numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each of the distinct pieces; new ones are encoded, short ones remembered."""
+        data, offsets = W.raw(distinct)
+        pieces = W.Words(data, offsets, offsets[:-1], offsets[1:], np.empty(0, np.int64))
+        first, second = W.word_hashes(pieces), W.word_hashes(pieces, 1)
+        at = np.minimum(np.searchsorted(self.first, first), max(len(self.first) - 1, 0))
+        known = (self.first[at] == first) & (self.second[at] == second) if len(self.first) else np.zeros(len(first), bool)
+        out = np.empty(len(first), np.int64)
+        out[known] = self.number[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = self._add(distinct.take(pa.array(new)).to_pylist())
+            keep = new[np.diff(offsets)[new] <= _SHORT]
+            merged = [np.concatenate(x) for x in ((self.first, first[keep]), (self.second, second[keep]), (self.number, out[keep]))]
+            order = np.argsort(merged[0], kind="stable")
+            self.first, self.second, self.number = (x[order] for x in merged)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each text; null counts as empty."""
@@ -54,12 +77,9 @@ class Encoder:
         cuts = np.flatnonzero(cut)
         pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > _PIECES:
+        if len(self.ends) > _PIECES:
             self._clear()
-        if new := [x for x in distinct if x not in self.known]:
-            self._add(new)
-        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        number = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         starts, lengths = self.ends[number], self.ends[number + 1] - self.ends[number]
         to = np.cumsum(lengths) - lengths
         ids = self.ids[np.repeat(starts - to, lengths) + np.arange(lengths.sum())]
