@@ -84,7 +84,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target model is of the documents labelled as good and not toxic, the background model of all documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id").distinct()
-    docs = documents(spark, sf_dir).select("doc_id", "text").join(labels.withColumn("good", F.lit(True)), "doc_id", "left")
+    # labels grow with the documents, so they are never broadcast
+    docs = documents(spark, sf_dir).select("doc_id", "text").join(labels.withColumn("good", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
     return scoring.cross_entropy_difference(docs, "good")
 
 
