@@ -21,7 +21,7 @@ from phonolith.llm import words as W
 from phonolith.llm.store import written
 from phonolith.llm.tokens import encoder, with_end
 
-OPEN_WINDOWS, MERGE_PIECES = 256, 20_000
+OPEN_WINDOWS, MERGE_PIECES = 256, 8_000
 _COLUMNS = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 

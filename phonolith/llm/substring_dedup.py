@@ -167,6 +167,7 @@ def remove_repeated_spans(documents: DataFrame, k: int = 13, a: int = 6) -> Data
     paths, ids = repeated_paths(documents, k, a)
     found = paths.where("source < doc")
     proof = paths.where("source = doc").groupBy("source", "head").agg(F.min("start").alias("source_start"))
+    proof = written(proof, "proof")  # so that the join deals both sides anew, and a hot path is split
     spans = found.join(proof, ["source", "head"], "left").groupBy(F.col("doc").alias("doc_id"))
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", (F.col("n_edges") + k - 1).alias("n"), "source", "source_start"))).cast(_SPAN).alias("spans"))
     plan = ids.join(spans, "doc_id", "left").where("spans is not null or copy_of is not null")
