@@ -59,8 +59,10 @@ def _uint(name: int, n: int) -> bytes:
 
 
 def _block(frames: list[bytes], at: int, number: int) -> bytes:
-    """A SimpleBlock at a time relative to its cluster; the kind of lacing takes turns."""
+    """A SimpleBlock at a time relative to its cluster; the kind of lacing takes turns (fixed only for equal frames)."""
     kind = 0 if len(frames) == 1 else (2, 3, 1)[number % 3]
+    if kind == 2 and len({*map(len, frames)}) > 1:
+        kind = 3
     out = vint(1) + struct.pack(">hB", at, 0x80 | kind << 1)
     if kind:
         out += bytes([len(frames) - 1])

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from phonolith.llm import words as W
 
-_PIECES = 2_000_000  # pieces that a process remembers, at about 40 bytes each
+_PIECES = 1_000_000  # pieces that a process remembers, at about 40 bytes each
 _SHORT = 64  # bytes of a piece that is worth remembering
 
 
@@ -59,9 +59,9 @@ class Encoder:
         if len(new):
             out[new] = self._add(distinct.take(pa.array(new)).to_pylist())
             keep = new[np.diff(offsets)[new] <= _SHORT]
-            merged = [np.concatenate(x) for x in ((self.first, first[keep]), (self.second, second[keep]), (self.number, out[keep]))]
-            order = np.argsort(merged[0], kind="stable")
-            self.first, self.second, self.number = (x[order] for x in merged)
+            keep = keep[np.argsort(first[keep], kind="stable")]
+            place = np.searchsorted(self.first, first[keep])
+            self.first, self.second, self.number = (np.insert(old, place, more) for old, more in ((self.first, first[keep]), (self.second, second[keep]), (self.number, out[keep])))
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
