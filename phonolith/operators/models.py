@@ -25,7 +25,7 @@ def fit_scorer(rows: DataFrame, features: list[str], label: str, group: str, n_f
     data = rows.withColumn("_fold", fold_of(group, n_folds)).select(*features, label, "_fold").cache()
     assemble = VectorAssembler(inputCols=features, outputCol="x")
     ridge = LinearRegression(featuresCol="z", labelCol=label, elasticNetParam=0.0)
-    trees = GBTRegressor(featuresCol="x", labelCol=label, maxIter=10, maxDepth=3, seed=1)
+    trees = GBTRegressor(featuresCol="x", labelCol=label, maxIter=5, maxDepth=3, seed=1)
     base = LinearRegression(featuresCol="x1", labelCol=label)
     candidates = {
         "baseline": (Pipeline(stages=[VectorAssembler(inputCols=features[:1], outputCol="x1"), base]), ParamGridBuilder().build()),
@@ -34,7 +34,7 @@ def fit_scorer(rows: DataFrame, features: list[str], label: str, group: str, n_f
     }
     fitted, quality = {}, {}
     for name, (pipeline, grid) in candidates.items():
-        cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="r2"), foldCol="_fold", numFolds=n_folds)
+        cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="r2"), foldCol="_fold", numFolds=n_folds, parallelism=4)
         fitted[name] = cv.fit(data)
         quality[name] = max(fitted[name].avgMetrics)
     data.unpersist()
