@@ -77,7 +77,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, length: int = 1024,
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "closed"])
 
         for whole in batches:
-            for run in W.slices(whole, "text", 4 << 20):
+            for run in W.slices(whole, "text", 2 << 20):
                 ids, offsets = with_end(*encoder(tokenizer).encode(run.column("text")), end_id)
                 for k, doc_id in enumerate(run.column("doc_id").to_pylist()):
                     own = ids[offsets[k] : offsets[k + 1]]

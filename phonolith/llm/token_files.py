@@ -96,7 +96,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, seq, len(held), sum(len(i) for _, i in held))] + [pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "file"])
 
         for batch in batches:
-            for run in W.slices(batch, "text", 4 << 20):
+            for run in W.slices(batch, "text", 2 << 20):
                 ids, offsets = with_end(*encoder(tokenizer).encode(run.column("text")), end_id)
                 if ids.max(initial=0) >> 8 * width:
                     raise OverflowError(f"an id needs more than {width} bytes")

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from phonolith.llm import words as W
 
-_PIECES = 1_000_000  # pieces that a process remembers, at about 40 bytes each
+_PIECES = 2_000_000  # pieces that a process remembers, at about 30 bytes each
 _SHORT = 64  # bytes of a piece that is worth remembering
 
 
@@ -29,22 +29,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
-        self.first, self.second, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.ids, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
+        self.first, self.second, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.ids, self.ends = np.empty(1 << 16, self.kind), np.zeros(1, np.int32)
 
     def _add(self, pieces: list[str]) -> np.ndarray:
         """Encode pieces; their numbers among the ids."""
         encoded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32)
+        flat = np.fromiter(chain.from_iterable(encoded), self.kind)
         used, before = self.ends[-1], len(self.ends) - 1
         if used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:used], np.empty(used // 2 + 2 * len(flat), np.uint32)])
+            self.ids = np.concatenate([self.ids[:used], np.empty(used // 4 + 2 * len(flat), self.kind)])
         self.ids[used : used + len(flat)] = flat
-        self.ends = np.concatenate([self.ends, used + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))])
-        return before + np.arange(len(pieces))
+        self.ends = np.concatenate([self.ends, used + np.cumsum(np.fromiter(map(len, encoded), np.int32, len(encoded)), dtype=np.int32)])
+        return (before + np.arange(len(pieces))).astype(np.int32)
 
     def _numbers(self, distinct: pa.Array) -> np.ndarray:
         """The number of each of the distinct pieces; new ones are encoded, short ones remembered."""
@@ -53,7 +54,7 @@ class Encoder:
         first, second = W.word_hashes(pieces), W.word_hashes(pieces, 1)
         at = np.minimum(np.searchsorted(self.first, first), max(len(self.first) - 1, 0))
         known = (self.first[at] == first) & (self.second[at] == second) if len(self.first) else np.zeros(len(first), bool)
-        out = np.empty(len(first), np.int64)
+        out = np.empty(len(first), np.int32)
         out[known] = self.number[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
@@ -81,8 +82,8 @@ class Encoder:
             self._clear()
         number = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         starts, lengths = self.ends[number], self.ends[number + 1] - self.ends[number]
-        to = np.cumsum(lengths) - lengths
-        ids = self.ids[np.repeat(starts - to, lengths) + np.arange(lengths.sum())]
+        to = np.cumsum(lengths, dtype=np.int64) - lengths
+        ids = self.ids[np.repeat(starts - to, lengths) + np.arange(lengths.sum())].astype(np.uint32)
         total = np.append(to, lengths.sum())[np.searchsorted(cuts, offsets)]
         return ids, np.diff(total)
 

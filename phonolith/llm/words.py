@@ -36,7 +36,7 @@ class Words:
         return np.searchsorted(self.doc, np.arange(len(self.offsets)))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most`` bytes of text; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     run = (np.cumsum(sizes.astype(np.int64)) - sizes) // most
@@ -80,7 +80,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _table(name: str, base: int, n: int) -> np.ndarray:
     if len(_powers.get(name, ())) < n:
-        table = np.full(max(n, 1 << 18), base % (1 << 64), np.uint64)
+        table = np.full(n + n // 4 + 1, base % (1 << 64), np.uint64)
         table[0] = 1
         _powers[name] = np.multiply.accumulate(table)
     return _powers[name]
