@@ -56,7 +56,7 @@ ARPABET = dict(
 UNSTRESSED = {"AH": "ə", "ER": "ɚ"}
 ACCENTED = {"R": "ɾ"}
 SILENCE = ("", "sil", "sp", "spn")
-STOPS, FRICATIVES, AFFRICATES, NASALS, LIQUIDS, GLIDES = "p b t d k ɡ ʔ t̪ d̪ c ɟ", "f v θ ð s z ʃ ʒ h x β ɣ ç ɬ", "tʃ dʒ", "m n ŋ n̩", "l l̩ ɹ r ɾ ɫ", "w j"
+STOPS, FRICATIVES, AFFRICATES, NASALS, LIQUIDS, GLIDES = "p b t d k ɡ ʔ ɾ", "f v θ ð s z ʃ ʒ h x ç ɣ β", "tʃ dʒ", "m n ŋ n̩", "l ɹ r ɫ l̩", "w j"
 VOICED = "b d ɡ v ð z ʒ dʒ m n ŋ n̩ l l̩ ɹ r ɾ w j β ɣ"
 # narrow transcription: marks that change no sound, single letters, sounds of several letters, vowels only long
 NARROW_MARKS = "ˈˌːˑʰʲʷˠˀ˺" + "".join(map(chr, (0x31A, 0x303, 0x306, 0x325, 0x32C, 0x32A, 0x33A, 0x33B, 0x33C, 0x31D, 0x31E, 0x31F, 0x320, 0x318, 0x319, 0x339, 0x31C, 0x308, 0x33D, 0x32F, 0x35C, 0x361, 0x203F)))

@@ -129,6 +129,20 @@ def apply_rules(phonemes: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), rules, phonemes)
 
 
+def as_symbols(a: Column, b: Column) -> tuple[Column, Column]:
+    """Two sequences as strings with one character for each different sound of the pair, for ``levenshtein``. Up to 6400
+    different sounds in a pair; more are an error."""
+    alphabet = F.lit("".join(map(chr, range(0xE000, 0xF900))))
+    known = F.array_distinct(F.concat(a, b))
+    code = lambda x: F.when(F.size(known) <= 6400, F.array_join(F.transform(x, lambda p: F.substring(alphabet, F.array_position(known, p).cast("int"), F.lit(1))), "")).otherwise(F.raise_error(F.lit("too many different sounds")))
+    return code(a), code(b)
+
+
+def sentence_of(choice: Column) -> Column:
+    """A practice sentence without the remark after its dot."""
+    return F.coalesce(F.split_part(choice, F.lit("  ·  "), F.lit(1)), F.lit(""))
+
+
 def speaker_group(speaker: Column) -> Column:
     return F.regexp_replace(speaker, "[0-9]+$", "")
 
@@ -149,8 +163,14 @@ def word_score(ops: Column, n_expected: Column) -> Column:
     return F.coalesce(F.try_divide(count("match"), n_expected + count("ins")), F.lit(1.0))
 
 
-def word_color(score: Column) -> Column:
-    return F.when(score >= 0.9, "green").when(score >= 0.6, "yellow").otherwise("red")
+def word_color(issues: Column, score: Column) -> Column:
+    """How a word is shown by the rules: green without a report, else by its score."""
+    return F.when(F.size(issues) == 0, "green").when(score >= 0.6, "amber").otherwise("red")
+
+
+def level_color(level: Column) -> Column:
+    """How a word is shown with the learned detector."""
+    return F.coalesce(F.when(level == "red", "red").when(level == "yellow", "amber"), F.lit("green"))
 
 
 def log_softmax_over(log_probs: Column, allowed: Column) -> Column:

@@ -27,6 +27,42 @@ def resample(units: DataFrame, unit: str, n_resamples: int, seed: int) -> DataFr
     return draws.select("replicate", draw(F.col("replicate"), F.col("_slot"), F.col("_n"), seed).alias("_place")).join(numbered, "_place").drop("_place")
 
 
+def resample_within(units: DataFrame, by: list[str], unit: str, n_resamples: int, seed: int) -> DataFrame:
+    """Like ``resample()`` for the units of each group on their own, all groups in one job."""
+    own = Window.partitionBy(*by)
+    numbered = units.withColumns({"_place": (F.row_number().over(own.orderBy(unit)) - 1).cast("bigint"), "_n": F.count("*").over(own)})
+    replicates = F.sequence(F.lit(0).cast("bigint"), F.lit(n_resamples - 1).cast("bigint"))
+    draws = numbered.select(*by, F.col("_place").alias("_slot"), "_n", F.explode(replicates).alias("replicate"))
+    picked = draws.select(*by, "replicate", draw(F.col("replicate"), F.col("_slot"), F.col("_n"), seed).alias("_place"))
+    return picked.join(numbered.drop("_n"), [*by, "_place"]).drop("_place")
+
+
+def bootstrap_by(units: DataFrame, by: list[str], unit: str, statistics: dict[str, Column], n_resamples: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """For each group the interval of every statistic, all over the same draws: by, ``<name>_low``, ``<name>_high``."""
+    tail = (1 - level) / 2
+    each = resample_within(units, by, unit, n_resamples, seed).groupBy(*by, "replicate").agg(*[s.cast("double").alias(n) for n, s in statistics.items()])
+    ends = [F.percentile(n, F.lit(q)).alias(f"{n}_{e}") for n in statistics for e, q in (("low", tail), ("high", 1 - tail))]
+    return each.groupBy(*by).agg(*ends)
+
+
+def auc_interval(rows: DataFrame, unit: str, score: str, wrong: Column, n_resamples: int = 2000, seed: int = 1) -> DataFrame:
+    """``auc, low, high``: area under the ROC curve of a score and its interval over resampled speakers (units). Resamples
+    of one class are skipped; null without both classes.
+
+    Rows become counts for each speaker and score first; a resample is a weight of each speaker.
+    """
+    steps = rows.where(F.col(score).isNotNull()).groupBy(unit, F.col(score).alias("_x")).agg(F.count_if(wrong).alias("p"), F.count_if(~wrong).alias("n"))
+    weights = resample(steps.select(unit).distinct(), unit, n_resamples, seed).groupBy(unit, "replicate").agg(F.count("*").alias("w"))
+    every = steps.withColumns({"replicate": F.lit(-1).cast("bigint"), "w": F.lit(1).cast("bigint")})
+    drawn = steps.join(weights, unit).select(*every.columns).unionByName(every)
+    sums = drawn.groupBy("replicate", "_x").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("replicate").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = sums.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    each = won.groupBy("replicate").agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
+    again = F.when(F.col("replicate") >= 0, F.col("auc"))
+    return each.agg(F.max(F.when(F.col("replicate") < 0, F.col("auc"))).alias("auc"), F.percentile(again, F.lit(0.025)).alias("low"), F.percentile(again, F.lit(0.975)).alias("high"))
+
+
 def bootstrap_ci(units: DataFrame, unit: str, statistic: Column, n_resamples: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:
     """``low, high``: the interval of an aggregate over resampled units."""
     tail = (1 - level) / 2
@@ -68,3 +104,23 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     n_classes = counts.agg(F.count("*").alias("_k"))
     return rows.join(counts.crossJoin(n_classes), label).withColumn("weight", 1.0 / (F.col("_n") * F.col("_k"))).drop("_n", "_k")
+
+
+def pick_per_stratum(rows: DataFrame, strata: list[str], member: str, order: Column, n: int) -> DataFrame:
+    """n members of each stratum (all of a smaller one), the first by ``order``."""
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(order, member))
+    return rows.withColumn("_k", rank).where(F.col("_k") <= n).drop("_k")
+
+
+def balanced_draws(rows: DataFrame, label: str, member: str, n: int, seed: int = 1) -> DataFrame:
+    """An epoch of about n rows in which every class comes as often: the rows used, with ``copies``.
+
+    Each member of a class gets the whole part of its share of n / classes, and those whose hash comes first one more.
+    """
+    own = Window.partitionBy(label)
+    classes = rows.agg(F.count_distinct(label).alias("_c"))  # one row
+    rank = F.row_number().over(own.orderBy(F.xxhash64(F.col(member), F.lit(seed)), member)) - 1
+    placed = rows.withColumns({"_k": rank, "_n": F.count("*").over(own)}).crossJoin(F.broadcast(classes))
+    quota = F.floor(F.lit(n) / F.col("_c"))
+    copies = F.floor(quota / F.col("_n")) + F.when(F.col("_k") < F.pmod(quota, F.col("_n")), 1).otherwise(0)
+    return placed.withColumn("copies", copies).where("copies > 0").drop("_k", "_n", "_c")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from phonolith.functions.lazy import pandas_function
 from phonolith.operators import kernels as K
+from phonolith.operators.sounds import SOUNDS, sound_measures
 
 OPS = "array<struct<kind:string,expected:string,heard:string,exp_pos:int,heard_pos:int>>"
 ISSUES = "array<struct<word_index:int,kind:string,expected:string,heard:string,tip:string,message:string,hidden:boolean>>"
@@ -66,8 +67,35 @@ def match_errors(expert: pd.Series, ours: pd.Series) -> pd.DataFrame:
 
 
 @pandas_function("struct<ta:int,fr:int,fa:int,tr:int,diagnosed:int>")
-def mdd_counts(canonical: pd.Series, annotated: pd.Series, predicted: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([K.mdd_counts(list(c), list(a), list(p)) for c, a, p in zip(canonical, annotated, predicted, strict=True)])
+def _mdd_counts(canonical: pd.Series, annotated: pd.Series, predicted: pd.Series, flags: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([K.mdd_counts(list(c), list(a), list(p), list(f) if f is not None else None) for c, a, p, f in zip(canonical, annotated, predicted, flags, strict=True)], columns=["ta", "fr", "fa", "tr", "diagnosed"])
+
+
+def mdd_counts(canonical: Column, annotated: Column, predicted: Column, flags: Column | None = None) -> Column:
+    """Counts of a sentence; flags: which expected sounds are in function words."""
+    return _mdd_counts(canonical, annotated, predicted, F.lit(None).cast("array<boolean>") if flags is None else flags)
+
+
+@pandas_function("struct<annotated:array<string>,predicted:array<string>>")
+def _states(canonical: pd.Series, annotated: pd.Series, predicted: pd.Series, flags: pd.Series) -> pd.DataFrame:
+    rows = [[K.phone_states(list(c), list(x), list(f) if f is not None else None)[0] for x in (a, p)] for c, a, p, f in zip(canonical, annotated, predicted, flags, strict=True)]
+    return pd.DataFrame(rows, columns=["annotated", "predicted"])
+
+
+def phone_states(canonical: Column, annotated: Column, predicted: Column, flags: Column | None = None) -> Column:
+    """For each expected sound what the annotation and the prediction made of it: null (nothing wrong), '' (missing) or
+    another sound."""
+    return _states(canonical, annotated, predicted, F.lit(None).cast("array<boolean>") if flags is None else flags)
+
+
+@pandas_function("struct<wrong:boolean,errors:array<struct<kind:string,expected:string,heard:string,tip:string,hidden:boolean>>>")
+def expert_label(text: pd.Series, expected: pd.Series, heard: pd.Series) -> pd.DataFrame:
+    """What an expert heard in one word, by the rules of the feedback; ``wrong`` is null for a skipped word."""
+    rows = []
+    for word, own, said in zip(text, expected, heard, strict=True):
+        issues = [] if said is None else K.compare([word], [list(own)], list(said))[0].issues
+        rows.append({"wrong": None if said is None else bool(issues), "errors": [{k: i[k] for k in ("kind", "expected", "heard", "tip", "hidden")} for i in issues]})
+    return pd.DataFrame(rows, columns=["wrong", "errors"]).astype({"wrong": object})
 
 
 @pandas_function("struct<scores:array<double>,stats:map<string,int>>")
@@ -111,16 +139,18 @@ def forced_align(log_probs: Column, n_vocab: Column, targets: Column, blank: int
     return run(log_probs, n_vocab, targets)
 
 
-def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, special: Sequence[int] = (0, 1, 2, 3), **settings) -> DataFrame:
+def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, special: Sequence[int] = (0, 1, 2, 3), sounds: bool = False, **settings) -> DataFrame:
     """Utterances with what was heard of them: ``heard, words, features, tips, phone_accuracy, aligned``.
 
     utterances: ``words`` (array of strings), ``raw`` (their expected tokens), ``log_probs`` (row-major), ``seconds``.
+    With ``sounds`` there are also the measures of each expected sound (see ``detector``).
     settings: gop, pattern, w_margin, hidden, as ``kernels.analyze()`` takes them. One pass without a shuffle; the
     matrices don't come back. Raises ValueError for an utterance without words.
     """
     kept = [f for f in utterances.schema if f.name not in ("log_probs", "raw", "words")]
     names = ", ".join(f"{f}:double" for f in K.FEATURES)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"heard array<string>, words {WORDS}, features struct<{names}>, tips array<string>, phone_accuracy double, aligned boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"heard array<string>, words {WORDS}, features struct<{names}>, tips array<string>, phone_accuracy double, aligned boolean", *([f"sounds {SOUNDS}"] if sounds else [])])
+    columns = [*(f.name for f in kept), "heard", "words", "features", "tips", "phone_accuracy", "aligned", *(["sounds"] if sounds else [])]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,7 +159,9 @@ def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, sp
                 a = K.analyze(list(u["words"]), [list(r) for r in u["raw"]], matrix(u["log_probs"], len(vocabulary)), vocabulary, u["seconds"], blank, special, **settings)
                 words = [{**{k: getattr(w, k) for k in ("text", "expected", "issues", "dismissed", "gop", "score", "w_margin", "w_rival", "w_pos", "rivals")}, "ops": _ops(w.ops)} for w in a["words"]]
                 out.append({**{f.name: u[f.name] for f in kept}, "heard": a["heard"], "words": words, "features": a["features"], "tips": a["tips"], "phone_accuracy": a["phone_accuracy"], "aligned": a["spans"] is not None})
-            yield pd.DataFrame(out, columns=[*(f.name for f in kept), "heard", "words", "features", "tips", "phone_accuracy", "aligned"])
+                if sounds:
+                    out[-1]["sounds"] = sound_measures(list(u["words"]), [list(r) for r in u["raw"]], a, vocabulary, blank)
+            yield pd.DataFrame(out, columns=columns)
 
     return utterances.mapInPandas(rows, schema)
 

@@ -45,7 +45,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def textgrid_tiers(text: Column) -> Column:
     """Interval tiers of a Praat TextGrid: map of name to array of (xmin, xmax, text); a doubled quote is one."""
-    block = F.transform(F.slice(F.split(text, r"item \[\d+\]:"), 2, 1000), lambda b: b)
+    items = F.split(text, r"item \[\d+\]:")
+    block = F.slice(items, F.lit(2), F.size(items) - 1)
     number = r'intervals \[\d+\]:\s*xmin = (\S+)\s*xmax = (\S+)\s*text = "((?:[^"]|"")*)"'
 
     def tier(b: Column) -> Column:
