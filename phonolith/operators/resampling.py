@@ -112,14 +112,14 @@ def pick_per_stratum(rows: DataFrame, strata: list[str], member: str, order: Col
     return rows.withColumn("_k", rank).where(F.col("_k") <= n).drop("_k")
 
 
-def balanced_draws(rows: DataFrame, label: str, member: str, n: int, seed: int = 1) -> DataFrame:
+def balanced_draws(rows: DataFrame, label: str, member: str, order: Column, n: int) -> DataFrame:
     """An epoch of about n rows in which every class comes as often: the rows used, with ``copies``.
 
-    Each member of a class gets the whole part of its share of n / classes, and those whose hash comes first one more.
+    Each member of a class gets the whole part of its share of n / classes, and those first by ``order`` one more.
     """
     own = Window.partitionBy(label)
     classes = rows.agg(F.count_distinct(label).alias("_c"))  # one row
-    rank = F.row_number().over(own.orderBy(F.xxhash64(F.col(member), F.lit(seed)), member)) - 1
+    rank = F.row_number().over(own.orderBy(order, member)) - 1
     placed = rows.withColumns({"_k": rank, "_n": F.count("*").over(own)}).crossJoin(F.broadcast(classes))
     quota = F.floor(F.lit(n) / F.col("_c"))
     copies = F.floor(quota / F.col("_n")) + F.when(F.col("_k") < F.pmod(quota, F.col("_n")), 1).otherwise(0)

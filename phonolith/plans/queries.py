@@ -12,7 +12,7 @@ from phonolith.functions import phones as P
 from phonolith.operators import joins as J
 from phonolith.operators import kernels as K
 from phonolith.operators import metrics as M
-from phonolith.operators import models, resampling, selection, sequences
+from phonolith.operators import detector, models, reports, resampling, selection, sequences
 from phonolith.operators import windows as N
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,12 +282,13 @@ def _word_eval(spark, d):
         F.concat(F.lit("s"), F.pmod("o_custkey", F.lit(40))).alias("speaker"), F.when(F.substring("o_orderpriority", 1, 1) < "3", "turkish").otherwise("english").alias("grp"),
         F.when(F.col("l_linenumber") < 7, F.col("l_returnflag") == "R").alias("expert_wrong"), F.when(F.col("l_linenumber") != 5, -100 * F.col("l_discount") - F.when(F.col("l_returnflag") == "R", 2.0).otherwise(0.0)).alias("gop"),
         F.when((F.col("l_returnflag") == "R") | (F.col("l_linenumber") == 3), F.array(issue)).otherwise(F.array().cast(f"array<{issue_type}>")).alias("our_errors"), F.array().cast(f"array<{issue_type}>").alias("expert_errors"), F.lit(None).cast("double").alias("w_margin"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("word_idx"),
     )
 
 
 issue_type = "struct<kind:string,expected:string,heard:string,tip:string,hidden:boolean>"
 _WORDS_SQL = """l AS (SELECT 's' || (o_custkey % 40) AS speaker, CASE WHEN o_orderpriority[1] < '3' THEN 'turkish' ELSE 'english' END AS grp, CASE WHEN l_linenumber < 7 THEN l_returnflag = 'R' END AS wrong,
-CASE WHEN l_linenumber <> 5 THEN -100 * l_discount - CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END END AS gop, l_returnflag = 'R' OR l_linenumber = 3 AS issue, l_linenumber % 2 = 0 AS tip FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+CASE WHEN l_linenumber <> 5 THEN -100 * l_discount - CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END END AS gop, l_returnflag = 'R' OR l_linenumber = 3 AS issue, l_linenumber % 2 = 0 AS tip, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS word_idx FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 v AS (SELECT unnest([0, -2, -4, -6, -8])::DOUBLE AS x), g AS (SELECT a.x AS t, b.x AS p FROM v a, v b WHERE b.x >= a.x)"""
 _SCORE_SQL = """count(*) FILTER (turkish AND wrong AND f) AS tp, count(*) FILTER (turkish AND NOT wrong AND f) AS fp, count(*) FILTER (turkish AND wrong AND NOT f) AS fn, count(*) FILTER (NOT turkish AND NOT wrong AND f) AS ef, count(*) FILTER (NOT turkish AND NOT wrong) AS en"""
 _Q30_GRID = [0.0, -2.0, -4.0, -6.0, -8.0]
@@ -424,8 +425,7 @@ VOCABULARY = ["<pad>", "<s>", "</s>", "<unk>", "θ", "ɪ", "ŋ", "k", "t", "s",
 _LEXICON = {"think": "θ ɪ ŋ k", "the": "ð ə", "sit": "s ɪ t", "bad": "b æ d", "school": "s k uː l", "will": "w ɪ l", "this": "ð ɪ s", "week": "w iː k"}
 
 
-@query()
-def q45_analyze(spark, d):
+def _recorded(spark, d):
     """Turns as recordings: each says a few lexicon words, with an error pattern that its number picks."""
     from phonolith.sources.readers import fake_model
 
@@ -439,5 +439,174 @@ def q45_analyze(spark, d):
     number = P.literal_map({t: str(i) for t, i in ids.items()})
     rows = rows.withColumns({"tokens": F.transform(said, lambda p: F.element_at(number, p).cast("int")), "n_vocab": F.lit(len(VOCABULARY))}).withColumn("seconds", (6 + 3 * F.size("tokens")) * K.FRAME_SECONDS)
     recorded = rows.mapInPandas(fake_model, T.StructType([*rows.schema, T.StructField("log_probs", T.ArrayType(T.FloatType()))]))
-    found = sequences.analyze(recorded.drop("tokens", "n_vocab"), VOCABULARY)
+    return recorded.drop("tokens", "n_vocab")
+
+
+@query()
+def q45_analyze(spark, d):
+    found = sequences.analyze(_recorded(spark, d), VOCABULARY)
     return found.select("conv_id", "turn", r6("phone_accuracy").alias("phone_accuracy"), F.array_join("tips", ",").alias("tips"), F.array_join("heard", " ").alias("heard"), r6("features.gop_lpr_mean").alias("lpr_mean"), "aligned")
+
+
+@query()
+def q46_sound_features(spark, d):
+    """The features of every expected sound, with scores standardised by the sounds said right."""
+    rows = detector.sound_rows(sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True), ["conv_id", "turn"])
+    rows = detector.standardized(rows, detector.sound_stats(rows, F.col("kind") == "match"))
+    return rows.select("conv_id", "turn", "word", "at", "phone", "kind", "heard", "top_other", *[r6(f).alias(f) for f in detector.FEATURES])
+
+
+@query()
+def q47_detector_feedback(spark, d):
+    """Feedback from probabilities of sounds; here those of a fixed curve of the score."""
+    found = sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True)
+    p = detector.sound_rows(found, ["conv_id", "turn"]).select("conv_id", "turn", "at", (1 / (1 + F.exp(F.coalesce("lpr", F.lit(-20.0)) + 2))).alias("p"))
+    judged = detector.decided(found, p, ["conv_id", "turn"], red=0.7, yellow=0.3)
+    return judged.select("conv_id", "turn", F.array_join("tips", ",").alias("tips"), F.array_join(F.transform("words", lambda w: P.level_color(w["level"])), ",").alias("colors"), r6(reports.reported_accuracy(F.col("words"))).alias("accuracy"))
+
+
+@query("""SELECT pair, count(*) AS n FROM (SELECT p_partkey, unnest(ws) AS pair, generate_subscripts(ws, 1) AS i FROM (SELECT p_partkey, string_split(p_type, ' ') AS ws FROM part)) GROUP BY pair ORDER BY n DESC, min((p_partkey, i)) LIMIT 7""")
+def q48_top_pairs(spark, d):
+    return reports.top_pairs(table(spark, d, "part").select("p_partkey", F.split("p_type", " ").alias("ws")), "ws", "p_partkey", 7)
+
+
+def _annotated(spark, d):
+    """``_word_eval`` where the expert heard v for w in every wrong word."""
+    truth = F.array(F.struct(F.lit("sub").alias("kind"), F.lit("w").alias("expected"), F.lit("v").alias("heard"), F.lit("w").alias("tip"), F.lit(False).alias("hidden")))
+    none = F.array().cast(f"array<{issue_type}>")
+    rows = _word_eval(spark, d).withColumn("expert_errors", F.when(F.coalesce("expert_wrong", F.lit(False)), truth).otherwise(none))
+    return selection.apply_gop(rows, -4.0, -2.0)
+
+
+_STANDS = "issue AND (gop IS NULL OR gop < CASE WHEN tip THEN -2 ELSE -4 END)"
+_ANNOTATED_SQL = f"{_WORDS_SQL}, w AS (SELECT *, {_STANDS} AS f, grp = 'turkish' AS turkish FROM l)"
+
+
+@query(f"""WITH {_ANNOTATED_SQL}, x AS (SELECT count(*) FILTER (wrong) AS errors, count(*) FILTER (wrong AND f) AS found, count(*) FILTER (f AND tip) AS reports, count(*) FILTER (f AND tip AND wrong) AS ok FROM w WHERE turkish AND wrong IS NOT NULL)
+SELECT tip, ordinal::INT AS ordinal, CASE WHEN tip = 'w' THEN errors ELSE 0 END AS errors, CASE WHEN tip = 'w' THEN found ELSE 0 END AS found, CASE WHEN tip = 'w' THEN reports ELSE 0 END AS reports, CASE WHEN tip = 'w' THEN ok ELSE 0 END AS "right", 0::BIGINT AS hidden_reports, 0::BIGINT AS hidden_right
+FROM x, (SELECT unnest({reports.I.TIP_ORDER}) AS tip, generate_subscripts({reports.I.TIP_ORDER}, 1) - 1 AS ordinal)""")
+def q49_pattern_stats(spark, d):
+    return reports.pattern_stats(_annotated(spark, d))
+
+
+@query(f"""WITH {_ANNOTATED_SQL} SELECT 'w' AS tip, 2::INT AS ordinal, count(*) AS words, round(avg(f::INT), 6) AS word_caught, round(avg((f AND tip)::INT), 6) AS right_tip, count(*) AS errors, round(avg(f::INT), 6) AS error_caught, count(*) FILTER (issue AND NOT f) AS hidden_by_gop FROM w WHERE turkish AND wrong""")
+def q50_pattern_table(spark, d):
+    table_ = reports.pattern_table(_annotated(spark, d).where("grp = 'turkish' and expert_wrong is not null"))
+    return table_.withColumns({c: r6(c) for c in ("word_caught", "right_tip", "error_caught")})
+
+
+@query(f"""WITH {_ANNOTATED_SQL}, k AS (SELECT unnest([true, false]) AS t), x AS (SELECT t, count(*) FILTER (turkish AND f AND tip = t) AS words, count(*) FILTER (turkish AND f AND tip = t AND wrong) AS wrong_words, count(*) FILTER (NOT turkish AND NOT wrong AND f AND tip = t) AS native_words, count(*) FILTER (NOT turkish AND NOT wrong) AS native_correct_words FROM w, k WHERE wrong IS NOT NULL GROUP BY t)
+SELECT CASE WHEN t THEN 'heard pattern' ELSE 'other difference' END AS type, words, wrong_words, words AS reports, wrong_words AS on_expert_sound, CASE WHEN t THEN wrong_words END AS right_pattern, native_words, native_correct_words FROM x
+UNION ALL SELECT 'hidden pattern', 0, 0, 0, 0, 0, 0, native_correct_words FROM x WHERE t""")
+def q51_report_types(spark, d):
+    return reports.report_types(_annotated(spark, d))
+
+
+_WITHIN = """b AS (SELECT unnest(range({n})) AS b), u AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {unit}) - 1 AS k, count(*) OVER (PARTITION BY {by}) AS n FROM units),
+r AS (SELECT {by}, b, (((b * 1103515245 + k * 12345 + 1 * 69069) % 2147483647) * 48271 % 2147483647) % n AS k FROM u, b)"""
+_RATE_SQL = "CASE WHEN sum({b}) = 0 THEN 0 ELSE sum({a}) / sum({b}) END"
+
+
+@query(f"""WITH {_ANNOTATED_SQL}, labelled AS (SELECT 'main' AS version, grp, speaker, wrong, f FROM w UNION ALL SELECT 'raw', grp, speaker, gop < -5, f FROM w),
+units AS (SELECT version, grp, speaker, count(*) FILTER (wrong AND f) AS tp, count(*) FILTER (NOT wrong AND f) AS fp, count(*) FILTER (wrong AND NOT f) AS fn, count(*) FILTER (NOT wrong AND NOT f) AS tn FROM labelled WHERE wrong IS NOT NULL GROUP BY ALL), {_WITHIN.format(n=80, by="version, grp", unit="speaker")},
+e AS (SELECT version, grp, b, {_RATE_SQL.format(a="tp", b="tp + fn")} AS x, {_RATE_SQL.format(a="tp", b="tp + fp")} AS y FROM r JOIN u USING (version, grp, k) GROUP BY version, grp, b),
+c AS (SELECT version, grp, round(quantile_cont(x, 0.025), 6) AS recall_low, round(quantile_cont(x, 0.975), 6) AS recall_high, round(quantile_cont(y, 0.025), 6) AS precision_low, round(quantile_cont(y, 0.975), 6) AS precision_high FROM e GROUP BY ALL)
+SELECT version, grp, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, count(*) AS speakers, round({_RATE_SQL.format(a="tp", b="tp + fn")}, 6) AS recall, any_value(recall_low) AS recall_low, any_value(recall_high) AS recall_high, any_value(precision_low) AS precision_low, any_value(precision_high) AS precision_high FROM units JOIN c USING (version, grp) GROUP BY version, grp""")
+def q52_detection_intervals(spark, d):
+    rows = _annotated(spark, d).withColumn("raw", F.col("gop") < -5)
+    found = reports.detection_with_intervals(rows, {"main": "expert_wrong", "raw": "raw"}, 80)
+    return found.select("version", "grp", "tp", "fp", "fn", "tn", "speakers", *[r6(c).alias(c) for c in ("recall", "recall_low", "recall_high", "precision_low", "precision_high")])
+
+
+def _units(rows):
+    """Units of two metrics: recall of Turkish words, false alarm of native ones."""
+    metric = F.when(F.col("grp") == "turkish", "Turkish: recall").otherwise("English: false alarm")
+    statistic = F.when(F.col("grp") == "turkish", "recall").otherwise("false_alarm")
+    counts = M.confusion(rows.select(metric.alias("metric"), statistic.alias("statistic"), "speaker", "expert_wrong", "flagged"), F.col("expert_wrong"), F.col("flagged"), "metric", "statistic", "speaker")
+    return counts.select("metric", "statistic", "speaker", *[F.col(c).alias(f"x{i}") for i, c in enumerate(("tp", "fp", "fn", "tn"))])
+
+
+@query(f"""WITH {_WORDS_SQL}, w AS (SELECT *, issue AND (gop IS NULL OR gop < CASE WHEN tip THEN -4 ELSE -6 END) AS fa, issue AND (gop IS NULL OR gop < CASE WHEN tip THEN -2 ELSE -4 END) AS fb, wrong = (grp = 'turkish') AS base FROM l WHERE wrong IS NOT NULL),
+units AS (SELECT CASE WHEN grp = 'turkish' THEN 'Turkish: recall' ELSE 'English: false alarm' END AS metric, speaker, count(*) FILTER (base AND fa) AS a, count(*) FILTER (base AND fb) AS x, count(*) FILTER (base) AS z FROM w GROUP BY ALL), {_WITHIN.format(n=80, by="metric", unit="speaker")},
+e AS (SELECT metric, b, {_RATE_SQL.format(a="x", b="z")} - {_RATE_SQL.format(a="a", b="z")} AS s FROM r JOIN u USING (metric, k) GROUP BY metric, b), c AS (SELECT metric, quantile_cont(s, 0.025) AS low, quantile_cont(s, 0.975) AS high FROM e GROUP BY metric)
+SELECT metric, count(*) AS speakers, round(sum(x) / sum(z) - sum(a) / sum(z), 6) AS diff, round(any_value(low), 6) AS diff_low, round(any_value(high), 6) AS diff_high, any_value(low) > 0 OR any_value(high) < 0 AS real FROM units JOIN c USING (metric) GROUP BY metric""")
+def q53_compare_systems(spark, d):
+    rows = _word_eval(spark, d)
+    found = reports.compare_systems(_units(selection.apply_gop(rows, -6.0, -4.0)), _units(selection.apply_gop(rows, -4.0, -2.0)), 80)
+    return found.select("metric", "speakers", *[r6(c).alias(c) for c in ("diff", "diff_low", "diff_high")], "real")
+
+
+@query(f"""WITH t AS (SELECT user_id % 20 AS unit, round(value) AS x, event_type = 'error' AS wrong FROM events), units AS (SELECT DISTINCT unit FROM t), {_DRAWS.format(unit="unit").replace("range(200)", "range(60)")},
+d AS (SELECT b, unit, count(*) AS w FROM r JOIN u USING (k) GROUP BY ALL UNION ALL SELECT -1, unit, 1 FROM units), steps AS (SELECT unit, x, count(*) FILTER (wrong) AS p, count(*) FILTER (NOT wrong) AS n FROM t GROUP BY ALL),
+q AS (SELECT b, x, sum(p * w) AS p, sum(n * w) AS n FROM steps JOIN d USING (unit) GROUP BY ALL), o AS (SELECT *, sum(n) OVER (PARTITION BY b ORDER BY x) - n AS below FROM q), e AS (SELECT b, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auc FROM o GROUP BY b)
+SELECT round(max(auc) FILTER (b < 0), 6) AS auc, round(quantile_cont(auc, 0.025) FILTER (b >= 0), 6) AS low, round(quantile_cont(auc, 0.975) FILTER (b >= 0), 6) AS high FROM e""")
+def q54_auc_interval(spark, d):
+    rows = table(spark, d, "events").select((F.col("user_id") % 20).alias("unit"), F.round("value").alias("x"), (F.col("event_type") == "error").alias("wrong"))
+    return resampling.auc_interval(rows, "unit", "x", F.col("wrong"), 60).select(*[r6(c).alias(c) for c in ("auc", "low", "high")])
+
+
+_HASHED = "{} * 48271 % 2147483647"
+
+
+@query(f"""WITH c AS (SELECT count(DISTINCT label) AS c FROM embeddings), k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_HASHED.format("vec_id")}, vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n, 777 // c AS q FROM embeddings, c)
+SELECT * FROM (SELECT vec_id, label, q // n + CASE WHEN k < q % n THEN 1 ELSE 0 END AS copies FROM k) WHERE copies > 0""")
+def q55_balanced_draws(spark, d):
+    return resampling.balanced_draws(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", F.pmod(F.col("vec_id") * 48271, F.lit(2147483647)), 777)
+
+
+@query(f"""SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_HASHED.format("doc_id")}, doc_id) <= 5""")
+def q56_pick_per_stratum(spark, d):
+    return resampling.pick_per_stratum(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], "doc_id", F.pmod(F.col("doc_id") * 48271, F.lit(2147483647)), 5)
+
+
+@query("""SELECT g, count(*) AS recordings, round(sum(levenshtein(p_name, p_type)) / sum(length(p_name)), 6) AS per_vs_heard, round(sum(levenshtein(p_brand, p_type)) / sum(length(p_brand)), 6) AS per_vs_expected, round(sum(levenshtein(p_name, p_type)) / sum(length(p_name)) - sum(levenshtein(p_brand, p_type)) / sum(length(p_brand)), 6) AS gap FROM (SELECT *, p_size % 5 AS g FROM part) GROUP BY g""")
+def q57_canonical_bias(spark, d):
+    rows = table(spark, d, "part").select((F.col("p_size") % 5).alias("g"), *[F.split(c, "").alias(n) for c, n in (("p_type", "recognized"), ("p_name", "heard"), ("p_brand", "expected"))])
+    return reports.canonical_bias(rows, "recognized", "heard", "expected", "g").withColumns({c: r6(c) for c in ("per_vs_heard", "per_vs_expected", "gap")})
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS l1, o_orderstatus AS e, ['O', 'F', 'P'][o_orderkey % 3 + 1] AS p, ['O', 'F', 'P'][o_custkey % 3 + 1] AS r FROM orders),
+c AS (SELECT l1, count(*) AS sentences, round(avg((p <> r)::INT), 6) AS per, round(avg((e <> r)::INT), 6) AS per_vs_expected, count(*) FILTER (p = e AND r = e) AS ta, count(*) FILTER (p = e AND r <> e) AS fr, count(*) FILTER (p <> e AND r = e) AS fa, count(*) FILTER (p <> e AND r <> e) AS tr, count(*) FILTER (p <> e AND r = p) AS diagnosed FROM t GROUP BY ROLLUP (l1))
+SELECT *, round(tr / (tr + fr), 6) AS precision, round(tr / (tr + fa), 6) AS recall, round(2 * tr / (2 * tr + fr + fa), 6) AS f1, round(diagnosed / tr, 6) AS diagnosis_accuracy, round(fr / (ta + fr), 6) AS false_rejection FROM c""")
+def q58_recognizer_report(spark, d):
+    pick = lambda key: F.array(F.element_at(F.array(*map(F.lit, "OFP")), (F.col(key) % 3 + 1).cast("int")))
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("l1"), F.array("o_orderstatus").alias("expected"), pick("o_orderkey").alias("perceived"), pick("o_custkey").alias("recognized"), F.array(F.lit(False)).alias("function"))
+    found = reports.recognizer_report(rows)
+    return found.withColumns({c: r6(c) for c in ("per", "per_vs_expected", "precision", "recall", "f1", "diagnosis_accuracy", "false_rejection")})
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber AS i, ['sub', 'del', 'ins'][l_linenumber % 3 + 1] AS kind, l_linestatus || ' → ' || CASE WHEN l_linenumber % 3 = 1 THEN '-' ELSE l_returnflag END AS pair FROM lineitem WHERE l_returnflag <> 'N')
+SELECT 'kind' AS section, kind AS name, count(*) AS n FROM e GROUP BY kind UNION ALL (SELECT 'pair', pair, count(*) FROM e GROUP BY pair ORDER BY count(*) DESC, min((l_orderkey, i)) LIMIT 20) UNION ALL SELECT 'sentences', 'with errors', count(DISTINCT l_orderkey) FROM e""")
+def q59_error_report(spark, d):
+    """Orders as sentences, their lines with an error as annotations."""
+    kind = F.element_at(F.array(*map(F.lit, ("sub", "del", "ins"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    error = F.array(kind, F.col("l_linestatus"), F.when(F.col("l_linenumber") % 3 != 1, F.col("l_returnflag")), F.lit(None).cast("string"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("l_returnflag") != "N", F.struct("l_linenumber", error.alias("e"))))), lambda x: x["e"])
+    found = reports.error_report(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(listed.alias("errors"), F.lit(1.0).alias("seconds")))
+    named = lambda df, section, name: df.select(F.lit(section).alias("section"), name.alias("name"), "n")
+    some = found["totals"].select(F.lit("sentences").alias("section"), F.lit("with errors").alias("name"), F.col("sentences_with_errors").alias("n"))
+    return named(found["by_kind"], "kind", F.col("kind")).unionByName(named(found["top_pairs"], "pair", F.col("pair"))).unionByName(some)
+
+
+@query("""WITH t AS (SELECT l_returnflag || l_linestatus AS phone, l_quantity AS lpp, l_discount * 100 AS lpr FROM lineitem WHERE l_linenumber < 5)
+SELECT phone, grouping(phone)::TINYINT AS is_all, count(*) AS n, round(avg(lpp), 6) AS lpp_mean, round(greatest(stddev_pop(lpp), 0.25), 6) AS lpp_std, round(avg(lpr), 6) AS lpr_mean, round(greatest(stddev_pop(lpr), 0.25), 6) AS lpr_std FROM t GROUP BY ROLLUP (phone) HAVING grouping(phone) = 1 OR count(*) >= 20""")
+def q60_sound_stats(spark, d):
+    rows = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("phone"), F.col("l_quantity").alias("lpp"), (F.col("l_discount") * 100).alias("lpr"), "l_linenumber")
+    found = detector.sound_stats(rows, F.col("l_linenumber") < 5)
+    return found.withColumns({c: r6(c) for c in ("lpp_mean", "lpp_std", "lpr_mean", "lpr_std")})
+
+
+@query(f"""WITH {_ANNOTATED_SQL} SELECT threshold, count(*) FILTER (gop + 1 > threshold AND coalesce(wrong, false)) AS "right", count(*) FILTER (gop + 1 > threshold) AS reports FROM w, (SELECT unnest([0, -2, -4, -6])::DOUBLE AS threshold) WHERE turkish GROUP BY threshold""")
+def q61_hidden_w_precision(spark, d):
+    return reports.hidden_w_precision(_annotated(spark, d).withColumn("w_margin", F.col("gop") + 1), [0, -2, -4, -6])
+
+
+@query(f"""WITH {_WORDS_SQL} SELECT speaker, word_idx, gop FROM l WHERE grp = 'english' AND NOT wrong AND issue AND gop < CASE WHEN tip THEN -2 ELSE -4 END AND NOT gop < CASE WHEN tip THEN -4 ELSE -6 END ORDER BY speaker, word_idx LIMIT 10""")
+def q62_new_false_alarms(spark, d):
+    rows = _word_eval(spark, d)
+    return reports.new_false_alarms(selection.apply_gop(rows, -6.0, -4.0), selection.apply_gop(rows, -4.0, -2.0), 10).select("speaker", "word_idx", "gop")
+
+
+@query(f"""WITH {_ANNOTATED_SQL} SELECT speaker, count(*) FILTER (wrong AND f) AS found, count(*) FILTER (wrong) AS errors FROM w WHERE wrong IS NOT NULL GROUP BY speaker""")
+def q63_error_units(spark, d):
+    return reports.error_units(_annotated(spark, d))

@@ -167,7 +167,7 @@ def test_auc_interval(spark):
 
 def test_draws(spark):
     rows = spark.range(30).select("id", (F.col("id") < 6).alias("native"))
-    drawn = resampling.balanced_draws(rows, "native", "id", 48).groupBy("native").agg(F.sum("copies").alias("n")).collect()
+    drawn = resampling.balanced_draws(rows, "native", "id", F.xxhash64("id"), 48).groupBy("native").agg(F.sum("copies").alias("n")).collect()
     assert {r.n for r in drawn} == {24}
     assert {r["count"] for r in resampling.pick_per_stratum(rows, ["native"], "id", F.xxhash64("id"), 5).groupBy("native").count().collect()} == {5}
 
