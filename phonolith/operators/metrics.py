@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,15 +39,42 @@ def pearson(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     return sums.select(*by, "n", F.when((F.col("n") < 2) | F.col("flat"), 0.0).otherwise(ratio(F.col("c"), F.col("s"))).alias("correlation"))
 
 
-def average_rank(column: str, *by: str) -> Column:
-    """Rank with ties at their mean."""
-    order, tie = Window.partitionBy(*by).orderBy(column), Window.partitionBy(*by, column)
-    return F.rank().over(order) + (F.count("*").over(tie) - 1) / 2.0
+def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join where null keys match each other; the right side's keys go."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.lit(True))
+    return left.join(renamed, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
+def sums_below(steps: DataFrame, value: str, sums: list[str], *by: str, n_bins: int = 200) -> DataFrame:
+    """``steps`` (one row for each value of a group) with ``<sum>_below``: the sums over the group's smaller values.
+
+    Each group's values are cut at approximate quantiles; order is made within a bin only, and bins are added up on a
+    table of at most ``n_bins`` rows for each group. Exact wherever the cuts fall, and no task orders a whole group.
+    """
+    at = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
+    cuts = steps.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, at, F.lit(2000))).alias("_cuts"))
+    binned = _matched(steps, cuts, list(by)) if by else steps.crossJoin(F.broadcast(cuts))  # one row
+    binned = binned.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = binned.groupBy(*by, "_bin").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_bin", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    own = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    joined = _matched(binned, offsets, [*by, "_bin"])
+    return joined.withColumns({f"{c}_below": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for c in sums}).drop("_bin", *[f"_o_{c}" for c in sums])
+
+
+def with_average_rank(rows: DataFrame, column: str, name: str, *by: str) -> DataFrame:
+    """Rows with the rank of a column in its group, ties at their mean."""
+    steps = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
+    ranks = sums_below(steps, column, ["_n"], *by).select(*by, column, (F.col("_n_below") + (F.col("_n") + 1) / 2.0).alias(name))
+    return _matched(rows, ranks, [*by, column])
 
 
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return pearson(both.select(*by, average_rank(x, *by).alias("_x"), average_rank(y, *by).alias("_y")), "_x", "_y", *by)
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = with_average_rank(with_average_rank(both, x, "_x", *by), y, "_y", *by)
+    return pearson(ranked, "_x", "_y", *by)
 
 
 def top_k(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
@@ -113,19 +142,13 @@ def z_scores(rows: DataFrame, stats: DataFrame, phone: str, value: str) -> DataF
     return joined.withColumn("z", (F.col(value) - F.coalesce("_m", "_am")) / F.coalesce("_s", "_as")).drop("_m", "_s", "_am", "_as")
 
 
-def ranking_curve(rows: DataFrame, score: str, label: Column) -> DataFrame:
-    """Positives and all rows at each distinct score, and sums of both over the scores from it on."""
-    steps = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(label).alias("p"), F.count("*").alias("n"))
-    # one row for each distinct score is put in order; the sums come from the aggregation below it
-    down = Window.orderBy(F.desc(score))
-    return steps.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down)})
-
-
 def auc_and_ap(rows: DataFrame, score: str, label: Column) -> DataFrame:
     """Area under the ROC curve (ties count half) and stepwise average precision; null for one class alone."""
-    curve = ranking_curve(rows, score, label)
-    total = curve.agg(F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
+    steps = rows.where(F.col(score).isNotNull()).groupBy((-F.col(score)).alias("_down")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n"))
+    curve = sums_below(steps, "_down", ["p", "n"])
+    p, n, tp = F.col("p"), F.col("n"), F.col("p_below") + F.col("p")
     # negatives scored above, and half of those scored alike, lose against each positive
-    lost = F.sum(F.col("p") * ((F.col("seen") - F.col("tp")) - (F.col("n") - F.col("p")) / 2.0))
-    sums = curve.agg(lost.alias("lost"), F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("ap"))
-    return sums.crossJoin(total).select("pos", "neg", F.when((F.col("pos") > 0) & (F.col("neg") > 0), 1 - F.col("lost") / (F.col("pos") * F.col("neg"))).alias("auc"), F.when(F.col("pos") > 0, F.col("ap") / F.col("pos")).alias("ap"))
+    lost = F.sum(p * (F.col("n_below") + n / 2.0))
+    sums = curve.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), lost.alias("lost"), F.sum(p * tp / (tp + F.col("n_below") + n)).alias("ap"))
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    return sums.select("pos", "neg", F.when(both, 1 - F.col("lost") / (F.col("pos") * F.col("neg"))).alias("auc"), F.when(F.col("pos") > 0, F.col("ap") / F.col("pos")).alias("ap"))

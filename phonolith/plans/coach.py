@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phonolith.functions import phones as P
 from phonolith.operators import detector as D
 from phonolith.operators import models, sequences
+from phonolith.sources.store import once
 
 
 def phonemized(sentences: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -56,7 +57,7 @@ class System:
             return sequences.analyze(utterances, vocabulary, **layout, **self.settings)
         if self.decision == "detector":
             learned = self.settings["detector"]
-            analyzed = sequences.analyze(utterances, vocabulary, sounds=True, **layout)
+            analyzed = once(sequences.analyze(utterances, vocabulary, sounds=True, **layout))  # read for the sounds and for the words
             limits = self.settings.get("thresholds") or learned.thresholds
             return D.decided(analyzed, learned.probabilities(analyzed, keys), keys, limits["red"], limits["yellow"])
         raise ValueError(f"unknown decision: {self.decision}")

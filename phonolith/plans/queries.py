@@ -14,6 +14,7 @@ from phonolith.operators import kernels as K
 from phonolith.operators import metrics as M
 from phonolith.operators import detector, models, reports, resampling, selection, sequences
 from phonolith.operators import windows as N
+from phonolith.sources.store import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -451,7 +452,7 @@ def q45_analyze(spark, d):
 @query()
 def q46_sound_features(spark, d):
     """The features of every expected sound, with scores standardised by the sounds said right."""
-    rows = detector.sound_rows(sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True), ["conv_id", "turn"])
+    rows = once(detector.sound_rows(sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True), ["conv_id", "turn"]))
     rows = detector.standardized(rows, detector.sound_stats(rows, F.col("kind") == "match"))
     return rows.select("conv_id", "turn", "word", "at", "phone", "kind", "heard", "top_other", *[r6(f).alias(f) for f in detector.FEATURES])
 
@@ -459,7 +460,7 @@ def q46_sound_features(spark, d):
 @query()
 def q47_detector_feedback(spark, d):
     """Feedback from probabilities of sounds; here those of a fixed curve of the score."""
-    found = sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True)
+    found = once(sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True))
     p = detector.sound_rows(found, ["conv_id", "turn"]).select("conv_id", "turn", "at", (1 / (1 + F.exp(F.coalesce("lpr", F.lit(-20.0)) + 2))).alias("p"))
     judged = detector.decided(found, p, ["conv_id", "turn"], red=0.7, yellow=0.3)
     return judged.select("conv_id", "turn", F.array_join("tips", ",").alias("tips"), F.array_join(F.transform("words", lambda w: P.level_color(w["level"])), ",").alias("colors"), r6(reports.reported_accuracy(F.col("words"))).alias("accuracy"))

@@ -60,6 +60,9 @@ def test_correlations_and_curves(spark):
     r = metrics.auc_and_ap(rows, "x", F.col("w")).first()
     assert r.auc == pytest.approx((0 + 0 + 1 + 0.5) / 4) and r.ap == pytest.approx((1 / 2 + 2 / 4) / 2)
     assert metrics.auc_and_ap(rows.where("w"), "x", F.col("w")).first().auc is None
+    many = spark.range(3000).select((F.col("id") * 7919 % 997 / 10).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    ranked = metrics.with_average_rank(many, "v", "k", "g").toPandas()
+    assert len(ranked) == 3000 and (ranked["k"] == ranked.groupby("g", dropna=False)["v"].rank()).all()
 
 
 def test_threshold_search(spark):
