@@ -10,7 +10,7 @@ from phonolith.functions import phones as P
 from phonolith.operators import detector, models, reports, resampling, sequences
 from phonolith.operators import kernels as K
 from phonolith.operators.sounds import sound_measures
-from phonolith.plans import coach
+from phonolith.plans import coach, planning
 
 V = ["<pad>", "<s>", "</s>", "<unk>", "θ", "ɪ", "ŋ", "k", "t", "s", "b", "æ", "d", "z", "iː"]
 E = "array<struct<kind:string,expected:string,heard:string,tip:string,hidden:boolean>>"
@@ -193,3 +193,12 @@ def test_examples(spark):
     assert [(r.speaker, r.word_idx) for r in reports.new_false_alarms(a, b, 5).collect()] == [("e1", 1)]
     labels = spark.createDataFrame([("bad", ["b", "æ", "d"], ["b", "æ", "t"]), ("bad", ["b", "æ", "d"], None)], "w string, e array<string>, h array<string>").select(sequences.expert_label("w", "e", "h").alias("x")).collect()
     assert labels[0].x.wrong is True and labels[0].x.errors[0].tip == "final_voicing" and labels[1].x.wrong is None
+
+
+def test_synthetic_pairs(spark):
+    rows = spark.createDataFrame([("th → t", "error", "TINk"), ("th → t", "correct", "TINk"), ("æ → ɛ", "error", "baId"), ("æ → ɛ", "error", "bad"), ("final devoicing", "error", "bEd"), ("extra vowel before cluster", "error", "sku:l")], "p string, v string, x string")
+    assert [r.y for r in rows.select(planning.spoken(F.col("p"), F.col("v"), F.col("x")).alias("y")).collect()] == ["tINk", "TINk", "baId", "bEd", "bEt", "Isku:l"]
+    done = [("e", "th → t", "think", v, 1.0, version, flagged, flagged, False) for v, version, flagged in (("a", "correct", False), ("a", "error", True), ("b", "correct", True), ("b", "error", False), ("c", "error", True))]
+    results = spark.createDataFrame(done, "engine string, pattern string, word string, voice string, speed double, version string, flagged boolean, right_tip boolean, hidden_by_gop boolean")
+    table = {r.pattern: r for r in planning.pair_summary(results).collect()}
+    assert len(table) == 13 and (table["ALL"].pairs, table["ALL"].false_alarm, table["ALL"].hidden_by_gop) == (3, 0.5, 0) and table["th → t"].catch == pytest.approx(2 / 3) and table["ŋ + g"].pairs is None
