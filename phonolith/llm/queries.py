@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm import chat, matroska, mixing, packing, pii, quality, scoring, simhash, substring_dedup, token_files
+from phonolith.llm import chat, matroska, mixing, packing, pii, quality, simhash, substring_dedup, token_files, word_scoring
 from phonolith.llm.store import shared_dir
 
 #: The schema that the calls made of conversations are checked against.
@@ -86,7 +86,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id").distinct()
     # labels grow with the documents, so they are never broadcast
     docs = documents(spark, sf_dir).select("doc_id", "text").join(labels.withColumn("good", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
-    return scoring.cross_entropy_difference(docs, "good")
+    text_bytes = documents(spark, sf_dir).agg(F.sum(F.octet_length("text"))).first()[0]
+    return word_scoring.word_cross_entropy_difference(docs, "good", text_bytes=text_bytes)
 
 
 QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_chat_formatting, op3_quality_rules, op4_simhash_near_dedup, op5_token_files, op6_source_mixing, op7_pii, op8_media_columns, op9_packing, op10_lm_scoring)}
