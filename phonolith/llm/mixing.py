@@ -96,7 +96,7 @@ def min_cost_flow(supply: dict, members: dict, demand: dict, most: int = MOST) -
     return {k: arcs[i ^ 1][1] for k, i in kept.items() if arcs[i ^ 1][1] > tiny}
 
 
-def mix(documents: DataFrame, members: Column | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, targets: Callable = capped_targets) -> DataFrame:
+def mix(documents: DataFrame, members: Column | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, targets: Callable = capped_targets, carried: Sequence[str] = ()) -> DataFrame:
     """How much of each document the mix takes: ``doc_id, source, size, source_size, target, taken``.
 
     members: array of the sources a document counts for (default: its ``source``; null is a source of its own). size is
@@ -105,10 +105,11 @@ def mix(documents: DataFrame, members: Column | None = None, weights: Sequence[f
     seeded hash of their id. source_size and target are those of the document's first source (in code point order).
 
     Null and empty texts have size 0 and are never taken. Rows without an id are ordered by a hash of their text alone;
-    repeated rows are documents of their own. Other columns are not read.
+    repeated rows are documents of their own. Columns named in ``carried`` are in a struct ``row``, others are not read.
     """
+    row = [F.struct(*carried).alias("row")] if carried else []
     key = F.array("source") if members is None else F.coalesce(F.array_sort(F.array_distinct(members)), F.array().cast("array<string>"))
-    docs = documents.select("doc_id", key.alias("members"), n_words().alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"))
+    docs = documents.select("doc_id", key.alias("members"), n_words().alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"), *row)
     docs = written(docs.withColumn("bucket", F.pmod("h", F.lit(_BUCKETS)).cast("int")), "sizes")
     sums = docs.groupBy("members", "bucket").agg(F.sum("size").alias("n"))
     by_bucket: dict[tuple, list[int]] = {}
@@ -134,7 +135,7 @@ def mix(documents: DataFrame, members: Column | None = None, weights: Sequence[f
     plan = docs.sparkSession.createDataFrame(rows, "members array<string>, source string, source_size bigint, target double, uses int, edge int, rest bigint")
     # the table of patterns is as large as what the flow held on the driver
     placed = docs.join(F.broadcast(plan), docs["members"].eqNullSafe(plan["members"]), "left").drop(plan["members"])
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "source_size", "target", *(["row"] if carried else [])]
     uses = F.col("size") * F.col("uses")
     other = placed.where("bucket is distinct from edge").select(*columns, (uses + F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0)).alias("taken"))
     # one bucket of each pattern is put in order
