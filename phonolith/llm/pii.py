@@ -315,15 +315,17 @@ def find(documents: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = Non
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """The texts with every span replaced by its kind in angle brackets (``<EMAIL>``); of overlapping spans the first.
+    """The texts with every span replaced by its kind in angle brackets (``<EMAIL>``).
+
+    Overlapping spans are replaced as one, by the kind of the one that starts first, then of the longest.
 
     Takes and drops ``pii``, as ``find()`` returns it; null texts stay null.
     """
     # walk the spans by place: what is written so far, and where the rest of the text starts
     step = F.aggregate(
-        F.array_sort(F.transform("pii", lambda s: F.struct(s["start"], s["end"], s["kind"]))),
+        F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["end"].alias("end")))),
         F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
-        lambda x, s: F.when(s["start"] < x["at"], x).otherwise(
+        lambda x, s: F.when(s["start"] < x["at"], F.struct(x["done"].alias("done"), F.greatest(x["at"], s["end"]).alias("at"))).otherwise(
             F.struct(F.concat(x["done"], F.col("text").substr(x["at"] + 1, s["start"] - x["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("done"), s["end"].alias("at"))
         ),
         lambda x: F.concat(x["done"], F.col("text").substr(x["at"] + 1, F.length("text"))),
