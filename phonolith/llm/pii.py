@@ -2,7 +2,8 @@
 
 The field labels words by the shape of each word and its neighbours. It is trained here, on a small labelled table that
 ``labelled()`` writes out from templates. Whole texts are decoded by Viterbi, many lines at a time in NumPy; a line of
-over ``LINE`` words is decoded in runs of that many. Pattern spans always stay; a span of the field is added if it holds
+over ``LINE`` words is decoded in runs of that many, each with ``MARGIN`` more words of the line on either side, whose
+labels are not used. Pattern spans always stay; a span of the field is added if it holds
 what its kind needs and overlaps no pattern span.
 """
 
@@ -21,7 +22,7 @@ from phonolith.llm import words as W
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("", *KINDS)
-LINE = 256
+LINE, MARGIN = 256, 32
 _PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -250,6 +251,21 @@ def decode(shape: np.ndarray, starts: np.ndarray, model: tuple[np.ndarray, np.nd
     return out
 
 
+def _decode_lines(shape: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """``decode()`` of lines, the long ones in runs that overlap."""
+    pieces = -(-lengths // LINE)
+    line = np.repeat(np.arange(len(starts)), pieces)
+    low = starts[line] + LINE * (np.arange(len(line)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    end = (starts + lengths)[line]
+    high = np.minimum(low + LINE, end)
+    first, last = np.maximum(low - MARGIN, starts[line]), np.minimum(high + MARGIN, end)
+    sizes = last - first
+    at = np.cumsum(sizes) - sizes
+    place = np.repeat(first - at, sizes) + np.arange(sizes.sum())
+    own = (place >= np.repeat(low, sizes)) & (place < np.repeat(high, sizes))
+    return decode(shape[place], at, model)[own]
+
+
 def spans_of(texts: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[str, int, int, bool]]]:
     """For each text its spans (kind, start, end, whether a pattern has it), by kind and start, in code points."""
     words = W.split(texts)
@@ -267,9 +283,7 @@ def spans_of(texts: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> list[list
     new[1:] = (breaks[1:] != breaks[:-1]) | (words.doc[1:] != words.doc[:-1])
     starts = np.flatnonzero(new)
     lengths = np.diff(np.append(starts, len(new)))
-    pieces = -(-lengths // LINE)
-    starts = np.repeat(starts, pieces) + LINE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    labels = decode(shapes_of(words), starts, model)
+    labels = _decode_lines(shapes_of(words), starts, lengths, model)
     hit = np.flatnonzero(labels)
     run = np.ones(len(hit), bool)
     run[1:] = (hit[1:] != hit[:-1] + 1) | (labels[hit[1:]] != labels[hit[:-1]]) | (words.doc[hit[1:]] != words.doc[hit[:-1]])
