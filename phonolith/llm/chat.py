@@ -6,7 +6,7 @@ holds a third of all calls is spread like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonolith.llm.store import forget, written
@@ -85,17 +85,27 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     Of calls (results) that share an id, the one of the smallest turn counts, then of the smallest content. Rows
     without a conversation or call id are left out; null arguments are no JSON. Other columns are not read.
     """
+    return link_all(calls, results, schemas).where("n = 1").drop("n")
+
+
+def link_all(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+    """``link()`` with ``n``, and a row for every further call or result of an id.
+
+    The n-th call of an id belongs to its n-th result, in the order of turn and content. From n = 2 on status is
+    ``repeated id`` and level null: references are to the first call of an id.
+    """
     keys = ["conv_id", "call_id"]
-    first = lambda df, *c: df.where("conv_id is not null and call_id is not null").groupBy(*keys).agg(F.min(F.struct("turn", *c)).alias("x")).select(*keys, "x.*")
-    calls = written(first(calls.select(*keys, "turn", "name", "arguments"), "name", "arguments"), "calls")
-    results = first(results.select(*keys, "turn", "content"), "content").withColumnRenamed("turn", "result_turn")
+    numbered = lambda df, *c: df.where("conv_id is not null and call_id is not null").select(*keys, "turn", *c).withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("turn", *c)))
+    calls = written(numbered(calls, "name", "arguments"), "calls")
+    results = numbered(results, "content").withColumnRenamed("turn", "result_turn")
     forms = schemas.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("parameter", "type", "required"))).alias("parameters"))
-    linked = calls.withColumn("called", F.lit(True)).join(results.hint("shuffle_hash"), keys, "full_outer").join(forms, "name", "left").join(_levels(calls), keys, "left")
+    linked = calls.withColumn("called", F.lit(True)).join(results.hint("shuffle_hash"), [*keys, "n"], "full_outer").join(forms, "name", "left")
+    linked = linked.join(_levels(calls.where("n = 1")).withColumn("n", F.lit(1)), [*keys, "n"], "left")
     held, errors = _errors()
     linked = linked.withColumn("held", held).withColumn("errors", F.when(F.col("called"), errors).otherwise(F.array().cast("array<string>")))
-    status = F.when(F.col("called").isNull(), "no call").when(F.col("level").isNull(), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("result_turn").isNull(), "no result").otherwise("ok")
+    status = F.when(F.col("n") > 1, "repeated id").when(F.col("called").isNull(), "no call").when(F.col("level").isNull(), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("result_turn").isNull(), "no result").otherwise("ok")
     record = F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result"))
-    return linked.select(*keys, F.coalesce("turn", "result_turn").alias("turn"), "level", status.alias("status"), "errors", F.to_json(record).alias("canonical"))
+    return linked.select(*keys, "n", F.coalesce("turn", "result_turn").alias("turn"), "level", status.alias("status"), "errors", F.to_json(record).alias("canonical"))
 
 
 def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -32,7 +32,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.calls_of_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     schemas = spark.createDataFrame(REPLY_SCHEMA, "name string, parameter string, type string, required boolean")
-    linked = chat.link(calls, results, schemas)
+    linked = chat.link_all(calls, results, schemas)
     return linked.select("conv_id", "call_id", "turn", "level", "status", F.array_join("errors", ", ").alias("errors"), "canonical")
 
 
