@@ -56,7 +56,7 @@ _LETTER[97:123] = True
 
 
 def repeated(words: W.Words, hashes: np.ndarray, k: int = 8) -> np.ndarray:
-    """Words of runs of k words that their own text has twice or more."""
+    """Words of runs of k words that their own text has twice or more. Hashes only name the runs that are compared."""
     grams = W.gram_hashes(hashes, k)
     at = np.flatnonzero(W.gram_inside(words.doc, k))
     if not len(at):
@@ -67,7 +67,16 @@ def repeated(words: W.Words, hashes: np.ndarray, k: int = 8) -> np.ndarray:
     twice = np.zeros(len(at), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    return W.covered(at[twice], np.full(int(twice.sum()), k), len(words.starts))
+    at = at[twice]
+    if not len(at):
+        return np.zeros(len(words.starts), bool)
+    used = W.covered(at, np.full(len(at), k), len(words.starts))
+    number = np.zeros(len(used), np.int64)
+    number[used] = W.numbered(words, np.flatnonzero(used), hashes)
+    runs = np.column_stack([words.doc[at], number[at[:, None] + np.arange(k)]])
+    _, which, times = np.unique(runs, axis=0, return_inverse=True, return_counts=True)
+    at = at[times[which.ravel()] > 1]
+    return W.covered(at, np.full(len(at), k), len(words.starts))
 
 
 def measures_of(texts: pa.Array) -> dict[str, np.ndarray]:

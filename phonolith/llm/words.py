@@ -12,12 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 WORD = r"[^\x20\x09-\x0D]+"
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
 
 
 @dataclass
@@ -78,22 +78,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _table(name: str, base: int, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
-        table = np.full(n + n // 4 + 1, base % (1 << 64), np.uint64)
-        table[0] = 1
-        _powers[name] = np.multiply.accumulate(table)
-    return _powers[name]
+_LANE, _LANES_MOST = 8, 8
+_KEEP = np.array([(1 << 8 * r) - 1 for r in range(8)] + [(1 << 64) - 1], np.uint64)  # the first r bytes of a lane
 
 
 def word_hashes(words: Words, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes. Hashes of different salts have different bases, so they collide independently."""
-    base = (_BASE + 2 * 0x5851F42D4C957F2D * salt) | 1
-    power = _table(f"p{salt}", base, len(words.data))[: len(words.data)]
-    inverse = _table(f"q{salt}", pow(base % (1 << 64), -1, 1 << 64), len(words.data))
-    total = np.zeros(len(words.data) + 1, np.uint64)
-    np.cumsum((words.data.astype(np.uint64) + np.uint64(1 + salt)) * power, out=total[1:])
-    return mix((total[words.ends] - total[words.starts]) * inverse[words.starts])
+    """A 64-bit hash of each word's bytes; other salts give independent ones.
+
+    Lanes of 8 bytes are mixed one after the other, starting from the word's length; words of over 64 bytes have XXH64.
+    """
+    lengths = words.ends - words.starts
+    out = mix(lengths.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x5851F42D4C957F2D * (salt + 1) % (1 << 64)))
+    padded = np.append(words.data, np.zeros(_LANE, np.uint8))
+    lanes = np.lib.stride_tricks.as_strided(padded, (len(words.data) + 1, _LANE), (1, 1))
+    left = np.flatnonzero(lengths <= _LANE * _LANES_MOST)
+    at = 0
+    while len(left):
+        lane = lanes[words.starts[left] + at].view("<u8").ravel() & _KEEP[np.minimum(lengths[left] - at, _LANE)]
+        out[left] = mix((out[left] ^ lane) + np.uint64(_BASE))
+        at += _LANE
+        left = left[lengths[left] > at]
+    blob = memoryview(np.ascontiguousarray(words.data))
+    for i in np.flatnonzero(lengths > _LANE * _LANES_MOST).tolist():
+        out[i] = xxhash.xxh64_intdigest(blob[words.starts[i] : words.ends[i]], salt)
+    return out
+
+
+def numbered(words: Words, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each of the words ``at``: equal words, and only those, have the same. hashes: of all words.
+
+    Each word is compared with the first one of its hash, byte by byte.
+    """
+    _, first, number = np.unique(hashes[at], return_index=True, return_inverse=True)
+    alike = at[first][number]
+    lengths = words.ends[at] - words.starts[at]
+    same = np.array_equal(lengths, words.ends[alike] - words.starts[alike])
+    if same:
+        to = np.cumsum(lengths) - lengths
+        step = np.arange(lengths.sum())
+        same = np.array_equal(words.data[np.repeat(words.starts[at] - to, lengths) + step], words.data[np.repeat(words.starts[alike] - to, lengths) + step])
+    if not same:
+        blob, known = words.data.tobytes(), {}
+        number = np.array([known.setdefault(blob[words.starts[i] : words.ends[i]], len(known)) for i in at.tolist()], np.int64)
+    return number
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
