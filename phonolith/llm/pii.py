@@ -9,6 +9,7 @@ what its kind needs and overlaps no pattern span.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,15 +24,18 @@ from phonolith.llm import words as W
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("", *KINDS)
 LINE, MARGIN = 256, 32
+# Each pattern is tried once at a place from which it could begin, so that long runs of one kind take linear time. Emails
+# are read from their @: what stands before it, and this after it.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 # what a run of labelled words must hold to be a span of its kind
 _CORES = {
-    "email": re.compile(r"[^\s\"'<>(),;:=]+@[^\s\"'<>(),;:=]*[A-Za-z0-9]"),
+    "email": re.compile(r"(?<![^\s\"'<>(),;:=@])[^\s\"'<>(),;:=@]++@[^\s\"'<>(),;:=]*[A-Za-z0-9]"),
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9]){12,18}"),
     "phone": re.compile(r"\+?\(?[0-9][0-9()\x20.-]*[0-9]"),
@@ -44,18 +48,27 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    low = 0
+    while (at := text.find("@", low)) >= 0:
+        before = text[low:at]
+        start = low + len(before.rstrip(_LOCAL))
+        low = at + 1
+        if start < at and (m := _DOMAIN.match(text, low)):
+            yield start, m.end()
+            low = m.end()
+
+
 def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of the exact patterns, leftmost and not overlapping for each kind, in order."""
-    out = []
+    out = [("email", start, end) for start, end in _emails(text)]
     for kind, pattern in _PATTERNS.items():
-        # a text without the character that the pattern needs has no match
-        if (kind == "email" and "@" not in text) or (kind == "phone" and "+" not in text):
-            continue
         for m in pattern.finditer(text):
-            digits = [c for c in m[0] if "0" <= c <= "9"]
-            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+            found = m[0]
+            if kind == "ip" and any(len(x.lstrip("0")) > 3 or int(x[-3:]) > 255 for x in found.split(".")):
                 continue
-            if kind == "card" and not (16 <= len(digits) <= 19 and _luhn("".join(digits))):
+            digits = re.sub("[^0-9]", "", found) if kind != "ip" else ""
+            if kind == "card" and not (16 <= len(digits) <= 19 and _luhn(digits)):
                 continue
             if kind == "phone" and not 8 <= len(digits) <= 15:
                 continue
@@ -121,33 +134,36 @@ def shapes_of(words: W.Words) -> np.ndarray:
     return out
 
 
-def labelled() -> list[list[tuple[str, str]]]:
-    """The training table: lines as lists of (word, label)."""
-    rng = np.random.default_rng(7)
-
-    def number(pattern: str) -> str:
-        return "".join(str(rng.integers(0, 10)) if c == "#" else "0123456789abcdef"[rng.integers(0, 16)] if c == "x" else c for c in pattern)
-
-    shapes = {
-        "phone": ["+# (###) ###-####", "(###) ###-####", "###-###-####", "+## ## #### ####", "+###########", "(###) ### ####", "+#-###-###-####"],
-        "card": ["################", "#### #### #### ####", "####-####-####-####", "###################", "#### ###### #####"],
-        "email": ["an.er@mail.example.com", "th##@mail#.example.com", "onre.##@mail#.example.com", "ea_st@host"],
-        "ip": ["###.##.###.#", "##.###.##.###", "###.###.###.###"],
-        "secret": ['"' + "x" * 40 + '"', "x" * 32, '"' + "x" * 24 + '"', "x" * 40],
-        "": ["####", "##", "#", "#,###", "#.##", "####-####", "v#.#.#", "(c) ####", "##%", "##:##", "####-##-##", "$##.##", "###", "##.", "#.", "(##)", "e.g.", "(see", "it's", "well-known", "...", "###,###", '"the', 'end"', "=", "12a", "a1", "###$", "=###"],
-    }
-    plain = ["the", "of", "and", "onthe", "resthen", "an", "iningly", "to", "a", "thndor,", "is.", "Le", "éaux", "de", "###", "$$$", "THE!!", "&&&"]
-    cue = {"secret": [["token", "="], ["key", ":"], ["secret", "="], ["password", "="]], "phone": [["call"], ["tel:"], []], "card": [["card"], []], "email": [["mail"], []], "ip": [["host"], []], "": [[]]}
+# The labelled table: forms of each kind (# is a digit, x a hexadecimal digit, w a letter), words before them that name
+# the kind, and what isn't personal. Addresses are of the ranges and names that are reserved for documentation.
+_FORMS = {
+    "phone": ["+# ### ### ####", "+# (###) ###-####", "(###) ###-####", "(###) ### ####", "###-###-####", "###.###.####", "+## # ## ## ## ##", "+## ## #### ####", "+############", "+#-###-###-####"],
+    "card": ["################", "###################", "#### #### #### ####", "####-####-####-####", "#### ###### #####"],
+    "email": ["wwww.wwwwww@example.com", "w.wwwwww##@wwww.example.org", "wwwww_ww@example.net", "www##@wwww#.example.com", "wwww@localhost"],
+    "ip": ["192.0.2.#", "198.51.100.##", "203.0.113.###", "###.##.##.###"],
+    "secret": ["x" * 32, "x" * 40, "x" * 64, '"' + "x" * 24 + '"', '"' + "x" * 40 + '"'],
+    "": ["#", "##", "###", "####", "#,###", "###,###", "#.##", "##.", "(##)", "##%", "$##.##", "###$", "=###", "##:##", "####-##-##", "####-####", "v#.#.#", "##w", "w#", "(c) ####", "(www", "...", "=", "w.w.", "www-wwwww", "ww'w", '"www', "www'"],
+}
+_CUES = {
+    "phone": ["phone", "tel:", "call", ""], "card": ["card", "paid with", ""], "email": ["mail", "write to", ""], "ip": ["host", "address", ""],
+    "secret": ["token =", "key:", "secret =", "password =", "api key"], "": [""],
+}
+_PLAIN = ["w", "ww", "www", "wwww", "wwwww", "wwwwww,", "wwwwwwww.", "wwwwwww!", "www?", "é", "wwwé", "***", "--"]
+
+
+def labelled(forms: dict[str, list[str]] = _FORMS, cues: dict[str, list[str]] = _CUES, plain: list[str] = _PLAIN, times: int = 12, seed: int = 7) -> list[list[tuple[str, str]]]:
+    """A training table: lines as lists of (word, label), each form between plain words, with and without a cue."""
+    rng = np.random.default_rng(seed)
+    draw = {"#": "0123456789", "x": "0123456789abcdef", "w": "abcdefghijklmnopqrstuvwxyz"}
+    filled = lambda form: "".join(draw[c][rng.integers(0, len(draw[c]))] if c in draw else c for c in form)
+    some = lambda: [(filled(plain[rng.integers(0, len(plain))]), "") for _ in range(rng.integers(0, 6))]
     out = []
-    for label, patterns in shapes.items():
-        for pattern in patterns:
-            for _ in range(12 if label else 16):
-                row = [(plain[rng.integers(0, len(plain))], "") for _ in range(rng.integers(0, 6))]
-                row += [(w, "") for w in cue[label][rng.integers(0, len(cue[label]))]]
+    for label, own in forms.items():
+        for form in own:
+            for _ in range(times if label else times * 4 // 3):
+                cue = cues[label][rng.integers(0, len(cues[label]))].split()
                 mark = ["", "", "", ",", "."][rng.integers(0, 5)]
-                row += [(w, label) for w in (number(pattern) + mark).split(" ")]
-                row += [(plain[rng.integers(0, len(plain))], "") for _ in range(rng.integers(0, 6))]
-                out.append(row)
+                out.append([*some(), *((w, "") for w in cue), *((w, label) for w in (filled(form) + mark).split(" ")), *some()])
     return out
 
 
@@ -266,6 +282,19 @@ def _decode_lines(shape: np.ndarray, starts: np.ndarray, lengths: np.ndarray, mo
     return decode(shape[place], at, model)[own]
 
 
+def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the ranges that spans cover together, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def spans_of(texts: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[str, int, int, bool]]]:
     """For each text its spans (kind, start, end, whether a pattern has it), by kind and start, in code points."""
     words = W.split(texts)
@@ -288,18 +317,22 @@ def spans_of(texts: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> list[list
     run = np.ones(len(hit), bool)
     run[1:] = (hit[1:] != hit[:-1] + 1) | (labels[hit[1:]] != labels[hit[:-1]]) | (words.doc[hit[1:]] != words.doc[hit[:-1]])
     edge = np.append(np.flatnonzero(run), len(hit))
-    blob = data.tobytes()
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+    blob, taken = data.tobytes(), {}
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         i, j, k = int(words.doc[hit[a]]), int(words.starts[hit[a]]), int(words.ends[hit[b - 1]])
         kind = LABELS[labels[hit[a]]]
-        origin = int(words.offsets[i])
-        shift = len(blob[origin:j].decode("utf-8"))
+        shift = int(points[j] - points[words.offsets[i]])
+        if i not in taken:
+            taken[i] = _union([(s, e) for _, s, e, _ in out[i]])
         for m in _CORES[kind].finditer(blob[j:k].decode("utf-8")):
             n = sum("0" <= c <= "9" for c in m[0])
-            if (kind == "phone" and not 7 <= n <= 15) or (kind == "card" and not _luhn(re.sub("[^0-9]", "", m[0]))) or (kind == "secret" and (n < 3 or n == len(m[0]))):
+            if (kind == "ip" and max(map(int, m[0].split("."))) > 255) or (kind == "phone" and not 7 <= n <= 15) or (kind == "card" and not _luhn(re.sub("[^0-9]", "", m[0]))) or (kind == "secret" and (n < 3 or n == len(m[0]))):
                 continue
             start, end = shift + m.start(), shift + m.end()
-            if not any(start < e and s < end for _, s, e, _ in out[i]):
+            starts_, ends_ = taken[i]
+            at = bisect.bisect_right(ends_, start)  # spans of the field follow each other, so only those of patterns can be in the way
+            if at == len(starts_) or starts_[at] >= end:
                 out[i].append((kind, start, end, False))
     for own in out:
         own.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
