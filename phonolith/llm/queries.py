@@ -103,15 +103,25 @@ gone AS (SELECT DISTINCT doc_id, i + k AS i FROM m, range(13) r(k) WHERE m < doc
 k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone.i IS NOT NULL) AS r, string_agg(word, ' ' ORDER BY i) FILTER (gone.i IS NULL) AS kept FROM w LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
     "op2_chat_formatting": r"""
-WITH RECURSIVE u AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE role = 'user' GROUP BY ALL),
-a AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL),
-c AS (SELECT u.*, h.turn AS half FROM u LEFT JOIN u h ON u.conv_id = h.conv_id AND u.turn // 2 = h.turn AND u.turn > 0),
-l AS (SELECT conv_id, turn, 0 AS level FROM c WHERE half IS NULL UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM c JOIN l ON c.conv_id = l.conv_id AND c.half = l.turn),
-f AS (SELECT c.conv_id, c.turn, l.level, c.half, c.text, a.text AS answer, c.conv_id || ':' || c.turn AS call_id FROM c JOIN l USING (conv_id, turn) LEFT JOIN a ON c.conv_id = a.conv_id AND a.turn = c.turn + 1)
-SELECT conv_id, call_id, turn, level, CASE WHEN answer IS NULL THEN 'no result' ELSE 'ok' END AS status, '' AS errors,
- '{"arguments":{' || CASE WHEN half IS NULL THEN '' ELSE '"context":{"$ref":"' || conv_id || ':' || half || '"},' END || '"number":' || turn || ',"size":' || length(text) || ',"text":' || to_json(text)
- || '},"id":"' || call_id || '","level":' || level || ',"name":"reply"' || CASE WHEN answer IS NULL THEN '' ELSE ',"result":' || to_json(answer) END || '}' AS canonical FROM f
-UNION ALL SELECT a.conv_id, a.conv_id || ':' || (a.turn - 1), a.turn, NULL, 'no call', '', '{"id":"' || a.conv_id || ':' || (a.turn - 1) || '","result":' || to_json(a.text) || '}' FROM a LEFT JOIN u ON a.conv_id = u.conv_id AND u.turn = a.turn - 1 WHERE u.turn IS NULL""",
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS size FROM conversations),
+u AS (SELECT * FROM t WHERE role = 'user'), e AS (SELECT conv_id, turn, min(size) AS size FROM u GROUP BY ALL),
+k AS (SELECT conv_id, turn, size, CASE WHEN size % 23 = 6 THEN 0 ELSE turn END AS named, conv_id || ':' || CASE WHEN named % 4 = 2 THEN '"' || named || '"\' ELSE named::VARCHAR END AS id
+  FROM (SELECT conv_id, turn, size FROM e UNION SELECT conv_id, turn, size FROM u UNION SELECT a.conv_id, a.turn - 1, 0 FROM t a LEFT JOIN e ON e.conv_id = a.conv_id AND e.turn = a.turn - 1 WHERE a.role = 'assistant' AND e.turn IS NULL)),
+c AS (SELECT u.*, k.id, CASE WHEN u.size % 17 = 4 THEN k.id ELSE h.id END AS ref, CASE WHEN u.size % 11 = 3 THEN 'answer' ELSE 'reply' END AS name FROM u JOIN k USING (conv_id, turn, size)
+  LEFT JOIN e ON e.conv_id = u.conv_id AND u.turn > 0 AND e.turn = u.turn // 2 LEFT JOIN k h ON h.conv_id = e.conv_id AND h.turn = e.turn AND h.size = e.size),
+f AS (SELECT *, '{' || CASE WHEN ref IS NULL THEN '' ELSE '"context":{"$ref":' || to_json(ref) || '},' END || CASE WHEN size % 5 = 1 THEN '"note":true,' ELSE '' END
+  || '"number":' || CASE WHEN size % 7 = 2 THEN '"' || turn || '"' ELSE turn::VARCHAR END || ',"size":' || size || CASE WHEN size % 13 = 5 THEN '' ELSE ',"text":' || to_json(text) END || '}' AS arguments,
+  CASE WHEN name = 'answer' THEN 'no schema' ELSE concat_ws(', ', CASE WHEN size % 7 = 2 THEN 'not integer number' END, CASE WHEN size % 13 = 5 THEN 'missing text' END, CASE WHEN size % 5 = 1 THEN 'unknown note' END) END AS errors FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn, name, arguments) AS n FROM f),
+r AS (SELECT a.conv_id, a.turn AS result_turn, a.text AS content, k.id || CASE WHEN a.size % 29 = 8 THEN '?' ELSE '' END AS id, row_number() OVER (PARTITION BY a.conv_id, k.id, a.size % 29 = 8 ORDER BY a.turn, a.text) AS n
+  FROM t a LEFT JOIN e ON e.conv_id = a.conv_id AND e.turn = a.turn - 1 JOIN k ON k.conv_id = a.conv_id AND k.turn = a.turn - 1 AND k.size = coalesce(e.size, 0) WHERE a.role = 'assistant'),
+o AS (SELECT n.conv_id, n.id, p.id AS parent FROM n LEFT JOIN n p ON p.conv_id = n.conv_id AND p.id = n.ref AND p.n = 1 WHERE n.n = 1),
+l AS (SELECT conv_id, id, 0 AS level FROM o WHERE parent IS NULL UNION ALL SELECT o.conv_id, o.id, l.level + 1 FROM o JOIN l ON o.conv_id = l.conv_id AND o.parent = l.id),
+j AS (SELECT n.conv_id AS call_conv, coalesce(n.conv_id, r.conv_id) AS conv_id, coalesce(n.id, r.id) AS call_id, coalesce(n.n, r.n) AS n, coalesce(n.turn, r.result_turn) AS turn, n.name, n.arguments, coalesce(n.errors, '') AS errors, r.result_turn, r.content
+  FROM n FULL JOIN r ON r.conv_id = n.conv_id AND r.id = n.id AND r.n = n.n),
+w AS (SELECT j.*, CASE WHEN j.n = 1 AND call_conv IS NOT NULL THEN l.level END AS level FROM j LEFT JOIN l ON l.conv_id = j.conv_id AND l.id = j.call_id)
+SELECT conv_id, call_id, turn, level, CASE WHEN n > 1 THEN 'repeated id' WHEN call_conv IS NULL THEN 'no call' WHEN level IS NULL THEN 'cycle' WHEN errors <> '' THEN 'invalid' WHEN result_turn IS NULL THEN 'no result' ELSE 'ok' END AS status, errors,
+ '{' || concat_ws(',', '"arguments":' || arguments, '"id":' || to_json(call_id), '"level":' || level, '"name":"' || name || '"', '"result":' || to_json(content)) || '}' AS canonical FROM w""",
     "op3_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
