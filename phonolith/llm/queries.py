@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolith.llm import chat, matroska, mixing, packing, pii, quality, simhash, substring_dedup, token_files, word_scoring
-from phonolith.llm.store import shared_dir
+from phonolith.llm.store import gone_at_exit, shared_dir
 
 #: The schema that the calls made of conversations are checked against.
 REPLY_SCHEMA = [("reply", "size", "integer", True), ("reply", "number", "integer", True), ("reply", "text", "string", True), ("reply", "context", "object", False)]
@@ -50,6 +50,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/phonolith/tokens-{uuid.uuid4().hex}"
     token_files.write_token_files(documents(spark, sf_dir), path, tokenizer("word_bpe_49k.json"), end_id=1)
+    gone_at_exit(spark, path)
     read = token_files.read_token_files(spark, path)
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

@@ -3,7 +3,7 @@
 A file is ``PHTK``, version (uint16), bytes per id (uint16), number of documents (uint32), SHA-256 of the dictionary
 (32 bytes), then an index entry per document (id, whether it has one, tokens, place and length of its frame) and the
 frames. Any document is read by one look into the index and one short frame. Files lie as binary rows in a Parquet
-table ``files`` (part, number in the part, documents, tokens, file), the dictionary in ``dictionary`` beside it, so
+table ``files`` (part, number in the part, documents, tokens before it in the part, own tokens, file), the dictionary in ``dictionary`` beside it, so
 Spark writes and reads them wherever the store is.
 """
 
@@ -89,11 +89,13 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, held, size, before = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def file() -> pa.RecordBatch:
-            blob = pack_file(held, dictionary, width)
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, seq, len(held), sum(len(i) for _, i in held))] + [pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "file"])
+            nonlocal before
+            blob, own = pack_file(held, dictionary, width), sum(len(i) for _, i in held)
+            before += own
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, seq, len(held), before - own, own)] + [pa.array([blob], pa.binary())], ["part", "seq", "n_docs", "n_before", "n_tokens", "file"])
 
         for batch in batches:
             for run in W.slices(batch, "text", 2 << 20):
@@ -110,30 +112,30 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, end_id: i
             yield file()
 
     ordered = documents.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    files = ordered.mapInArrow(rows, "part bigint, seq bigint, n_docs bigint, n_tokens bigint, file binary")
+    files = ordered.mapInArrow(rows, "part bigint, seq bigint, n_docs bigint, n_before bigint, n_tokens bigint, file binary")
     files.write.option("compression", "none").parquet(f"{path}/files")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, ids`` of every document in the files; start counts the ids before it, ids are little-endian uint32.
 
-    The files' places come from the token counts of the parts: one number per part goes through the driver.
+    A file knows the tokens before it in its part, so one number for each part (a task of the write) goes through the
+    driver, however many files there are.
     """
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first().dictionary)
     files = spark.read.parquet(f"{path}/files")
-    totals = {(r.part, r.seq): r.n for r in files.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n")).collect()}
     base, total = {}, 0
-    for key in sorted(totals):
-        base[key], total = total, total + totals[key]
+    for part, n in sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+        base[part], total = total, total + n
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, file in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "file")), strict=True):
+            for part, before, file in zip(*(batch.column(c).to_pylist() for c in ("part", "n_before", "file")), strict=True):
                 index, width = read_index(file, dictionary)
-                starts = base[part, seq] + np.cumsum(index["tokens"], dtype=np.int64) - index["tokens"]
+                starts = base[part] + before + np.cumsum(index["tokens"], dtype=np.int64) - index["tokens"]
                 for at in range(0, len(index), 2000):
                     run = index[at : at + 2000]
                     ids = [read_document(file, x, width, dictionary).astype("<u4").tobytes() for x in run]
                     yield pa.RecordBatch.from_arrays([pa.array(run["doc_id"], mask=run["has_id"] == 0), pa.array(starts[at : at + 2000]), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
-    return files.select("part", "seq", "file").mapInArrow(rows, "doc_id bigint, start bigint, ids binary")
+    return files.select("part", "n_before", "file").mapInArrow(rows, "doc_id bigint, start bigint, ids binary")
