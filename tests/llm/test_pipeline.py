@@ -1,7 +1,8 @@
 """The pipeline's stages against brute force on a small table."""
 
 import numpy as np
-from tests.llm.test_documents import brute_fingerprint, classes, naive_measures
+from tests.llm.test_documents import classes, naive_measures
+from tests.llm.test_near_copies import close, shingles
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -28,8 +29,9 @@ def test_stages_are_brute_force(spark, tmp_path):
     assert {r.doc_id for r in after} == {r.doc_id for r in before if clean(r.text)}
 
     before, after = kept["near_duplicates"]
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in before}
-    smallest = classes(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    # stages on word shingles take five words and a similarity of 0.8 or more
+    sets = {r.doc_id: shingles(r.text) for r in before}
+    smallest = classes(list(sets), lambda a, b: close(sets[a], sets[b]))
     assert sorted(r.doc_id for r in after) == sorted(set(smallest.values()))
 
     before, after = kept["personal_data"]

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -178,7 +179,9 @@ def test_many_files_send_one_row_for_each_part_to_the_driver(spark, tmp_path, mo
         at += len(r.ids) // 4
 
 
-def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    session = lambda folder, master: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder or default), sparkContext=SimpleNamespace(master=master))
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
-        store.shared_dir(spark)
+        store.shared_dir(session(None, "spark://host:7077"))
+    assert store.shared_dir(session("hdfs://shared/", "spark://host:7077")) == "hdfs://shared"
+    assert store.shared_dir(session(None, "local[2]")).startswith("file:///")
