@@ -17,16 +17,18 @@ from pyspark.sql import functions as F
 
 from phonolith.llm import words as W
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bangs", "n_echoes")
-#: Bit number, name and failing condition of each rule; bits keep their meaning for good, new rules get new bits.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_echoes")
+#: Bit number, name and failing condition of each rule; bits keep their meaning for good (6 is retired), new rules get new
+#: bits. The rules are those of MassiveText (Rae et al., 2021, table A1) with its limit for symbols. Two limits are wider:
+#: mean word length (there 3 to 10), because numbers and other languages count too, and repeated lines (there 0.3), which
+#: would reject short texts with one heading twice. Echoes (a word that equals the one before) are repetition one word long.
 RULES = (
     (0, "few_words", "n_words < 20"),
     (1, "repeated_words", "100 * n_repeat_words > 30 * n_words"),
-    (2, "symbols", "10 * n_symbols > 3 * n_words"),
+    (2, "symbols", "10 * n_symbols > n_words"),
     (3, "repeated_lines", "2 * n_dup_lines > n_lines"),
     (4, "word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     (5, "upper_case", "2 * n_upper > n_letters and n_letters > 0"),
-    (6, "exclamations", "2 * n_bangs > n_words and n_words > 0"),
     (7, "echoes", "2 * n_echoes > n_words"),
 )
 
@@ -96,8 +98,6 @@ def measures_of(texts: pa.Array) -> dict[str, np.ndarray]:
     echo = np.zeros(len(hashes), bool)
     echo[1:] = (hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
-    ends = words.ends - 1
-    bang = (data[ends] == 33) & (ends > words.starts) & (data[np.maximum(ends - 1, 0)] == 33) if len(ends) else np.empty(0, bool)
     lines, repeats = [], []
     for text in texts.to_pylist():
         own = [x for x in (text or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
@@ -112,7 +112,6 @@ def measures_of(texts: pa.Array) -> dict[str, np.ndarray]:
         "n_repeat_words": by_word(repeated(words, hashes)),
         "n_letters": by_text(_LETTER[data]),
         "n_upper": by_text(_UPPER[data]),
-        "n_bangs": by_word(bang),
         "n_echoes": by_word(echo),
     }
 

@@ -135,9 +135,9 @@ s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 z AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM s WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_echoes, 0) AS n_echoes,
-  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, len(list_filter(ws, lambda x: x LIKE '%!!')) AS n_bangs
+  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN z USING (doc_id)),
-b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
-  + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT + 32 * (2 * n_upper > n_letters AND n_letters > 0)::BIGINT + 64 * (2 * n_bangs > n_words AND n_words > 0)::BIGINT + 128 * (2 * n_echoes > n_words)::BIGINT AS failures FROM f)
+b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
+  + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT + 32 * (2 * n_upper > n_letters AND n_letters > 0)::BIGINT + 128 * (2 * n_echoes > n_words)::BIGINT AS failures FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM b""",
 }
