@@ -25,12 +25,12 @@ def tokenize(text: Column) -> Column:
 
 
 def is_vowel(phone: Column) -> Column:
-    return F.coalesce(F.substring(phone, 1, 1).isin(*I.VOWEL_CHARS), F.lit(False))
+    return F.coalesce(F.substring(phone, 1, 1).isin(*sorted(I.VOWELS)), F.lit(False))
 
 
 def normalize(phones: Column, aliases: dict[str, str] | None = None, splits: dict[str, list[str]] | None = None) -> Column:
     """One spelling for each sound, and sounds of several symbols split; the order stays."""
-    aliases, splits = literal_map(I.ALIASES if aliases is None else aliases), _list_map(I.SPLIT_LISTS if splits is None else splits)
+    aliases, splits = literal_map(I.ALIASES if aliases is None else aliases), _list_map(I.SPLITS if splits is None else splits)
     one = lambda p: F.coalesce(F.try_element_at(aliases, p), p)
     return F.flatten(F.transform(phones, lambda p: F.coalesce(F.try_element_at(splits, one(p)), F.array(one(p)))))
 
@@ -42,7 +42,7 @@ def merge_repeats(items: Column) -> Column:
 
 def is_acceptable(expected: Column, heard: Column, function_word: Column, extra: Column | None = None, accept: dict | None = None) -> Column:
     """Whether a heard sound is fine for an expected one. Directional: the pair is not symmetric."""
-    table = _list_map({k: sorted(v) for k, v in (I.ACCEPT_SETS if accept is None else accept).items()})
+    table = _list_map({k: sorted(v) for k, v in (I.ACCEPT if accept is None else accept).items()})
     fine = (expected == heard) | F.array_contains(F.coalesce(F.try_element_at(table, expected), F.array().cast("array<string>")), heard)
     if extra is not None:
         fine = fine | F.coalesce(F.array_contains(extra, heard), F.lit(False))

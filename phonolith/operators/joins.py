@@ -20,9 +20,9 @@ def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str,
     """
     marks = intervals.select(key, F.col(start).alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(name).alias("n")).alias("_own"))
     dots = points.withColumns({"_t": F.col(at), "_kind": F.lit(1)})
-    window = Window.partitionBy(key).orderBy("_t", "_kind")
+    window, back = Window.partitionBy(key).orderBy("_t", "_kind"), Window.partitionBy(key).orderBy(F.desc_nulls_last("_t"), F.desc("_kind"))
     both = dots.unionByName(marks, allowMissingColumns=True)
-    both = both.withColumns({"_b": F.last("_own", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_own", ignorenulls=True).over(window.rowsBetween(1, Window.unboundedFollowing))})
+    both = both.withColumns({"_b": F.last("_own", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.last("_own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     before, after = F.greatest(F.lit(0), F.col(at) - F.col("_b.e")), F.col("_a.s") - F.col(at)
     pick = F.when(F.col("_a").isNull() | (F.col("_b").isNotNull() & (before <= after)), F.col("_b")).otherwise(F.col("_a"))
     return both.where("_kind = 1").withColumn("_pick", pick).withColumns({name: F.col("_pick.n"), "distance": F.when(F.coalesce(F.col("_pick.s") == F.col("_a.s"), F.lit(False)), after).otherwise(before)}).drop("_t", "_kind", "_own", "_b", "_a", "_pick")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BEFORE = (Window.unboundedPreceding, -1)
-_AFTER = (1, Window.unboundedFollowing)
 
 
 def collapse_repeats(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
@@ -15,9 +14,14 @@ def collapse_repeats(rows: DataFrame, by: list[str], order: str, value: str) ->
 
 
 def nearest_known(value: Column, by: list[str], *order: str) -> tuple[Column, Column]:
-    """The last value before a row and the first one after it that isn't null."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    return F.last(value, ignorenulls=True).over(window.rowsBetween(*_BEFORE)), F.first(value, ignorenulls=True).over(window.rowsBetween(*_AFTER))
+    """The last value before a row and the first one after it that isn't null.
+
+    The one after is the last one before in reversed order: a frame that grows is read once, one that shrinks anew for
+    every row.
+    """
+    own = Window.partitionBy(*by)
+    back = own.orderBy(*[F.desc_nulls_last(c) for c in order])
+    return F.last(value, ignorenulls=True).over(own.orderBy(*order).rowsBetween(*_BEFORE)), F.last(value, ignorenulls=True).over(back.rowsBetween(*_BEFORE))
 
 
 def assign_insertions(rows: DataFrame, by: list[str], order: list[str], word: str, to_next: Column) -> DataFrame:
