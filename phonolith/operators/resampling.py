@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonolith.operators.windows import numbered
+
 _PRIME = 2147483647
 
 
@@ -21,10 +23,9 @@ def resample(units: DataFrame, unit: str, n_resamples: int, seed: int) -> DataFr
 
     Units (speakers, not rows) are numbered in the order of their key; the draws are made where they are joined.
     """
-    numbered = units.withColumn("_place", (F.row_number().over(Window.orderBy(unit)) - 1).cast("bigint"))
-    slots = numbered.select(F.col("_place").alias("_slot"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    draws = slots.select("_slot", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_resamples - 1).cast("bigint"))).alias("replicate"))
-    return draws.select("replicate", draw(F.col("replicate"), F.col("_slot"), F.col("_n"), seed).alias("_place")).join(numbered, "_place").drop("_place")
+    placed = numbered(units, "_place", "_n", unit)
+    draws = placed.select(F.col("_place").alias("_slot"), "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_resamples - 1).cast("bigint"))).alias("replicate"))
+    return draws.select("replicate", draw(F.col("replicate"), F.col("_slot"), F.col("_n"), seed).alias("_place")).join(placed.drop("_n"), "_place").drop("_place")
 
 
 def resample_within(units: DataFrame, by: list[str], unit: str, n_resamples: int, seed: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonolith.functions import inventory as I
-from phonolith.operators.metrics import ratio
+from phonolith.operators.metrics import ratio, sums_below
 
 GRID = [math.inf, 0.0, -0.5, -1.0, -1.5, -2.0, -2.5, -3.0, -3.5, -4.0, -5.0, -6.0, -8.0, -10.0]
 PATTERN_GRID = [0.0, -1.0, -2.0, -3.0, -4.0, -5.0, -6.0, -7.0, -8.0]
@@ -191,10 +191,10 @@ def choose_bands(rows: DataFrame, *by: str, red_precision: float = 0.85, min_pre
     t, e, wrong, extra = F.col("grp") == "turkish", F.col("grp") == "english", F.col("wrong"), F.col("extra")
     cells = {"tw": t & wrong, "tn": t, "txw": t & wrong & ~extra, "txn": t & ~extra, "er": e & ~wrong & ~extra}
     sums = rows.groupBy(*by, "p").agg(*[F.count_if(c).alias(n) for n, c in cells.items()], F.count_if(t & extra).alias("tx"), F.count_if(t & extra & wrong).alias("txx"), F.count_if(e & ~wrong & extra).alias("ex"), F.count_if(e & ~wrong).alias("en"))
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("p")), Window.partitionBy(*by)
-    cum = sums.select(*by, "p", *[F.sum(c).over(down).alias(c) for c in cells], *[F.sum(c).over(whole).alias(c) for c in ("tx", "txx", "ex", "en")])
-    last = cum.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("tx", "txx", "ex", "en")]).select(*by, F.lit(1.01).alias("p"), *[F.lit(0).cast("bigint").alias(c) for c in cells], "tx", "txx", "ex", "en")
-    every = cum.unionByName(last)
+    down = sums_below(sums.withColumn("_down", -F.col("p")), "_down", [*cells], *by)
+    whole = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tx", "txx", "ex", "en")])
+    cum = down.select(*by, "p", *[(F.col(f"{c}_below") + F.col(c)).alias(c) for c in cells]).unionByName(whole.select(*by, F.lit(1.01).alias("p"), *[F.lit(0).cast("bigint").alias(c) for c in cells]))
+    every = cum.join(whole, [*by]) if by else cum.crossJoin(F.broadcast(whole))  # one row
     native = ratio(F.col("er") + F.col("ex"), F.col("en")) <= max_false_alarm
     red_ok = (F.col("tn") > 0) & (ratio(F.col("tw"), F.col("tn")) >= red_precision) & native
     yellow_ok = (ratio(F.col("txw") + F.col("txx"), F.col("txn") + F.col("tx")) >= min_precision) & native

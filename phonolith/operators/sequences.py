@@ -139,6 +139,34 @@ def forced_align(log_probs: Column, n_vocab: Column, targets: Column, blank: int
     return run(log_probs, n_vocab, targets)
 
 
+def gop_scores(log_probs: Column, n_vocab: Column, targets: Column, spans: Column, blank: int = 0) -> Column:
+    """(lpp, lpr) of each target in its frames; spans: (start, end) of each."""
+
+    @pandas_function("array<struct<lpp:double,lpr:double>>")
+    def run(values: pd.Series, n: pd.Series, tokens: pd.Series, frames: pd.Series) -> pd.Series:
+        out = []
+        for v, k, t, f in zip(values, n, tokens, frames, strict=True):
+            lpp, lpr = K.gop_scores(matrix(v, k), list(t), [(x["start"], x["end"]) for x in f], blank)
+            out.append([{"lpp": a, "lpr": b} for a, b in zip(lpp, lpr, strict=True)])
+        return pd.Series(out, dtype=object)
+
+    return run(log_probs, n_vocab, targets, spans)
+
+
+def rival_margin(log_probs: Column, n_vocab: Column, span: Column, target: Column, rivals: Column) -> Column:
+    """(margin, rival) of the rival token that leads the target most in its frames (start, end)."""
+
+    @pandas_function("struct<margin:double,rival:int>")
+    def run(values: pd.Series, n: pd.Series, frames: pd.DataFrame, tokens: pd.Series, others: pd.Series) -> pd.DataFrame:
+        out = []
+        for v, k, a, b, t, r in zip(values, n, frames["start"], frames["end"], tokens, others, strict=True):
+            margin, at = K.rival_margin(matrix(v, k), (a, b), t, list(r))
+            out.append((margin, int(r[at])))
+        return pd.DataFrame(out, columns=["margin", "rival"])
+
+    return run(log_probs, n_vocab, span, target, rivals)
+
+
 def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, special: Sequence[int] = (0, 1, 2, 3), sounds: bool = False, **settings) -> DataFrame:
     """Utterances with what was heard of them: ``heard, words, features, tips, phone_accuracy, aligned``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonolith.sources.store import once
+
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -55,3 +57,16 @@ def deal_folds(rows: DataFrame, group: str, member: str, n_folds: int) -> DataFr
 def running_offset(size: Column, by: list[str], order: str) -> Column:
     """Sum of the sizes of the rows before."""
     return F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(order).rowsBetween(*_BEFORE)), F.lit(0))
+
+
+def numbered(rows: DataFrame, name: str, total: str, *order: str) -> DataFrame:
+    """Rows with their place (from 0) in the order of all rows, and the number of rows.
+
+    Rows are dealt by ranges of the order and numbered inside each; only the ranges' sizes, one row for each, are put in
+    a row. The ranges are stored, so that places and sizes are of the same ones.
+    """
+    dealt = once(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    offsets = sizes.select("_range", running_offset(F.col("_size"), [], "_range").alias("_before"), F.sum("_size").over(Window.partitionBy()).alias(total))
+    place = (F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).cast("bigint")
+    return dealt.withColumn(name, place).join(offsets, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

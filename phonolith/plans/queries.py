@@ -78,18 +78,41 @@ def _aligned_parts(spark, d):
     return rows.withColumn("ops", sequences.align(F.col("a"), F.col("b")))
 
 
-@query()
+# the alignment as SQL: a row of the cost matrix for each step of the recursion, then the path back, ties in the kernel's order
+_VOWEL = "contains('aeiouy', {})"
+_LETTER_COST = f"CASE WHEN {{0}} = {{1}} THEN 0.0 WHEN {_VOWEL.format('{0}')} = {_VOWEL.format('{1}')} THEN 0.6 ELSE 1.2 END"
+_NEXT_ROW = "list_reduce(list_concat([[h[1] + {gap}]], list_transform(range(1, len(b) + 1), lambda j: [least(h[j] + {cost}, h[j + 1] + {gap})])), lambda x, y: list_append(x, least(y[1], x[-1] + {gap})))"
+_MATRIX_SQL = f"""m AS (SELECT id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda j: 1.0::DOUBLE * j) AS h FROM pairs
+UNION ALL SELECT id, a, b, i + 1, {_NEXT_ROW.format(gap="1.0::DOUBLE", cost="(" + _LETTER_COST.format("a[i + 1]", "b[j]") + ")::DOUBLE")} FROM m WHERE i < len(a))"""
+_PARTS_SQL = "pairs AS (SELECT p_partkey AS id, string_split(p_type, '') AS a, string_split(p_name, '') AS b FROM part)"
+
+
+@query(f"WITH RECURSIVE {_PARTS_SQL}, {_MATRIX_SQL} SELECT id AS p_partkey, round(h[-1], 6) AS cost FROM m WHERE i = len(a)")
 def q06_weighted_align(spark, d):
     return _aligned_parts(spark, d).select("p_partkey", r6(sequences.edit_cost(F.col("ops"))).alias("cost"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PARTS_SQL}, {_MATRIX_SQL}, s AS (SELECT id, len(a) AS i, len(b) AS j, NULL::VARCHAR AS kind FROM pairs
+UNION ALL SELECT id, i - (k <> 'ins')::INT, j - (k <> 'del')::INT, k FROM (SELECT s.id, s.i, s.j, CASE WHEN s.i = 0 THEN 'ins' WHEN s.j = 0 THEN 'del'
+ WHEN u.h[s.j] + {_LETTER_COST.format("m.a[s.i]", "m.b[s.j]")} <= least(u.h[s.j + 1] + 1, m.h[s.j] + 1) THEN CASE WHEN m.a[s.i] = m.b[s.j] THEN 'match' ELSE 'sub' END
+ WHEN u.h[s.j + 1] + 1 <= m.h[s.j] + 1 THEN 'del' ELSE 'ins' END AS k FROM s JOIN m ON m.id = s.id AND m.i = s.i LEFT JOIN m u ON u.id = s.id AND u.i = s.i - 1 WHERE s.i + s.j > 0))
+SELECT p_brand, kind, count(*) AS n FROM s JOIN part ON p_partkey = id WHERE kind IS NOT NULL GROUP BY ALL""")
 def q07_align_histogram(spark, d):
     ops = _aligned_parts(spark, d).select("p_brand", F.explode("ops").alias("o"))
     return ops.groupBy("p_brand", F.col("o.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+_TOKENS_SQL = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[''’][a-z]+)*')"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT p_partkey, {_TOKENS_SQL.format("p_type")} AS ws, {_TOKENS_SQL.format("p_name")} AS hs FROM part),
+pairs AS (SELECT (p_partkey, x, y) AS id, string_split(ws[x], '') AS a, string_split(hs[y], '') AS b FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS x FROM w), (SELECT unnest(range(1, 9)) AS y) WHERE y <= len(hs)), {_MATRIX_SQL},
+c AS (SELECT id[1] AS p, list(list_value(id[2]::DOUBLE, id[3]::DOUBLE, h[-1] / greatest(len(a), 1))) AS cs FROM m WHERE i = len(a) GROUP BY 1),
+t AS (SELECT p_partkey AS id, ws AS a, hs AS b, list_transform(range(1, len(ws) + 1), lambda x: list_transform(range(1, len(hs) + 1), lambda y: list_filter(cs, lambda k: k[1] = x AND k[2] = y)[1][3])) AS k FROM w LEFT JOIN c ON p = p_partkey),
+n AS (SELECT id, a, b, k, 0 AS i, list_transform(range(len(b) + 1), lambda j: 0.5::DOUBLE * j) AS h FROM t UNION ALL SELECT id, a, b, k, i + 1, {_NEXT_ROW.format(gap="0.5::DOUBLE", cost="k[i + 1][j]")} FROM n WHERE i < len(a)),
+s AS (SELECT id, len(a) AS i, len(b) AS j, 0 AS hit FROM t UNION ALL SELECT id, i - (z <> 'ins')::INT, j - (z <> 'del')::INT, (z = 'both')::INT FROM (SELECT s.id, s.i, s.j, CASE WHEN s.i = 0 THEN 'ins' WHEN s.j = 0 THEN 'del'
+ WHEN u.h[s.j] + n.k[s.i][s.j] <= least(u.h[s.j + 1] + 0.5, n.h[s.j] + 0.5) THEN 'both' WHEN u.h[s.j + 1] + 0.5 <= n.h[s.j] + 0.5 THEN 'del' ELSE 'ins' END AS z FROM s JOIN n ON n.id = s.id AND n.i = s.i LEFT JOIN n u ON u.id = s.id AND u.i = s.i - 1 WHERE s.i + s.j > 0))
+SELECT p_partkey, len(ws)::INT AS expected, (SELECT sum(hit) FROM s WHERE s.id = p_partkey)::INT AS matched FROM w""")
 def q08_align_words(spark, d):
     """The words of a part's type against those of its name, letters as sounds."""
     words = lambda c: F.transform(P.tokenize(F.lower(c)), lambda w: F.split(w, ""))
@@ -98,11 +121,17 @@ def q08_align_words(spark, d):
     return pairs.select("p_partkey", F.size("a").alias("expected"), F.size(F.filter(heard, lambda w: w.isNotNull())).alias("matched"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_position(embedding, list_max(embedding)) - 1 AS token FROM embeddings),
-b AS (SELECT *, lag(token) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM e) SELECT label, vec_id, token::INT AS token FROM b WHERE token IS DISTINCT FROM p AND token <> 0""")
+def _utterances(spark, d):
+    """Ten vectors in a row as the frames of an utterance: ``utt, log_probs`` (row-major, 64 tokens)."""
+    frames = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("utt"), F.struct("vec_id", "embedding").alias("f"))
+    return frames.groupBy("utt").agg(F.flatten(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["embedding"])).alias("log_probs"))
+
+
+@query("""WITH e AS (SELECT vec_id // 10 AS utt, vec_id, row_number() OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) - 1 AS frame, list_position(embedding, list_max(embedding)) - 1 AS token FROM embeddings),
+b AS (SELECT *, lag(token) OVER (PARTITION BY utt ORDER BY frame) AS p FROM e) SELECT utt, frame::INT AS frame, token::INT AS token FROM b WHERE token IS DISTINCT FROM p AND token NOT IN (0, 7)""")
 def q09_greedy_decode(spark, d):
-    best = table(spark, d, "embeddings").select("vec_id", "label", P.argmax(F.col("embedding")).alias("token"))
-    return N.collapse_repeats(best, ["label"], "vec_id", "token").where("token <> 0").select("label", "vec_id", "token")
+    runs = sequences.greedy_decode(F.col("log_probs"), F.lit(64), 0, (7,))
+    return _utterances(spark, d).select("utt", F.explode(runs).alias("r")).select("utt", "r.frame", "r.token")
 
 
 @query("""SELECT vec_id, round(list_max(k) - (list_max(k) + ln(list_sum(list_transform(k, lambda x: exp(x - list_max(k)))))), 6) AS best FROM
@@ -113,22 +142,35 @@ def q10_restrict(spark, d):
     return table(spark, d, "embeddings").select("vec_id", r6(F.array_max(limited)).alias("best"))
 
 
-@query()
+# the best path through the CTC graph of four targets as SQL: scores of all nine states by frame, and the way back
+_CTC_SQL = """u AS (SELECT vec_id // 10 AS utt, list(list_transform(embedding, lambda x: x::DOUBLE) ORDER BY vec_id) AS f FROM embeddings GROUP BY 1),
+l AS (SELECT [0, 5, 0, 9, 0, 9, 0, 3, 0] AS tok, [false, false, false, true, false, false, false, true, false] AS jump),
+v AS (SELECT utt, 1 AS t, list_transform(range(1, 10), lambda s: CASE WHEN s <= 2 THEN f[1][tok[s] + 1] ELSE -1e30 END) AS sc, NULL::INT[] AS st FROM u, l
+UNION ALL SELECT utt, t + 1, list_transform(o, lambda x: list_max(x[1:3]) + x[4]), list_transform(o, lambda x: (list_position(x[1:3], list_max(x[1:3])) - 1)::INT) FROM
+(SELECT utt, t, list_transform(range(1, 10), lambda s: [sc[s], CASE WHEN s > 1 THEN sc[s - 1] ELSE -1e30 END, CASE WHEN s > 2 AND jump[s] THEN sc[s - 2] ELSE -1e30 END, f[t + 1][tok[s] + 1]]) AS o FROM v JOIN u USING (utt), l WHERE t < len(f))),
+w AS (SELECT utt, t, CASE WHEN sc[9] >= sc[8] THEN 9 ELSE 8 END AS s FROM v JOIN u USING (utt) WHERE t = len(f) AND greatest(sc[8], sc[9]) > -5e29
+UNION ALL SELECT w.utt, w.t - 1, w.s - v.st[w.s] FROM w JOIN v ON v.utt = w.utt AND v.t = w.t WHERE w.t > 1),
+p AS (SELECT utt, s // 2 - 1 AS target, min(t) - 1 AS "start", max(t) - 1 AS "end" FROM w WHERE s % 2 = 0 GROUP BY 1, 2)"""
+_TARGETS = (5, 9, 9, 3)
+
+
+@query(f"""WITH RECURSIVE {_CTC_SQL} SELECT utt, target::INT AS target, "start"::INT AS "start", "end"::INT AS "end", round(max(own), 6) AS lpp, round(max(own - lead), 6) AS lpr FROM
+(SELECT p.*, f[t][tok[(target + 1) * 2] + 1] AS own, list_max(f[t][2:]) AS lead FROM p JOIN u USING (utt), l, range(1, 1000) r(t) WHERE t - 1 BETWEEN "start" AND "end") GROUP BY ALL""")
 def q11_viterbi(spark, d):
-    """Frames of each label (in order of their id) aligned to four targets."""
-    rows = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
-    flat = F.flatten(F.transform("x", lambda r: r["embedding"]))
-    spans = sequences.forced_align(flat, F.lit(64), F.array(*map(F.lit, (5, 9, 9, 3))))
-    return rows.select("label", F.posexplode(spans).alias("target", "s")).select("label", "target", "s.start", "s.end", r6("s.lpp").alias("lpp"), r6("s.lpr").alias("lpr"))
+    """Utterances of ten frames aligned to four targets."""
+    spans = sequences.forced_align(F.col("log_probs"), F.lit(64), F.array(*map(F.lit, _TARGETS)))
+    return _utterances(spark, d).select("utt", F.posexplode(spans).alias("target", "s")).select("utt", "target", "s.start", "s.end", r6("s.lpp").alias("lpp"), r6("s.lpr").alias("lpr"))
 
 
-@query("""WITH f AS (SELECT vec_id // 10 AS utt, embedding[6]::DOUBLE AS own, list_max(embedding[2:])::DOUBLE AS lead FROM embeddings)
-SELECT utt, round(max(own), 6) AS lpp, round(max(own - lead), 6) AS lpr, round(max(rival - own), 6) AS margin FROM (SELECT vec_id // 10 AS utt, embedding[6]::DOUBLE AS own, list_max(embedding[2:])::DOUBLE AS lead, greatest(embedding[8], embedding[12])::DOUBLE AS rival FROM embeddings) GROUP BY utt""")
+@query("""WITH f AS (SELECT vec_id // 10 AS utt, row_number() OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS t, embedding[6]::DOUBLE AS own, list_max(embedding[2:])::DOUBLE AS lead, embedding[8]::DOUBLE AS a, embedding[12]::DOUBLE AS b FROM embeddings),
+g AS (SELECT utt, max(greatest(a, b) - own) AS margin, max(own) AS lpp, max(own - lead) AS lpr FROM f GROUP BY utt)
+SELECT utt, round(lpp, 6) AS lpp, round(lpr, 6) AS lpr, round(margin, 6) AS margin, (SELECT arg_min(CASE WHEN a >= b THEN 7 ELSE 11 END, t) FROM f WHERE f.utt = g.utt AND greatest(a, b) - own = margin)::INT AS rival FROM g""")
 def q12_gop_and_rivals(spark, d):
-    at = lambda i: F.col("embedding")[i].cast("double")
-    lead = F.array_max(F.slice("embedding", 2, 63)).cast("double")
-    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("utt"), at(5).alias("own"), lead.alias("lead"), F.greatest(at(7), at(11)).alias("rival"))
-    return rows.groupBy("utt").agg(r6(F.max("own")).alias("lpp"), r6(F.max(F.col("own") - F.col("lead"))).alias("lpr"), r6(F.max(F.col("rival") - F.col("own"))).alias("margin"))
+    rows = _utterances(spark, d).withColumn("span", F.struct(F.lit(0).alias("start"), (F.size("log_probs") / 64 - 1).cast("int").alias("end")))
+    scores = sequences.gop_scores(F.col("log_probs"), F.lit(64), F.array(F.lit(5)), F.array("span"))[0]
+    rival = sequences.rival_margin(F.col("log_probs"), F.lit(64), F.col("span"), F.lit(5), F.array(F.lit(7), F.lit(11)))
+    found = rows.select("utt", scores.alias("g"), rival.alias("r"))
+    return found.select("utt", r6("g.lpp").alias("lpp"), r6("g.lpr").alias("lpr"), r6("r.margin").alias("margin"), "r.rival")
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
@@ -158,9 +200,11 @@ def q15_gop_confirmation(spark, d):
 @query("""SELECT l_orderkey, l_returnflag, l_linenumber, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_discount DESC, l_linenumber) AS k FROM lineitem
 WHERE l_discount > CASE l_returnflag WHEN 'A' THEN 0.05 WHEN 'N' THEN 0.03 ELSE 0.07 END) WHERE k = 1""")
 def q16_hidden_choice(spark, d):
-    limit = F.when(F.col("l_returnflag") == "A", 0.05).when(F.col("l_returnflag") == "N", 0.03).otherwise(0.07)
-    window = Window.partitionBy("l_orderkey", "l_returnflag").orderBy(F.desc("l_discount"), "l_linenumber")
-    return table(spark, d, "lineitem").where(F.col("l_discount") > limit).withColumn("k", F.row_number().over(window)).where("k = 1").select("l_orderkey", "l_returnflag", "l_linenumber", "l_discount")
+    """The lines of an order as rivals: the flag is place and pattern, the discount the margin."""
+    rival = F.struct(F.ascii("l_returnflag").alias("pos"), F.col("l_returnflag").alias("tip"), F.col("l_discount").alias("margin"), "l_linenumber")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", rival.alias("r")))).alias("x"))
+    chosen = selection.chosen_hidden(F.transform("x", lambda x: x["r"]), {"A": 0.05, "N": 0.03, "R": 0.07})
+    return rows.select("l_orderkey", F.explode(chosen).alias("r")).select("l_orderkey", F.col("r.tip").alias("l_returnflag"), "r.l_linenumber", F.col("r.margin").alias("l_discount"))
 
 
 @query("""SELECT event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY event_type ORDER BY n DESC, first_seen LIMIT 3""")
@@ -322,7 +366,7 @@ def q32_bands(spark, d):
     return selection.choose_bands(rows, red_precision=0.21, min_precision=0.1, max_false_alarm=0.6)
 
 
-_DRAWS = """b AS (SELECT unnest(range(200)) AS b), u AS (SELECT *, row_number() OVER (ORDER BY {unit}) - 1 AS k, count(*) OVER () AS n FROM units), s AS (SELECT b, k AS slot, n FROM u, b),
+_DRAWS = """b AS (SELECT unnest(range(2000)) AS b), u AS (SELECT *, row_number() OVER (ORDER BY {unit}) - 1 AS k, count(*) OVER () AS n FROM units), s AS (SELECT b, k AS slot, n FROM u, b),
 r AS (SELECT b, (((b * 1103515245 + slot * 12345 + 1 * 69069) % 2147483647) * 48271 % 2147483647) % n AS k FROM s)"""
 
 
@@ -330,7 +374,7 @@ r AS (SELECT b, (((b * 1103515245 + slot * 12345 + 1 * 69069) % 2147483647) * 48
 e AS (SELECT b, sum(total) / sum(size) AS s FROM r JOIN u USING (k) GROUP BY b) SELECT round(quantile_cont(s, 0.025), 4) AS low, round(quantile_cont(s, 0.975), 4) AS high FROM e""")
 def q33_bootstrap(spark, d):
     units = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("total"), F.count("*").alias("size"))
-    ci = resampling.bootstrap_ci(units, "c_nationkey", F.sum("total") / F.sum("size"), 200)
+    ci = resampling.bootstrap_ci(units, "c_nationkey", F.sum("total") / F.sum("size"))
     return ci.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
@@ -341,7 +385,7 @@ SELECT round(diff, 3) AS diff, round(low, 3) AS low, round(high, 3) AS high, low
 def q34_paired_bootstrap(spark, d):
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).groupBy("c_nationkey", (F.year("o_orderdate") % 2).alias("y")).agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("size"))
     a, b = (rows.where(f"y = {y}").drop("y") for y in (0, 1))
-    out = resampling.paired_bootstrap(a, b, "c_nationkey", lambda p: F.sum(f"{p}_total") / F.sum(f"{p}_size"), 200)
+    out = resampling.paired_bootstrap(a, b, "c_nationkey", lambda p: F.sum(f"{p}_total") / F.sum(f"{p}_size"))
     return out.select(*[F.round(c, 3).alias(c) for c in ("diff", "low", "high")], "real")
 
 
@@ -509,13 +553,13 @@ _RATE_SQL = "CASE WHEN sum({b}) = 0 THEN 0 ELSE sum({a}) / sum({b}) END"
 
 
 @query(f"""WITH {_ANNOTATED_SQL}, labelled AS (SELECT 'main' AS version, grp, speaker, wrong, f FROM w UNION ALL SELECT 'raw', grp, speaker, gop < -5, f FROM w),
-units AS (SELECT version, grp, speaker, count(*) FILTER (wrong AND f) AS tp, count(*) FILTER (NOT wrong AND f) AS fp, count(*) FILTER (wrong AND NOT f) AS fn, count(*) FILTER (NOT wrong AND NOT f) AS tn FROM labelled WHERE wrong IS NOT NULL GROUP BY ALL), {_WITHIN.format(n=80, by="version, grp", unit="speaker")},
+units AS (SELECT version, grp, speaker, count(*) FILTER (wrong AND f) AS tp, count(*) FILTER (NOT wrong AND f) AS fp, count(*) FILTER (wrong AND NOT f) AS fn, count(*) FILTER (NOT wrong AND NOT f) AS tn FROM labelled WHERE wrong IS NOT NULL GROUP BY ALL), {_WITHIN.format(n=2000, by="version, grp", unit="speaker")},
 e AS (SELECT version, grp, b, {_RATE_SQL.format(a="tp", b="tp + fn")} AS x, {_RATE_SQL.format(a="tp", b="tp + fp")} AS y FROM r JOIN u USING (version, grp, k) GROUP BY version, grp, b),
 c AS (SELECT version, grp, round(quantile_cont(x, 0.025), 6) AS recall_low, round(quantile_cont(x, 0.975), 6) AS recall_high, round(quantile_cont(y, 0.025), 6) AS precision_low, round(quantile_cont(y, 0.975), 6) AS precision_high FROM e GROUP BY ALL)
 SELECT version, grp, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, count(*) AS speakers, round({_RATE_SQL.format(a="tp", b="tp + fn")}, 6) AS recall, any_value(recall_low) AS recall_low, any_value(recall_high) AS recall_high, any_value(precision_low) AS precision_low, any_value(precision_high) AS precision_high FROM units JOIN c USING (version, grp) GROUP BY version, grp""")
 def q52_detection_intervals(spark, d):
     rows = _annotated(spark, d).withColumn("raw", F.col("gop") < -5)
-    found = reports.detection_with_intervals(rows, {"main": "expert_wrong", "raw": "raw"}, 80)
+    found = reports.detection_with_intervals(rows, {"main": "expert_wrong", "raw": "raw"})
     return found.select("version", "grp", "tp", "fp", "fn", "tn", "speakers", *[r6(c).alias(c) for c in ("recall", "recall_low", "recall_high", "precision_low", "precision_high")])
 
 
@@ -528,16 +572,16 @@ def _units(rows):
 
 
 @query(f"""WITH {_WORDS_SQL}, w AS (SELECT *, issue AND (gop IS NULL OR gop < CASE WHEN tip THEN -4 ELSE -6 END) AS fa, issue AND (gop IS NULL OR gop < CASE WHEN tip THEN -2 ELSE -4 END) AS fb, wrong = (grp = 'turkish') AS base FROM l WHERE wrong IS NOT NULL),
-units AS (SELECT CASE WHEN grp = 'turkish' THEN 'Turkish: recall' ELSE 'English: false alarm' END AS metric, speaker, count(*) FILTER (base AND fa) AS a, count(*) FILTER (base AND fb) AS x, count(*) FILTER (base) AS z FROM w GROUP BY ALL), {_WITHIN.format(n=80, by="metric", unit="speaker")},
+units AS (SELECT CASE WHEN grp = 'turkish' THEN 'Turkish: recall' ELSE 'English: false alarm' END AS metric, speaker, count(*) FILTER (base AND fa) AS a, count(*) FILTER (base AND fb) AS x, count(*) FILTER (base) AS z FROM w GROUP BY ALL), {_WITHIN.format(n=2000, by="metric", unit="speaker")},
 e AS (SELECT metric, b, {_RATE_SQL.format(a="x", b="z")} - {_RATE_SQL.format(a="a", b="z")} AS s FROM r JOIN u USING (metric, k) GROUP BY metric, b), c AS (SELECT metric, quantile_cont(s, 0.025) AS low, quantile_cont(s, 0.975) AS high FROM e GROUP BY metric)
 SELECT metric, count(*) AS speakers, round(sum(x) / sum(z) - sum(a) / sum(z), 6) AS diff, round(any_value(low), 6) AS diff_low, round(any_value(high), 6) AS diff_high, any_value(low) > 0 OR any_value(high) < 0 AS real FROM units JOIN c USING (metric) GROUP BY metric""")
 def q53_compare_systems(spark, d):
     rows = _word_eval(spark, d)
-    found = reports.compare_systems(_units(selection.apply_gop(rows, -6.0, -4.0)), _units(selection.apply_gop(rows, -4.0, -2.0)), 80)
+    found = reports.compare_systems(_units(selection.apply_gop(rows, -6.0, -4.0)), _units(selection.apply_gop(rows, -4.0, -2.0)))
     return found.select("metric", "speakers", *[r6(c).alias(c) for c in ("diff", "diff_low", "diff_high")], "real")
 
 
-@query(f"""WITH t AS (SELECT user_id % 20 AS unit, round(value) AS x, event_type = 'error' AS wrong FROM events), units AS (SELECT DISTINCT unit FROM t), {_DRAWS.format(unit="unit").replace("range(200)", "range(60)")},
+@query(f"""WITH t AS (SELECT user_id % 20 AS unit, round(value) AS x, event_type = 'error' AS wrong FROM events), units AS (SELECT DISTINCT unit FROM t), {_DRAWS.format(unit="unit").replace("range(2000)", "range(60)")},
 d AS (SELECT b, unit, count(*) AS w FROM r JOIN u USING (k) GROUP BY ALL UNION ALL SELECT -1, unit, 1 FROM units), steps AS (SELECT unit, x, count(*) FILTER (wrong) AS p, count(*) FILTER (NOT wrong) AS n FROM t GROUP BY ALL),
 q AS (SELECT b, x, sum(p * w) AS p, sum(n * w) AS n FROM steps JOIN d USING (unit) GROUP BY ALL), o AS (SELECT *, sum(n) OVER (PARTITION BY b ORDER BY x) - n AS below FROM q), e AS (SELECT b, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auc FROM o GROUP BY b)
 SELECT round(max(auc) FILTER (b < 0), 6) AS auc, round(quantile_cont(auc, 0.025) FILTER (b >= 0), 6) AS low, round(quantile_cont(auc, 0.975) FILTER (b >= 0), 6) AS high FROM e""")
