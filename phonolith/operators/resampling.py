@@ -125,3 +125,18 @@ def balanced_draws(rows: DataFrame, label: str, member: str, order: Column, n: i
     quota = F.floor(F.lit(n) / F.col("_c"))
     copies = F.floor(quota / F.col("_n")) + F.when(F.col("_k") < F.pmod(quota, F.col("_n")), 1).otherwise(0)
     return placed.withColumn("copies", copies).where("copies > 0").drop("_k", "_n", "_c")
+
+
+def balanced_sample(rows: DataFrame, label: str, member: str, n: int, seed: int) -> DataFrame:
+    """n draws with replacement (``draw`` from 0): every class is as likely, and every row of a class.
+
+    Rows are numbered in the order of class and member, so those of a class follow each other; a draw picks a class, then a
+    place in it. rows: each member once.
+    """
+    placed = numbered(rows, "_place", "_rows", label, member).drop("_rows")
+    sizes = placed.groupBy(label).agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
+    classes = sizes.withColumns({"_class": (F.row_number().over(Window.orderBy(label)) - 1).cast("bigint"), "_classes": F.count("*").over(Window.partitionBy())}).drop(label)
+    count = classes.agg(F.count("*").alias("_c"))  # one row; classes are few
+    draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(count)).withColumn("_class", draw(F.col("draw"), F.lit(0), F.col("_c"), seed))
+    picked = draws.join(classes, "_class").select("draw", (F.col("_first") + draw(F.col("draw"), F.lit(1), F.col("_size"), seed)).alias("_place"))
+    return picked.join(placed, "_place").drop("_place")

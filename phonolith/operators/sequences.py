@@ -103,11 +103,13 @@ def transfer_labels(expected: pd.Series, arpabet: pd.Series, scores: pd.Series,
     return pd.DataFrame([K.transfer_labels(list(e), list(a), list(s), bool(f)) for e, a, s, f in zip(expected, arpabet, scores, function, strict=True)], columns=["scores", "stats"])
 
 
-@pandas_function("struct<ok:boolean,reason:string,tokens:array<string>,expected:array<string>,perceived:array<string>,accented:int>")
+@pandas_function("struct<ok:boolean,reason:string,tokens:array<string>,canonical:array<string>,expected:array<string>,perceived:array<string>,accented:int,errors:array<array<string>>>")
 def build_target(words: pd.Series, raw: pd.Series) -> pd.DataFrame:
-    """words: array of (text, phones: array of parsed labels); raw: expected tokens by word."""
+    """words: array of (text, phones: array of parsed labels); raw: expected tokens by word. errors: kind, expected, heard
+    and tip of each annotated error."""
     rows = [K.build_target([{"text": w["text"], "phones": list(w["phones"])} for w in ws], [list(t) for t in r]) for ws, r in zip(words, raw, strict=True)]
-    return pd.DataFrame(rows, columns=["ok", "reason", "tokens", "expected", "perceived", "accented"])
+    rows = [r | {"errors": [[i[k] for k in ("kind", "expected", "heard", "tip")] for i in r["issues"]]} for r in rows]
+    return pd.DataFrame(rows, columns=["ok", "reason", "tokens", "canonical", "expected", "perceived", "accented", "errors"])
 
 
 def matrix(flat, n_vocab: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from phonolith.functions import phones as P
 from phonolith.operators import joins as J
 from phonolith.operators import kernels as K
 from phonolith.operators import metrics as M
-from phonolith.operators import detector, models, reports, resampling, selection, sequences
+from phonolith.operators import detector, evaluation, models, reports, resampling, selection, sequences
 from phonolith.operators import windows as N
 from phonolith.sources.store import once
 
@@ -655,3 +655,97 @@ def q62_new_false_alarms(spark, d):
 @query(f"""WITH {_ANNOTATED_SQL} SELECT speaker, count(*) FILTER (wrong AND f) AS found, count(*) FILTER (wrong) AS errors FROM w WHERE wrong IS NOT NULL GROUP BY speaker""")
 def q63_error_units(spark, d):
     return reports.error_units(_annotated(spark, d))
+
+
+_ERRORS_SQL = """e AS (SELECT l_orderkey AS k, l_returnflag AS f, 'x' || (min(l_linenumber) % 3) AS h FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL), o AS (SELECT l_orderkey AS k, l_returnflag AS f, 'x' || (min(l_linenumber) % 3) AS h FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL),
+j AS (SELECT e.*, (o.f IS NOT NULL)::INT AS found, coalesce(o.h = e.h, false)::INT AS exact FROM e LEFT JOIN o USING (k, f))"""
+
+
+def _order_errors(spark, d):
+    """Orders as words: an expert's error for each flag of shipped lines, a report for each flag of open ones."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_returnflag").agg(F.min("l_linenumber").alias("n"))
+    tip = F.when(F.col("l_returnflag") != "N", F.lower("l_returnflag"))
+    error = F.struct(F.lit("sub").alias("kind"), F.col("l_returnflag").alias("expected"), F.concat(F.lit("x"), F.col("n") % 3).alias("heard"), tip.alias("tip"), F.lit(False).alias("hidden"))
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("l_linestatus") == s, error)))
+    return lines.groupBy("l_orderkey").agg(side("F").alias("expert_errors"), side("O").alias("our_errors"))
+
+
+@query(f"""WITH {_ERRORS_SQL}, w AS (SELECT k, count(*) AS n, sum(found) AS s FROM j GROUP BY k) SELECT x.*, multi_error_words, multi_all, multi_some, multi_none FROM
+(SELECT count(*) AS expert_errors, sum(found)::BIGINT AS found, sum(exact)::BIGINT AS found_exact, round(sum(found) / count(*), 6) AS catch, round(sum(exact) / count(*), 6) AS exact FROM j) x,
+(SELECT count(*) FILTER (n >= 2) AS multi_error_words, count(*) FILTER (n >= 2 AND s = n) AS multi_all, count(*) FILTER (n >= 2 AND s > 0 AND s < n) AS multi_some, count(*) FILTER (n >= 2 AND s = 0) AS multi_none FROM w)""")
+def q64_error_level_catch(spark, d):
+    return evaluation.error_level_catch(_order_errors(spark, d)).withColumns({c: r6(c) for c in ("catch", "exact")})
+
+
+@query(f"""WITH {_ERRORS_SQL} SELECT lower(f) AS tip, count(*) AS errors, count(*) FILTER (found = 1) AS found FROM j WHERE f <> 'N' GROUP BY f""")
+def q65_catch_by_tip(spark, d):
+    return evaluation.catch_by_tip(_order_errors(spark, d))
+
+
+@query("""WITH u AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events), c AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS i, count(*) OVER () AS cs FROM (SELECT DISTINCT event_type FROM events)),
+r AS (SELECT d, (((d * 1103515245 + 3 * 69069) % 2147483647) * 48271 % 2147483647) AS x, (((d * 1103515245 + 12345 + 3 * 69069) % 2147483647) * 48271 % 2147483647) AS y FROM (SELECT unnest(range(5000)) AS d))
+SELECT d AS draw, event_id, event_type FROM r JOIN c ON r.x % c.cs = c.i JOIN u USING (event_type) WHERE r.y % u.n = u.k""")
+def q66_balanced_sample(spark, d):
+    rows = table(spark, d, "events").select("event_id", "event_type")
+    return resampling.balanced_sample(rows, "event_type", "event_id", 5000, 3).select("draw", "event_id", "event_type")
+
+
+_SCORED_SQL = """s AS (SELECT o_custkey % 40 AS speaker, l_tax * 200 AS accuracy, l_quantity / 50 AS our_score, l_returnflag = 'R' AS flagged, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS last FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+w AS (FROM s WHERE last < 7)"""
+
+
+def _scored_words(spark, d):
+    """Orders as utterances and their lines as words; experts have scored the first six words only."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
+    issue = F.struct(F.lit("sub").alias("kind"), F.lit("w").alias("expected"), F.lit("v").alias("heard"), F.lit("w").alias("tip"), F.lit(False).alias("hidden"))
+    issues = F.when(F.col("l_returnflag") == "R", F.array(issue)).otherwise(F.array().cast(f"array<{issue_type}>"))
+    word = F.struct("l_linenumber", "l_partkey", (F.col("l_quantity") / 50).alias("score"), issues.alias("issues"), (F.col("l_tax") * 200).alias("accuracy"))
+    both = lines.groupBy("l_orderkey", F.pmod("o_custkey", F.lit(40)).alias("speaker")).agg(F.array_sort(F.collect_list(word)).alias("words"))
+    human = both.withColumn("words", F.filter("words", lambda w: w["l_linenumber"] < 7))
+    return evaluation.scored_words(both.drop("speaker"), human, ["l_orderkey"])
+
+
+@query(f"""WITH {_SCORED_SQL}, c AS (SELECT count(*) FILTER (accuracy < 10 AND flagged) AS tp, count(*) FILTER (accuracy >= 10 AND flagged) AS fp, count(*) FILTER (accuracy < 10 AND NOT flagged) AS fn, count(*) FILTER (accuracy >= 10 AND NOT flagged) AS tn, round(corr(our_score, accuracy), 6) AS pcc FROM w)
+SELECT *, tp + fp + fn + tn AS words, tp + fn AS expert_wrong, round(fp / (fp + tn), 6) AS false_alarm, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
+def q67_word_detection(spark, d):
+    return evaluation.word_detection(_scored_words(spark, d)).withColumns({c: r6(c) for c in ("false_alarm", "recall", "precision", "f1", "pcc")})
+
+
+@query(f"""WITH {_SCORED_SQL} SELECT speaker, count(*) FILTER (accuracy < 10 AND flagged) AS tp, count(*) FILTER (accuracy >= 10 AND flagged) AS fp, count(*) FILTER (accuracy < 10 AND NOT flagged) AS fn, count(*) FILTER (accuracy >= 10 AND NOT flagged) AS tn FROM w GROUP BY speaker""")
+def q68_confusion_by_speaker(spark, d):
+    return evaluation.confusion_by_speaker(_scored_words(spark, d))
+
+
+_BANDS_SQL = """t AS (SELECT event_id, 's' || (user_id % 24) AS speaker, round(value) AS p, event_type = 'error' AS wrong, event_type = 'purchase' AS extra, user_id % 2 = 0 AS t FROM events), o AS (SELECT t, speaker, (row_number() OVER (PARTITION BY t ORDER BY speaker) - 1) % 6 AS fold FROM (SELECT DISTINCT t, speaker FROM t)),
+x AS (SELECT t.*, fold FROM t JOIN o USING (t, speaker)), h AS (SELECT DISTINCT fold AS held FROM o), c AS (SELECT DISTINCT held, p FROM x, h WHERE fold <> held UNION SELECT held, 1.01 FROM h),
+s AS (SELECT held, c.p AS x, count(*) FILTER (t AND x.p >= c.p) AS tn, count(*) FILTER (t AND wrong AND x.p >= c.p) AS tw, count(*) FILTER (t AND (x.p >= c.p OR extra)) AS yn, count(*) FILTER (t AND wrong AND (x.p >= c.p OR extra)) AS yw,
+count(*) FILTER (NOT t AND NOT wrong AND (x.p >= c.p OR extra)) AS ef, count(*) FILTER (NOT t AND NOT wrong) AS en FROM x JOIN c ON fold <> held WHERE c.p <> 1.01 GROUP BY ALL), r AS (SELECT held, min(x) FILTER (tn > 0 AND tw / tn >= 0.21 AND ef / en <= 0.6) AS red FROM s GROUP BY held),
+b AS (SELECT held, coalesce(any_value(red), 1.01) AS red, coalesce(min(x) FILTER (x <= coalesce(red, 1.01) AND yn > 0 AND yw / yn >= 0.1 AND ef / en <= 0.6), any_value(red), 1.01) AS yellow FROM s JOIN r USING (held) GROUP BY held)"""
+
+
+@query(f"""WITH {_BANDS_SQL} SELECT fold::INT AS fold, red, yellow, count(*) AS words, count(*) FILTER (p >= yellow OR extra) AS flagged, count(*) FILTER (p >= red) AS red_flagged, count(*) FILTER (wrong AND (p >= yellow OR extra)) AS hits FROM x JOIN b ON held = fold GROUP BY ALL""")
+def q69_held_out_bands(spark, d):
+    grp = F.when(F.col("user_id") % 2 == 0, "turkish").otherwise("english")
+    rows = table(spark, d, "events").select(grp.alias("grp"), F.concat(F.lit("s"), F.col("user_id") % 24).alias("speaker"), F.round("value").alias("p"), (F.col("event_type") == "error").alias("wrong"), (F.col("event_type") == "purchase").alias("extra"))
+    out = evaluation.held_out_bands(rows, red_precision=0.21, min_precision=0.1, max_false_alarm=0.6)
+    return out.groupBy("fold", "red", "yellow").agg(F.count("*").alias("words"), F.count_if("flagged").alias("flagged"), F.count_if("red_flagged").alias("red_flagged"), F.count_if(F.col("wrong") & F.col("flagged")).alias("hits"))
+
+
+@query(f"""WITH RECURSIVE {_PARTS_SQL}, {_MATRIX_SQL}, s AS (SELECT id, len(a) AS i, len(b) AS j, NULL::VARCHAR AS kind FROM pairs
+UNION ALL SELECT id, i - (k <> 'ins')::INT, j - (k <> 'del')::INT, k FROM (SELECT s.id, s.i, s.j, CASE WHEN s.i = 0 THEN 'ins' WHEN s.j = 0 THEN 'del'
+ WHEN u.h[s.j] + {_LETTER_COST.format("m.a[s.i]", "m.b[s.j]")} <= least(u.h[s.j + 1] + 1, m.h[s.j] + 1) THEN CASE WHEN m.a[s.i] = m.b[s.j] THEN 'match' ELSE 'sub' END
+ WHEN u.h[s.j + 1] + 1 <= m.h[s.j] + 1 THEN 'del' ELSE 'ins' END AS k FROM s JOIN m ON m.id = s.id AND m.i = s.i LEFT JOIN m u ON u.id = s.id AND u.i = s.i - 1 WHERE s.i + s.j > 0)),
+g AS (SELECT count(*) FILTER (kind = 'match') AS ta, count(*) FILTER (kind IN ('sub', 'del')) + count(DISTINCT (id, i)) FILTER (kind = 'ins') AS fr FROM s)
+SELECT (SELECT count(*) FROM part) AS sentences, round((SELECT sum(levenshtein(p_type, p_name)) / sum(length(p_type)) FROM part), 6) AS per, round(fr / (ta + fr), 6) AS false_rejection_rate FROM g""")
+def q70_native_report(spark, d):
+    """The letters of a part's type as a native sentence, those of its name as what was recognised: with additions."""
+    rows = table(spark, d, "part").select(F.split("p_type", "").alias("expected"), F.split("p_name", "").alias("recognized"), F.lit(None).cast("array<boolean>").alias("function"))
+    return evaluation.native_report(rows).withColumns({c: r6(c) for c in ("per", "false_rejection_rate")})
+
+
+@query("""SELECT user_id, count(*) AS n, round(avg(value), 6) AS value_mean, min(value) AS value_min, max(value) AS value_max, round(avg((event_type = 'error')::INT), 6) AS share, arg_min(event_type, event_id) AS first_type FROM events GROUP BY user_id""")
+def q71_speaker_summary(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    summary = evaluation.speaker_summary(rows, ["user_id"], ["value"], F.col("event_type") == "error")
+    first = evaluation.first_per(rows, "user_id", "event_id").select("user_id", F.col("event_type").alias("first_type"))
+    return summary.join(first, "user_id").withColumns({c: r6(c) for c in ("value_mean", "share")})
