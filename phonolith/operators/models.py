@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonolith.operators.metrics import auc_and_ap
+from phonolith.sources.store import once
 
 ALPHAS = [10.0 ** (k / 2) for k in range(-6, 7)]
+#: Rounds of boosting; stopping early is for the caller, who knows the size of the table.
+ROUNDS = 300
 
 
 def fold_of(group: str, n_folds: int):
@@ -69,13 +72,13 @@ class Linear:
         return rows.withColumn("prediction", reduce(lambda a, b: a + b, terms, F.lit(float(self.weights[0]))))
 
 
-def fit_scorer(rows: DataFrame, features: list[str], label: str, group: str, n_folds: int = 3) -> tuple[object, dict[str, float]]:
+def fit_scorer(rows: DataFrame, features: list[str], label: str, group: str, n_folds: int = 3, rounds: int = ROUNDS) -> tuple[object, dict[str, float]]:
     """The best of three candidates by cross-validated R2 (one-feature baseline apart), and each one's value. Rows with a
     null among the features or label don't count.
 
     The linear ones, every penalty and fold come from one aggregation; only the trees need passes of their own.
     """
-    data = rows.withColumn("_fold", fold_of(group, n_folds)).select(*features, label, "_fold").na.drop().cache()
+    data = once(rows.withColumn("_fold", fold_of(group, n_folds)).select(*features, label, "_fold").na.drop())
     folds = products(data, [*features, label], "_fold")
     every = sum(folds.values())
 
@@ -85,9 +88,8 @@ def fit_scorer(rows: DataFrame, features: list[str], label: str, group: str, n_f
 
     whole = list(range(len(features) + 2))
     alpha = max(ALPHAS, key=lambda a: validated(whole, a))
-    trees = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), GBTRegressor(featuresCol="x", labelCol=label, maxIter=5, maxDepth=3, seed=1)])
+    trees = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), GBTRegressor(featuresCol="x", labelCol=label, maxIter=rounds, maxDepth=3, seed=1)])
     cv = CrossValidator(estimator=trees, estimatorParamMaps=ParamGridBuilder().build(), evaluator=RegressionEvaluator(labelCol=label, metricName="r2"), foldCol="_fold", numFolds=n_folds, parallelism=4).fit(data)
-    data.unpersist()
     quality = {"baseline": validated([0, 1, len(features) + 1], 0.0), "ridge": validated(whole, alpha), "trees": max(cv.avgMetrics)}
     best = Linear(features, ridge(every, alpha)) if quality["ridge"] >= quality["trees"] else cv.bestModel
     return best, quality
@@ -100,8 +102,8 @@ def score(model, rows: DataFrame, low: float = 0.0, high: float = 10.0) -> DataF
 class Detector:
     """Error probability of each sound: boosted trees on imputed features with missing-value flags, isotonic calibration."""
 
-    def __init__(self, features: list[str], group: str, n_folds: int = 3, seed: int = 1) -> None:
-        self.features, self.group, self.n_folds, self.seed = features, group, n_folds, seed
+    def __init__(self, features: list[str], group: str, n_folds: int = 3, seed: int = 1, rounds: int = ROUNDS) -> None:
+        self.features, self.group, self.n_folds, self.seed, self.rounds = features, group, n_folds, seed, rounds
 
     def _flagged(self, rows: DataFrame) -> DataFrame:
         clean = {f: F.when(F.isnan(F.col(f).cast("double")), None).otherwise(F.col(f).cast("double")) for f in self.features}
@@ -110,14 +112,13 @@ class Detector:
     def fit(self, rows: DataFrame, label: str) -> Detector:
         data = self._flagged(rows).withColumn("_fold", fold_of(self.group, self.n_folds)).withColumn("_label", F.col(label).cast("double"))
         filled = [f"{f}_filled" for f in self.features]
-        self.model = Pipeline(
-            stages=[
-                Imputer(inputCols=self.features, outputCols=filled),
-                VectorAssembler(inputCols=filled + [f"{f}_missing" for f in self.features], outputCol="x"),
-                GBTClassifier(featuresCol="x", labelCol="_label", maxIter=10, maxDepth=3, seed=self.seed),
-            ]
-        ).fit(data.where("_fold <> 0"))
-        held = self.model.transform(data.where("_fold = 0")).withColumn("raw", vector_to_array("probability")[1])
+        prepare = Pipeline(stages=[Imputer(inputCols=self.features, outputCols=filled), VectorAssembler(inputCols=filled + [f"{f}_missing" for f in self.features], outputCol="x")])
+        prepared = prepare.fit(data.where("_fold <> 0"))
+        # every round reads the assembled rows, not the source
+        ready = once(prepared.transform(data).select("x", "_label", "_fold"))
+        trees = GBTClassifier(featuresCol="x", labelCol="_label", maxIter=self.rounds, maxDepth=3, seed=self.seed).fit(ready.where("_fold <> 0"))
+        self.model = PipelineModel([prepared, trees])
+        held = trees.transform(ready.where("_fold = 0")).withColumn("raw", vector_to_array("probability")[1])
         self.calibration = IsotonicRegression(featuresCol="raw", labelCol="_label", predictionCol="calibrated").fit(held)
         return self
 

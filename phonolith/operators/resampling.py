@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phonolith.operators.windows import numbered
+from phonolith.operators.windows import numbered, numbered_within
 
 _PRIME = 2147483647
 
@@ -30,12 +30,11 @@ def resample(units: DataFrame, unit: str, n_resamples: int, seed: int) -> DataFr
 
 def resample_within(units: DataFrame, by: list[str], unit: str, n_resamples: int, seed: int) -> DataFrame:
     """Like ``resample()`` for the units of each group on their own, all groups in one job."""
-    own = Window.partitionBy(*by)
-    numbered = units.withColumns({"_place": (F.row_number().over(own.orderBy(unit)) - 1).cast("bigint"), "_n": F.count("*").over(own)})
+    placed = numbered_within(units, by, [unit], "_place", "_n")
     replicates = F.sequence(F.lit(0).cast("bigint"), F.lit(n_resamples - 1).cast("bigint"))
-    draws = numbered.select(*by, F.col("_place").alias("_slot"), "_n", F.explode(replicates).alias("replicate"))
+    draws = placed.select(*by, F.col("_place").alias("_slot"), "_n", F.explode(replicates).alias("replicate"))
     picked = draws.select(*by, "replicate", draw(F.col("replicate"), F.col("_slot"), F.col("_n"), seed).alias("_place"))
-    return picked.join(numbered.drop("_n"), [*by, "_place"]).drop("_place")
+    return picked.join(placed.drop("_n"), [*by, "_place"]).drop("_place")
 
 
 def bootstrap_by(units: DataFrame, by: list[str], unit: str, statistics: dict[str, Column], n_resamples: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:
@@ -87,17 +86,15 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, unit: str, statistic: Callable[
 
 def stratified_split(rows: DataFrame, strata: list[str], member: str, order: Column, share: float) -> DataFrame:
     """Rows with ``held_out``: in each stratum the first ``share`` of its members (rounded half to even) by ``order``."""
-    own = Window.partitionBy(*strata)
-    rank = F.row_number().over(own.orderBy(order, member))
-    return rows.withColumn("held_out", rank <= F.bround(F.count("*").over(own) * share, 0))
+    placed = numbered_within(rows.withColumn("_order", order), strata, ["_order", member], "_place", "_n")
+    return placed.withColumn("held_out", F.col("_place") < F.bround(F.col("_n") * share, 0)).drop("_order", "_place", "_n")
 
 
 def halves(rows: DataFrame, strata: list[str], order: list[str], coin: Column) -> DataFrame:
     """Rows with ``half``: neighbours in each stratum's order form pairs, the coin of a pair's first row deals them."""
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1
-    rows = rows.withColumn("_place", place).withColumn("_pair", F.floor(F.col("_place") / 2))
+    rows = numbered_within(rows, strata, order, "_place", "_n").withColumn("_pair", F.floor(F.col("_place") / 2))
     flip = F.first(coin).over(Window.partitionBy(*strata, "_pair").orderBy("_place"))
-    return rows.withColumn("half", F.when((F.col("_place") % 2 == 0) == flip, "dev").otherwise("test")).drop("_place", "_pair")
+    return rows.withColumn("half", F.when((F.col("_place") % 2 == 0) == flip, "dev").otherwise("test")).drop("_place", "_n", "_pair")
 
 
 def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -118,10 +115,8 @@ def balanced_draws(rows: DataFrame, label: str, member: str, order: Column, n: i
 
     Each member of a class gets the whole part of its share of n / classes, and those first by ``order`` one more.
     """
-    own = Window.partitionBy(label)
     classes = rows.agg(F.count_distinct(label).alias("_c"))  # one row
-    rank = F.row_number().over(own.orderBy(order, member)) - 1
-    placed = rows.withColumns({"_k": rank, "_n": F.count("*").over(own)}).crossJoin(F.broadcast(classes))
+    placed = numbered_within(rows.withColumn("_order", order), [label], ["_order", member], "_k", "_n").drop("_order").crossJoin(F.broadcast(classes))
     quota = F.floor(F.lit(n) / F.col("_c"))
     copies = F.floor(quota / F.col("_n")) + F.when(F.col("_k") < F.pmod(quota, F.col("_n")), 1).otherwise(0)
     return placed.withColumn("copies", copies).where("copies > 0").drop("_k", "_n", "_c")

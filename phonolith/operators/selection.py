@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from phonolith.functions import inventory as I
 from phonolith.operators.metrics import ratio, sums_below
+from phonolith.sources.store import once
 
 GRID = [math.inf, 0.0, -0.5, -1.0, -1.5, -2.0, -2.5, -3.0, -3.5, -4.0, -5.0, -6.0, -8.0, -10.0]
 PATTERN_GRID = [0.0, -1.0, -2.0, -3.0, -4.0, -5.0, -6.0, -7.0, -8.0]
@@ -158,17 +159,34 @@ def cross_validate(rows: DataFrame, folds: DataFrame, grid: list[float] = GRID,
 def select_hidden(rows: DataFrame, grid: list[float] = PATTERN_GRID, patterns: list[str] | None = None, min_precision: float = 0.70, max_false_alarm: float = 0.025, min_diagnosis: float = 0.70, min_reports: int = 10) -> dict[str, float | None]:
     """A margin for each pattern or None, one pattern after the other: the lowest margin within the limits.
 
-    The search is sequential by definition; each step is one aggregation over stored rows (cache them).
+    The patterns follow each other by definition. For each, words and reports are binned by how many values of the grid
+    their margin is above, so all its values are tried on the bins: two small aggregations of the stored rows.
     """
+    values = sorted(grid)
+    kept = once(rows.where("expert_wrong is not null").select("grp", "expert_wrong", (F.size("our_errors") > 0).alias("flagged"), "expert_errors", "rivals"))
+    above = lambda margin: sum((F.when(margin > v, 1).otherwise(0) for v in values), F.lit(0))
     chosen: dict[str, float | None] = dict.fromkeys(patterns or HIDDEN_PATTERNS)
     for tip in chosen:
-        for value in sorted(grid):
-            out = apply_hidden(rows, {**chosen, tip: value})
-            right, n = diagnosis_precision(out, tip)
-            if n < min_reports or right < min_diagnosis * n:
+        limits = F.create_map(*[F.lit(x) for t, v in chosen.items() if v is not None for x in (t, float(v))]).cast("map<string,double>")
+        before = lambda r: F.coalesce(r["margin"] > F.try_element_at(limits, r["tip"]), F.lit(False))  # noqa: E731, B023
+        own = F.filter("rivals", lambda r: r["tip"] == tip)  # noqa: B023
+        flagged = F.col("flagged") | F.exists("rivals", before)
+        most = F.coalesce(F.array_max(F.transform(own, lambda r: above(r["margin"]))), F.lit(0))
+        words = kept.groupBy("grp", "expert_wrong", flagged.alias("flagged"), most.alias("bin")).agg(F.count("*").alias("n")).collect()  # bins only
+        # a report counts unless a closer one, or an earlier one as close, stands at its place
+        placed = F.transform("rivals", lambda r, i: F.struct(r["pos"].alias("pos"), r["tip"].alias("tip"), r["margin"].alias("margin"), i.alias("i"), r["expected"].alias("expected")))
+        rivals = F.filter(placed, lambda r: (r["tip"] == tip) | before(r))  # noqa: B023
+        first = lambda r: ~F.exists(rivals, lambda s: (s["pos"] == r["pos"]) & ((s["margin"] > r["margin"]) | ((s["margin"] == r["margin"]) & (s["i"] < r["i"]))))  # noqa: E731, B023
+        reports = kept.where("grp = 'turkish'").select("expert_errors", F.explode(F.filter(rivals, lambda r: (r["tip"] == tip) & first(r))).alias("r"))  # noqa: B023
+        right = F.exists("expert_errors", lambda e: (e["kind"] == "sub") & e["expected"].eqNullSafe(F.col("r.expected")) & e["tip"].eqNullSafe(F.col("r.tip")))
+        found = reports.groupBy(above(F.col("r.margin")).alias("bin"), F.coalesce(right, F.lit(False)).alias("right")).agg(F.count("*").alias("n")).collect()  # bins only
+        for j, value in enumerate(values):
+            n, good = sum(r.n for r in found if r.bin > j), sum(r.n for r in found if r.bin > j and r.right)
+            if n < min_reports or good < min_diagnosis * n:
                 continue
-            s = scores(out).first()
-            if s.precision >= min_precision and s.english_false_alarm <= max_false_alarm:
+            count = lambda group, wrong, hit: sum(r.n for r in words if r.grp == group and r.expert_wrong == wrong and (r.flagged or r.bin > j) == hit)  # noqa: E731, B023
+            tp, fp, efp, etn = count("turkish", True, True), count("turkish", False, True), count("english", False, True), count("english", False, False)
+            if (tp / (tp + fp) if tp + fp else 0.0) >= min_precision and (efp / (efp + etn) if efp + etn else 0.0) <= max_false_alarm:
                 chosen[tip] = value
                 break
     return chosen

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,16 +44,24 @@ def neighbour_features(rows: DataFrame, by: list[str], order: list[str], value:
     return rows.withColumn("duration_rel", F.try_divide(F.col("duration"), F.avg("duration").over(whole)))
 
 
-def moving_mean(rows: DataFrame, by: list[str], order: list[str], value: str, n: int) -> DataFrame:
-    """Mean of each row and the n - 1 before it, where there are as many."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumns({"moving": F.avg(value).over(window.rowsBetween(1 - n, 0)), "_n": F.row_number().over(window)}).where(F.col("_n") >= n).drop("_n")
+def moving_mean(rows: DataFrame, by: list[str], order: list[str], value: str, n: int, block: int = 10_000) -> DataFrame:
+    """Mean of each row and the n - 1 before it, where there are as many.
+
+    Groups are cut into blocks; the last n - 1 rows of a block are in the next one too, so no task holds a whole group.
+    """
+    block = max(block, n)
+    placed = numbered_within(rows, by, order, "_place", "_size")
+    own, late = F.floor(F.col("_place") / block), F.col("_place") % block > block - n
+    dealt = placed.withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    window = Window.partitionBy(*by, "_block").orderBy("_place").rowsBetween(1 - n, 0)
+    means = dealt.withColumn("moving", F.avg(value).over(window)).where((F.floor(F.col("_place") / block) == F.col("_block")) & (F.col("_place") >= n - 1))
+    return means.drop("_place", "_size", "_block")
 
 
 def deal_folds(rows: DataFrame, group: str, member: str, n_folds: int) -> DataFrame:
     """``group, member, fold``: the members of each group dealt round-robin in order."""
-    members = rows.select(group, member).distinct()
-    return members.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(group).orderBy(member)) - 1, F.lit(n_folds)))
+    members = numbered_within(rows.select(group, member).distinct(), [group], [member], "_place", "_size")
+    return members.select(group, member, F.pmod("_place", F.lit(n_folds)).cast("int").alias("fold"))
 
 
 def running_offset(size: Column, by: list[str], order: str) -> Column:
@@ -70,3 +80,13 @@ def numbered(rows: DataFrame, name: str, total: str, *order: str) -> DataFrame:
     offsets = sizes.select("_range", running_offset(F.col("_size"), [], "_range").alias("_before"), F.sum("_size").over(Window.partitionBy()).alias(total))
     place = (F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).cast("bigint")
     return dealt.withColumn(name, place).join(offsets, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
+def numbered_within(rows: DataFrame, by: list[str], order: list[str], name: str, total: str) -> DataFrame:
+    """Rows with their place (from 0) in their group, and the group's number of rows: places among all rows in the order
+    of group and ``order``, less that of the group's first row, so a large group is spread over many tasks."""
+    placed = numbered(rows, name, "_all", *by, *order).drop("_all")
+    groups = placed.groupBy(*by).agg(F.min(name).alias("_first"), F.count("*").alias(total))
+    own = groups.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [placed[c].eqNullSafe(own[f"_g_{c}"]) for c in by])
+    return placed.join(own, same).withColumn(name, F.col(name) - F.col("_first")).drop("_first", *[f"_g_{c}" for c in by])

@@ -14,18 +14,25 @@ from phonolith.operators import models, sequences
 from phonolith.sources.store import once
 
 
-def phonemized(sentences: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+def phonemized(sentences: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "text", strict: bool = True) -> DataFrame:
     """Sentences with ``words`` and ``raw``, the tokens of each word. lexicon: ``word`` (lower case, unique), ``phones``.
 
-    Raises for a sentence without words and for a word that the lexicon lacks.
+    Raises for a sentence without words and for a word that the lexicon lacks. If not ``strict``, all sentences are
+    returned, with ``unknown``: the words that the lexicon lacks (their tokens are empty), in order.
     """
     words = sentences.withColumn("words", P.tokenize(F.coalesce(F.col(text), F.lit(""))))
-    words = words.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(F.raise_error(F.lit("the sentence has no words"))))
+    if strict:
+        words = words.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(F.raise_error(F.lit("the sentence has no words"))))
     each = words.select(*keys, F.posexplode("words").alias("_i", "_w")).withColumn("word", F.lower("_w"))
     looked = each.join(lexicon.select("word", "phones"), "word", "left")
-    tokens = F.coalesce("phones", F.raise_error(F.concat(F.lit("not in the lexicon: "), F.col("word"))).cast("array<string>"))
-    raw = looked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", tokens.alias("t")))), lambda x: x["t"]).alias("raw"))
-    return words.join(raw, [*keys])
+    missing = F.raise_error(F.concat(F.lit("not in the lexicon: "), F.col("word"))) if strict else F.array()
+    looked = looked.withColumn("_t", F.coalesce("phones", missing.cast("array<string>")))
+    found = looked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_t", F.when(F.col("phones").isNull(), F.col("word")).alias("_u")))).alias("_x"))
+    raw = found.select(*keys, F.transform("_x", lambda x: x["_t"]).alias("raw"), *([] if strict else [F.filter(F.transform("_x", lambda x: x["_u"]), lambda w: w.isNotNull()).alias("unknown")]))
+    if strict:
+        return words.join(raw, [*keys])
+    none = {"raw": F.coalesce("raw", F.array().cast("array<array<string>>")), "unknown": F.coalesce("unknown", F.array().cast("array<string>"))}
+    return words.join(raw, [*keys], "left").withColumns(none)
 
 
 @dataclass

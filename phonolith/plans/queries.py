@@ -443,16 +443,21 @@ def q42_narrow_to_broad(spark, d):
     return distinct.select("word", "docs", F.array_join(sequences.narrow_to_broad(F.col("word")), " ").alias("broad"))
 
 
-@query()
+_SEARCH_SQL = """{name} AS (SELECT min(x) AS {name} FROM (SELECT c.x, count(*) FILTER (turkish AND tip = '{tip}' AND m > c.x) AS n, count(*) FILTER (turkish AND tip = '{tip}' AND m > c.x AND wrong) AS good,
+count(*) FILTER (turkish AND wrong AND f) AS tp, count(*) FILTER (turkish AND NOT wrong AND f) AS fp FROM (SELECT z.*, c.x, issue OR (tip = '{tip}' AND m > c.x){more} AS f FROM z, c{join}) q JOIN c ON c.x = q.x GROUP BY c.x) WHERE n >= 10 AND good >= 0.3 * n AND tp >= 0.3 * (tp + fp))"""
+
+
+@query(f"""WITH {_WORDS_SQL}, z AS (SELECT wrong, grp = 'turkish' AS turkish, issue, coalesce(gop, -9) + 3 AS m, CASE WHEN speaker[2:]::INT % 2 = 0 THEN 'w' ELSE 'th_voiced' END AS tip FROM l WHERE wrong IS NOT NULL), c AS (SELECT unnest([-4, -2, 0])::DOUBLE AS x),
+{_SEARCH_SQL.format(name="one", tip="w", more="", join="")}, {_SEARCH_SQL.format(name="two", tip="th_voiced", more=" OR (tip = 'w' AND m > coalesce(one, 1e9))", join=", one")}
+SELECT 'w' AS tip, one AS threshold FROM one UNION ALL SELECT 'th_voiced', two FROM two""")
 def q43_coordinate_search(spark, d):
+    """Margins for two patterns, one after the other; each word has a rival of one of them."""
     rows = _word_eval(spark, d)
-    kinds = F.array(*[F.lit(t) for t in ("w", "th_voiced")])
-    pick = F.element_at(kinds, (F.pmod(F.xxhash64("speaker"), F.lit(2)) + 1).cast("int"))
+    pick = F.when(F.substring("speaker", 2, 9).cast("int") % 2 == 0, "w").otherwise("th_voiced")
     rival = F.struct(F.lit(0).alias("pos"), F.lit("w").alias("expected"), pick.alias("tip"), F.lit("v").alias("sound"), (F.coalesce("gop", F.lit(-9.0)) + 3).alias("margin"))
     truth = F.struct(F.lit("sub").alias("kind"), F.lit("w").alias("expected"), F.lit("v").alias("heard"), pick.alias("tip"), F.lit(False).alias("hidden"))
-    rows = rows.withColumns({"rivals": F.array(rival), "expert_errors": F.when(F.col("expert_wrong"), F.array(truth)).otherwise(F.array().cast(f"array<{issue_type}>"))}).cache()
+    rows = rows.withColumns({"rivals": F.array(rival), "expert_errors": F.when(F.col("expert_wrong"), F.array(truth)).otherwise(F.array().cast(f"array<{issue_type}>"))})
     chosen = selection.select_hidden(rows, [0.0, -2.0, -4.0], ["w", "th_voiced"], min_precision=0.3, max_false_alarm=1.0, min_diagnosis=0.3)
-    rows.unpersist()
     return spark.createDataFrame(list(chosen.items()), "tip string, threshold double")
 
 
@@ -460,8 +465,8 @@ def q43_coordinate_search(spark, d):
 def q44_models(spark, d):
     rows = table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_suppkey").alias("speaker"), (F.col("l_extendedprice") / 10_000).alias("accuracy"), (F.col("l_returnflag") == "R").alias("wrong"))
     features = ["l_quantity", "l_discount", "l_tax"]
-    _, quality = models.fit_scorer(rows, features, "accuracy", "speaker")
-    detector = models.Detector(features, "speaker").fit(rows, "wrong")
+    _, quality = models.fit_scorer(rows, features, "accuracy", "speaker", rounds=5)
+    detector = models.Detector(features, "speaker", rounds=10).fit(rows, "wrong")
     p = detector.probabilities(rows).agg(F.min("p").alias("low"), F.max("p").alias("high")).first()
     return spark.createDataFrame([*((f"r2_{n}", float(v)) for n, v in quality.items()), ("p_low", p.low), ("p_high", p.high)], "name string, value double")
 

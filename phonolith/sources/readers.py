@@ -112,16 +112,15 @@ def cached_log_probs(wanted: DataFrame, path: str, keys: list[str], model: str,
 
     The store is a Parquet table partitioned by model and fingerprint; new rows are appended, so a changed model leaves
     old rows unread. ``infer(rows)`` adds ``log_probs`` and ``n_vocab``. Stored inputs are dropped from what is kept.
+    Keys that are wanted twice are inferred once; a key that two jobs have stored is read once.
     """
     spark = wanted.sparkSession
     folder = f"{path}/model={model}/fingerprint={fingerprint}"
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     known = spark.read.parquet(folder) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
-    missing = wanted if known is None else wanted.join(known.select(*keys), keys, "left_anti")
-    if not missing.isEmpty():
-        infer(missing).select(*keys, "log_probs", "n_vocab").write.mode("append").parquet(folder)
-        known = spark.read.parquet(folder)
-    return wanted.join(known, keys)
+    missing = wanted.dropDuplicates(keys) if known is None else wanted.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
+    infer(missing).select(*keys, "log_probs", "n_vocab").write.mode("append").parquet(folder)
+    return wanted.join(spark.read.parquet(folder).dropDuplicates(keys), keys)
 
 
 def fake_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 
 
 def once(df: DataFrame) -> DataFrame:
-    """A result that is read more than once, checkpointed in ``spark.checkpoint.dir`` (where that is unset, as in tests, in
-    a folder of this process), so it is computed once and survives the loss of executors."""
+    """A result that is read more than once, checkpointed in ``spark.checkpoint.dir`` (where that is unset, on a local
+    master, in a folder of this process), so it is computed once and survives the loss of executors.
+
+    Raises ValueError on a cluster without the setting: its executors would each write to a disk of their own.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not folder:
             folder = tempfile.mkdtemp(prefix="phonolith-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)

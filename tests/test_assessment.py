@@ -93,7 +93,7 @@ def test_systems_and_coach(spark):
     rows = detector.sound_rows(sequences.analyze(recorded(spark), V, sounds=True), ["id"])
     stats = detector.sound_stats(rows, F.lit(True))
     train = detector.standardized(rows, stats).crossJoin(spark.range(12).select(F.concat(F.lit("s"), "id").alias("speaker"))).withColumn("wrong", F.col("op_sub") == 1)
-    learned = coach.LearnedDetector(models.Detector(["lpp", "lpr_z", "op_sub"], "speaker").fit(train, "wrong"), stats, "m", {"red": 0.9, "yellow": 0.5})
+    learned = coach.LearnedDetector(models.Detector(["lpp", "lpr_z", "op_sub"], "speaker", rounds=10).fit(train, "wrong"), stats, "m", {"red": 0.9, "yellow": 0.5})
     by_model = coach.Coach(V, lexicon, "m", detector=learned).assess(spoken, ["id"])
     judged = {r.id: r for r in by_model.collect()}
     assert [w.level for w in judged[1].words] == [None, "red"] and judged[2].words[0].level is None

@@ -55,7 +55,7 @@ def test_ridge_from_products(spark):
     assert models.ridge(sums, 7.0) == pytest.approx([y.mean() - w @ x.mean(0), *w])
     beta = models.ridge(sums, 7.0)
     assert models.r_squared(sums, beta) == pytest.approx(1 - ((y - design @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum())
-    model, quality = models.fit_scorer(rows.withColumn("c", F.when(F.col("id") != 7, F.col("c"))), ["a", "b", "c"], "y", "speaker")
+    model, quality = models.fit_scorer(rows.withColumn("c", F.when(F.col("id") != 7, F.col("c"))), ["a", "b", "c"], "y", "speaker", rounds=5)
     assert isinstance(model, models.Linear) and quality["ridge"] > 0.99 and quality["baseline"] < 0.5
     scored = models.score(model, rows).toPandas()
     assert np.abs(scored["score"] - y.clip(0, 10)).max() < 0.5 and "prediction" not in scored
