@@ -22,7 +22,7 @@ from phonolith.llm.store import written
 
 SMOOTHING = 5.0
 #: Bytes of text in a slice and, on average, behind a part of the hash range.
-_SLICE, _PART, _LEAST_PARTS = 1 << 22, 1 << 25, 64
+_SLICE, _PART, _LEAST_PARTS = 1 << 22, 1 << 24, 64
 # the two lowest bits of a hash tell what it is of
 _BIGRAM, _WORD, _CONTEXT = (np.uint64(i) for i in range(3))
 _START, _ASIDE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A35)
@@ -80,6 +80,7 @@ def _requests(part: pa.Table, parts: int) -> Iterator[tuple[int, bytes, bytes, b
 
 def _answers(table: pa.Table) -> pa.Table:
     """The counts in all slices of what each slice asked for; a row without a slice holds the words and their number."""
+    W.lean()
     asked = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
     hashes, place = np.unique(np.concatenate(asked), return_inverse=True)
     totals = []
@@ -116,6 +117,7 @@ def word_cross_entropy_difference(documents: DataFrame, target: str, smoothing:
     parts = max(_LEAST_PARTS, -(-(text_bytes or 0) // _PART))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in W.slices(batch, "text", _SLICE):
@@ -123,6 +125,7 @@ def word_cross_entropy_difference(documents: DataFrame, target: str, smoothing:
                 number += 1
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         kinds = [("part", pa.int32()), ("hashes", pa.binary()), ("in_target", pa.binary()), ("in_all", pa.binary())]
         for batch in batches:
             for number, held in zip(batch.column("slice").to_pylist(), batch.column("held"), strict=True):
@@ -137,6 +140,7 @@ def word_cross_entropy_difference(documents: DataFrame, target: str, smoothing:
     n_words, *sums = (x or 0 for x in answers.where("slice is null").agg(F.sum("n_words"), F.sum("target_tokens"), F.sum("all_tokens")).first())
 
     def scored(slices: pa.Table, answers: pa.Table) -> pa.Table:
+        W.lean()
         texts = _table(slices.column("held")[0].as_py())
         doc, *items = items_of(texts.column("text"))
         n = np.bincount(doc, minlength=texts.num_rows)

@@ -6,8 +6,10 @@ bytes inside a longer code point, so whole texts are cut without decoding them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,18 @@ class Words:
         return np.searchsorted(self.doc, np.arange(len(self.offsets)))
 
 
+@lru_cache
+def lean() -> None:
+    """Have arrays of over 1 MB of this worker go back to the system when they are freed (where the C library can).
+
+    Without it, the allocator keeps the largest sizes that a worker ever had, also while the worker is idle.
+    """
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most`` bytes of text; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
