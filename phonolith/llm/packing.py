@@ -60,6 +60,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, length: int = 1024,
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.lean()
         part, number = TaskContext.get().partitionId() << 40, 0
         open_ = Open(length, open_windows)
         out: list[tuple] = []
