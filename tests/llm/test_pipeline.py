@@ -53,3 +53,36 @@ def test_stages_are_brute_force(spark, tmp_path):
 def test_run_of_an_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHING = "row string, uses string, quality string, pii string, size string, members string, bucket string, node string, text_hash string, rest string, doc string, ids string, start string"
+
+
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns named like those that the stages use."""
+    good = lambda k: " ".join(f"word{k}x{j}" for j in range(40 + k % 7))
+    rows = [(k, good(k), "en", f"s{k % 3}", 9) for k in range(60)]
+    rows += [(100, None, "en", "s0", 0), (101, "", "en", None, 0), (102, " \n\t", None, "s1", 3), (103, " ".join(good(1000 + k) for k in range(3000)), "en", "s1", 9)]
+    rows += [(None, good(200), "en", "s1", 9), (None, good(200), "en", "s1", 9), (104, good(201) + " a.b@c.example", None, None, None), (5, good(5), "en", "s2", 9), (6, good(202), "en", "s2", 9)]
+    return spark.createDataFrame([(*r, *["x"] * 13) for r in rows], f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASHING}").repartition(3)
+
+
+def test_stages_of_odd_rows(spark):
+    docs = odd(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        kept = out.collect()
+        if name == "quality_rules":
+            assert len(kept) == 66 and not {100, 101, 102} & {r.doc_id for r in kept}
+        if name == "near_duplicates":
+            # of the texts without a word one is left, of (5, ...) one, of rows without an id all, both texts of 6
+            ids = [r.doc_id for r in kept]
+            assert len(kept) == 66 and sum(i is None for i in ids) == 2 and ids.count(5) == 1 and ids.count(6) == 2 and {100, 101, 102} & set(ids) == {100}
+        if name == "personal_data":
+            held = {(r.doc_id, r.text): r.n_chars for r in kept}
+            assert len(kept) == 69 and held[100, None] is None and held[101, ""] == 0 and any(t and t.endswith(" <EMAIL>") for _, t in held)
+        if name == "source_mix":
+            assert all(r.text and r.text.strip() for r in kept) and sum(r.doc_id is None for r in kept) > 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()} and all(r.doc_tokens == 1 for r in packed if r.doc_id in (100, 101))
