@@ -202,13 +202,14 @@ def repeated_paths(documents: DataFrame, k: int = 13, a: int = 6) -> tuple[DataF
     # one text for each id, should an id be there with several
     ids = docs.groupBy("doc_id").agg(F.min(F.struct("d", "d2")).alias("x")).select("doc_id", "x.d", "x.d2")
     ids = written(ids, "ids")
-    first = ids.groupBy("d", "d2").agg(F.min("doc_id").alias("first"))
-    ids = ids.join(first, ["d", "d2"]).select("doc_id", "d", F.when(F.col("doc_id") != F.col("first"), F.col("first")).alias("copy_of"))
+    copies = ids.groupBy("d", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
+    copies = written(copies, "copies")  # so that the join deals the ids anew, and a large group of copies is split
+    ids = ids.join(copies, ["d", "d2"], "left").select("doc_id", "d", F.when(F.col("doc_id") != F.col("first"), F.col("first")).alias("copy_of"))
 
     anchors = docs.select("d", "text").mapInArrow(_anchor_rows(k, a), "h bigint, d bigint")
     shared = anchors.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h")
     marked = anchors.join(shared, "h", "left_semi").groupBy("d").agg(F.collect_set("h").alias("anchors"))
-    originals = first.select("d", F.col("first").alias("doc_id"))
+    originals = ids.where("copy_of is null").select("d", "doc_id")
     marked = written(marked.join(originals, "d"), "anchors")
 
     todo = docs.select("doc_id", "d", "text").join(marked, ["doc_id", "d"])
