@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from phonolith.llm import mixing, packing, pii, quality, queries, scoring, simhash, substring_dedup, token_files
+from phonolith.llm import mixing, packing, pii, quality, queries, simhash, substring_dedup, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, source string, quality string, pii string, d int, h int, bucket int, media string, spans int"
@@ -264,43 +264,6 @@ def test_field_labels_held_out_lines():
     assert kinds("in", "1999", "the", "and", "of", "12", "men") == [""] * 7
 
 
-def test_scoring_is_naive(spark):
-    rows = [(i, t, "good" if i % 2 else "bad") for i, t, _ in random_rows(9, n=30)] + [(None, "ab", "good")]
-    docs = frame(spark, rows).withColumn("target", F.col("source") == "good")
-    out = {r.doc_id: r for r in scoring.cross_entropy_difference(docs, "target").collect()}
-
-    def model(texts):
-        n3 = Counter()
-        for t in texts:
-            b = b"\0\0" + (t or "").encode()
-            n3.update(b[i : i + 3] for i in range(len(b) - 2))
-        n2, n1 = Counter(), Counter()
-        for g, n in n3.items():
-            n2[g[1:]] += n
-            n1[g[2:]] += n
-        c3, c2, all_ = Counter(), Counter(), sum(n1.values())
-        for g, n in n3.items():
-            c3[g[:2]] += n
-            c2[g[1:2]] += n
-        s = scoring.SMOOTHING
-
-        def p(g):
-            p1 = (n1[g[2:]] + s / 256) / (all_ + s)
-            p2 = (n2[g[1:]] + s * p1) / (c2[g[1:2]] + s)
-            return (n3[g] + s * p2) / (c3[g[:2]] + s)
-
-        return p
-
-    good, every = model([t for _, t, q in rows if q == "good"]), model([t for _, t, _ in rows])
-    for i, t, _ in rows:
-        b = b"\0\0" + (t or "").encode()
-        grams = [b[k : k + 3] for k in range(len(b) - 2)]
-        loss = lambda m: -sum(np.log(m(g)) for g in grams) / max(1, len(grams))  # noqa: E731, B023
-        r = out[i]
-        assert r.n_tokens == len(grams) and r.target_loss == pytest.approx(loss(good), rel=1e-4, abs=1e-6) and r.score == pytest.approx(loss(good) - loss(every), rel=1e-3, abs=1e-4)
-    assert scoring.cross_entropy_difference(docs.limit(0), "target").count() == 0
-
-
 def test_queries_return_their_columns(spark):
     d = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{d}/documents.parquet").count()
