@@ -16,6 +16,7 @@ from phonolith.functions import inventory as I
 from phonolith.operators.metrics import ratio, sums_below
 from phonolith.sources.store import once
 
+# fixed values: the thresholds that are tried, and those used where none is within the limits
 GRID = [math.inf, 0.0, -0.5, -1.0, -1.5, -2.0, -2.5, -3.0, -3.5, -4.0, -5.0, -6.0, -8.0, -10.0]
 PATTERN_GRID = [0.0, -1.0, -2.0, -3.0, -4.0, -5.0, -6.0, -7.0, -8.0]
 FALLBACK = (-2.5, -1.0)

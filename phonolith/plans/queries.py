@@ -437,7 +437,7 @@ def q41_slug_and_rules(spark, d):
 
 @query()
 def q42_narrow_to_broad(spark, d):
-    """Accented words of the documents' start as narrow transcription."""
+    """All distinct words of all documents, taken as narrow transcription."""
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("word"))
     distinct = words.groupBy("word").agg(F.count("*").alias("docs"))
     return distinct.select("word", "docs", F.array_join(sequences.narrow_to_broad(F.col("word")), " ").alias("broad"))
