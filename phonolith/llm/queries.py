@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm import chat, matroska, mixing, packing, pii, quality, simhash, substring_dedup, token_files, word_scoring
+from phonolith.llm import ball_trees, chat, matroska, merkle, mixing, packing, pii, quality, simhash, substring_dedup, token_files, toxicity, word_scoring
 from phonolith.llm.store import gone_at_exit, shared_dir
 
 #: The schema that the calls made of conversations are checked against.
@@ -91,10 +92,49 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_scoring.word_cross_entropy_difference(docs, "good", text_bytes=text_bytes)
 
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_chat_formatting, op3_quality_rules, op4_simhash_near_dedup, op5_token_files, op6_source_mixing, op7_pii, op8_media_columns, op9_packing, op10_lm_scoring)}
+def _remainder(n: int):
+    """Remainder of the CRC-32 of the decimal doc_id; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(5) != 0).select("doc_id", "toxic")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(_remainder(2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proven = merkle.manifest(documents(spark, sf_dir), "source", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], {"text": tampered})
+    return proven.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered, centroids = ball_trees.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    named = ball_trees.by_centroid(centroids, lambda own: hashlib.sha256(",".join(map(str, own)).encode()).hexdigest())
+    return ball_trees.with_inertia(clustered).withColumn("centroid_sha256", named)
+
+
+QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_chat_formatting, op3_quality_rules, op4_simhash_near_dedup, op5_token_files, op6_source_mixing, op7_pii, op8_media_columns, op9_packing, op10_lm_scoring, op11_toxicity, op12_merkle_manifest, op13_centroid_clustering)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_FIELD = "coalesce(strlen(({0})::VARCHAR) || ':' || ({0}), '-')"
+_FIELDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+def _cluster_round(k: int) -> str:
+    """Assignment a{k} to the centroids c{k}, and the centroids after it."""
+    assigned = f"""a{k} AS (SELECT r, vec_id, p, c, d FROM (SELECT r, vec_id, p, c, list_sum(list_transform(list_zip(p, q), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM v, c{k}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),"""
+    moved = f"""s{k} AS (SELECT c, list(m ORDER BY j) AS q FROM (SELECT c, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT c, unnest(p) AS x, generate_subscripts(p, 1) AS j FROM a{k}) GROUP BY c, j) GROUP BY c),
+c{k + 1} AS (SELECT c, coalesce(s{k}.q, c{k}.q) AS q FROM c{k} LEFT JOIN s{k} USING (c)),"""
+    return assigned + "\n" + (moved if k < 3 else "")
+
+
+_CLUSTER_ROUNDS = "\n".join(_cluster_round(k) for k in range(4))
+
 ORACLE_SQL = {
     "op1_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, len({_WORDS}) AS n, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) AS i FROM documents),
@@ -140,4 +180,28 @@ f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\
 b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
   + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT + 32 * (2 * n_upper > n_letters AND n_letters > 0)::BIGINT + 128 * (2 * n_echoes > n_words)::BIGINT AS failures FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM b""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_FIELDS} AS others, text, list_reduce(flatten([[4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))]),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) & 1 = 0 AS odd FROM documents),
+h AS (SELECT doc_id, source, sha256(others || {_FIELD.format("text")}) AS leaf, CASE WHEN odd THEN sha256(others || {_FIELD.format("text")}) ELSE sha256(others || {_FIELD.format("replace(text, chr(10), '')")}) END AS altered FROM d),
+g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM h),
+up AS (SELECT 0 AS l, s, i, leaf AS v, count(*) OVER (PARTITION BY s) AS n FROM g
+  UNION ALL SELECT l + 1, s, i // 3, sha256(string_agg(v, '' ORDER BY i)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY l, s, i // 3, n),
+subroots AS (SELECT s, v AS subroot FROM up WHERE n = 1),
+top AS (SELECT 0 AS l, s AS i, subroot AS v, count(*) OVER () AS n FROM subroots UNION ALL SELECT l + 1, i // 3, sha256(string_agg(v, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY l, i // 3, n),
+nodes AS (SELECT l, s, i, v, n FROM up WHERE n > 1 UNION ALL SELECT l + 1000, -1, i, v, n FROM top WHERE n > 1),
+runs AS (SELECT l, s, i // 3 AS p, string_agg(v, '' ORDER BY i) AS vs FROM nodes GROUP BY ALL),
+steps AS (SELECT l, s, i, substr(vs, 1, 64 * (i % 3)) AS before, substr(vs, 64 * (i % 3) + 65) AS after FROM nodes JOIN runs USING (l, s) WHERE p = i // 3),
+walk AS (SELECT doc_id, s AS own, i AS own_i, 0 AS l, s, i, '' AS sibs, altered AS v FROM g
+  UNION ALL SELECT doc_id, own, own_i, w.l + CASE WHEN t.l IS NULL THEN 1000 - w.l ELSE 1 END, CASE WHEN t.l IS NULL THEN -1 ELSE w.s END, CASE WHEN t.l IS NULL THEN w.s ELSE w.i // 3 END, sibs || coalesce(before || after, ''), CASE WHEN t.l IS NULL THEN w.v ELSE sha256(before || w.v || after) END
+  FROM walk w LEFT JOIN steps t ON t.l = w.l AND t.s = w.s AND t.i = w.i WHERE t.l IS NOT NULL OR w.s >= 0),
+ends AS (SELECT own, own_i, arg_max(sibs, l) AS sibs, arg_max(v, l) AS v FROM walk GROUP BY ALL)
+SELECT doc_id, leaf, subroot, (SELECT v FROM top WHERE n = 1) AS root, sha256(sibs) AS proof_sha256, ends.v AS folded_root, ends.v = (SELECT v FROM top WHERE n = 1) AS verified
+FROM g JOIN subroots USING (s) JOIN ends ON own = s AND own_i = i""",
+    "op13_centroid_clustering": rf"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS p FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), p) - 1)::INTEGER AS c, p AS q FROM v QUALIFY c < 16),
+{_CLUSTER_ROUNDS}
+z AS (SELECT vec_id, a.c AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256 FROM a3 a JOIN c3 USING (c))
+SELECT * FROM z""",
 }
