@@ -22,7 +22,7 @@ from phonolith.llm import words as W
 BUCKETS, DIMENSIONS, PASSAGE, GRAMS = 1 << 18, 16, 2, (3, 4, 5)
 #: The model is fitted on at most SAMPLE labelled documents of either class, those with the smallest hashes of their ids
 #: among the documents of 1 to SAMPLE_CHARS characters. Every document is scored whole.
-SAMPLE, SAMPLE_CHARS = 2000, 10_000
+SAMPLE, SAMPLE_CHARS = 1500, 8_000
 #: Steps over the sample: first on averages of whole documents, then on their most toxic passages.
 WARM, STEPS, RATE, DECAY = 10, 50, 0.1, 1e-5
 #: Subwords of fewer documents of the sample keep a zero vector.
@@ -39,14 +39,18 @@ _START, _END = np.uint64(1 << 40), np.uint64(1 << 41)
 @dataclass
 class Tokens:
     """Words of several texts: doc and first (of each doc, and their number) count as in ``words.Words``; word: number of each
-    word's form; buckets, form: the subwords of all forms in a row, and the form of each."""
+    word's form; forms: hashes of the forms, ascending; buckets, form: the subwords of all forms, and the form of each."""
 
     doc: np.ndarray
     first: np.ndarray
     word: np.ndarray
     buckets: np.ndarray
     form: np.ndarray
-    n_forms: int
+    forms: np.ndarray
+
+    @property
+    def n_forms(self) -> int:
+        return len(self.forms)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """The mean of the subwords' weights for each form."""
@@ -77,7 +81,7 @@ def tokens(texts: list[str | None]) -> Tokens:
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     if not len(starts):
         none = np.empty(0, np.int64)
-        return Tokens(none, first, none, none, none, 0)
+        return Tokens(none, first, none, none, none, np.empty(0, np.uint64))
     # the same word has the same hash wherever it stands: powers of an odd number have inverses modulo 2^64
     mixed = W.mix(codes.astype(np.uint64) + np.uint64(1))
     sums = np.append(np.uint64(0), np.cumsum(mixed * np.multiply.accumulate(np.full(len(codes), _BASE))))
@@ -97,7 +101,36 @@ def tokens(texts: list[str | None]) -> Tokens:
         inside = W.gram_inside(owner, n)
         grams[-1], own = grams[-1][inside], owner[: len(inside)][inside]
         owners.append(own)
-    return Tokens(doc, first, word, (np.concatenate(grams) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners), len(forms))
+    return Tokens(doc, first, word, (np.concatenate(grams) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners), forms)
+
+
+def joined(parts: list[Tokens]) -> Tokens:
+    """The tokens of several lists of texts as if they were one list; subwords of a form are kept once."""
+    forms, at, number = np.unique(np.concatenate([p.forms for p in parts]), return_index=True, return_inverse=True)
+    n_forms, n_words, n_docs = (np.append(0, np.cumsum(x)) for x in ([p.n_forms for p in parts], [len(p.word) for p in parts], [len(p.first) - 1 for p in parts]))
+    new = np.zeros(len(number), bool)
+    new[at] = True
+    word, doc, first, buckets, form = [], [], [], [], []
+    for k, p in enumerate(parts):
+        own = number[n_forms[k] : n_forms[k + 1]]
+        kept = new[n_forms[k] : n_forms[k + 1]][p.form]
+        word.append(own[p.word])
+        doc.append(p.doc + n_docs[k])
+        first.append(p.first[:-1] + n_words[k])
+        buckets.append(p.buckets[kept])
+        form.append(own[p.form[kept]])
+    return Tokens(np.concatenate(doc), np.append(np.concatenate(first), n_words[-1]), np.concatenate(word), np.concatenate(buckets), np.concatenate(form), forms)
+
+
+def _documents_of(t: Tokens) -> np.ndarray:
+    """The number of texts that each bucket's subwords are in, one text after the other."""
+    order = np.argsort(t.form, kind="stable")
+    starts, buckets, out = np.searchsorted(t.form[order], np.arange(t.n_forms + 1)), t.buckets[order], np.zeros(BUCKETS, np.int64)
+    for a, b in zip(t.first, t.first[1:], strict=False):
+        own = np.unique(t.word[a:b])
+        size = starts[own + 1] - starts[own]
+        out[np.unique(buckets[np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())])] += 1
+    return out
 
 
 def _passages(t: Tokens, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,16 +195,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     if not (0 < y.sum() < len(y)):
         model.bias[1] = 30.0 if y.sum() else -30.0
         return model
-    t = tokens(texts)
+    t = joined([tokens(texts[k : k + 200]) for k in range(0, len(texts), 200)])
     n, share = np.diff(t.first), np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    # documents of each subword
-    by_form = np.argsort(t.form, kind="stable")
-    starts = np.searchsorted(t.form[by_form], np.arange(t.n_forms + 1))
-    pairs = np.unique(t.word * len(y) + t.doc)
-    form, size = pairs // len(y), np.diff(starts)
-    step = np.arange(size[form].sum()) - np.repeat(np.cumsum(size[form]) - size[form], size[form])
-    seen = np.unique(t.buckets[by_form[np.repeat(starts[form], size[form]) + step]] * len(y) + np.repeat(pairs % len(y), size[form]))
-    live = np.bincount(seen // len(y), minlength=BUCKETS) >= MIN_DOCS
+    live = _documents_of(t) >= MIN_DOCS
     # only the live rows are trained; the others stay zero but count in their words' averages
     row = np.cumsum(live) - 1
     used = live[t.buckets]

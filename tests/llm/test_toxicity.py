@@ -110,3 +110,14 @@ def test_odd_rows_and_clashing_names(spark):
     assert by[1] == by[3] and by[None].word is None and by[2].word is None and by[None].score == by[2].score
     none = toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0)))
     assert none.collect() == []
+
+
+def test_lists_of_texts_are_joined_as_one():
+    one, two = toxicity.tokens(TEXTS), toxicity.joined([toxicity.tokens(TEXTS[:3]), toxicity.tokens(TEXTS[3:3]), toxicity.tokens(TEXTS[3:])])
+    assert one.word.tolist() == two.word.tolist() and one.first.tolist() == two.first.tolist() and one.doc.tolist() == two.doc.tolist()
+    assert sorted(zip(one.form.tolist(), one.buckets.tolist(), strict=True)) == sorted(zip(two.form.tolist(), two.buckets.tolist(), strict=True))
+    docs = np.zeros(toxicity.BUCKETS, int)
+    for text in TEXTS:
+        docs[list({b for w in plain_words(text) for b in plain_buckets(w)})] += 1
+    whole = np.isin(np.arange(toxicity.BUCKETS), one.forms % np.uint64(toxicity.BUCKETS))
+    assert (toxicity._documents_of(one) >= docs).all() and (toxicity._documents_of(one) == docs)[~whole].all()
