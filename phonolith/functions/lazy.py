@@ -1,4 +1,4 @@
-"""Pandas UDFs that are made when they are used, so modules import without a session."""
+"""Pandas and Arrow UDFs that are made when they are used, so modules import without a session."""
 
 from __future__ import annotations
 
@@ -20,3 +20,8 @@ def pandas_function(returns: str) -> Callable:
         return call
 
     return decorate
+
+
+def arrow_function(returns: str, function: Callable) -> Callable[..., Column]:
+    """A function of Arrow arrays as one of columns, for a DDL type."""
+    return F.arrow_udf(function, returns, F.ArrowUDFType.SCALAR)

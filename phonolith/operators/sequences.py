@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phonolith.functions.lazy import pandas_function
+from phonolith.functions.lazy import arrow_function, pandas_function
+from phonolith.operators import alignment as A
 from phonolith.operators import kernels as K
+from phonolith.operators import trellis as T
 from phonolith.operators.sounds import SOUNDS, sound_measures
 
 OPS = "array<struct<kind:string,expected:string,heard:string,exp_pos:int,heard_pos:int>>"
 ISSUES = "array<struct<word_index:int,kind:string,expected:string,heard:string,tip:string,message:string,hidden:boolean>>"
+#: Log probabilities that are analysed at once.
+CELLS = 1 << 22
 RIVALS = "array<struct<pos:int,expected:string,tip:string,sound:string,margin:double>>"
 WORDS = f"array<struct<text:string,expected:array<string>,ops:{OPS},issues:{ISSUES},dismissed:{ISSUES},gop:double,score:double,w_margin:double,w_rival:string,w_pos:int,rivals:{RIVALS}>>"
 
@@ -23,24 +29,22 @@ def _ops(ops: Sequence[K.Op]) -> list[dict]:
     return [vars(o) for o in ops]
 
 
-@pandas_function(OPS)
-def _align(expected: pd.Series, heard: pd.Series, flags: pd.Series) -> pd.Series:
-    return pd.Series([_ops(K.align(list(e), list(h), list(f) if f is not None else None)) if e is not None and h is not None else None for e, h, f in zip(expected, heard, flags, strict=True)], dtype=object)
-
-
 def align(expected: Column, heard: Column, flags: Column | None = None) -> Column:
     """Edit operations of two sequences; null if one is null. flags: which expected sounds are in function words."""
-    return _align(expected, heard, F.lit(None).cast("array<boolean>") if flags is None else flags)
+    if flags is None:
+        return arrow_function(OPS, A.align_arrays)(expected, heard)
+    return arrow_function(OPS, A.align_arrays)(expected, heard, flags)
 
 
-def edit_cost(ops: Column) -> Column:
-    """The cost of operations without flags and variants, in the JVM."""
+def edit_cost(ops: Column, flags: Column | None = None) -> Column:
+    """The cost of operations, in the JVM. flags: which expected sounds are in function words."""
     from phonolith.functions import phones as P
 
+    function = (lambda o: F.lit(False)) if flags is None else lambda o: F.coalesce(F.get(flags, o["exp_pos"]), F.lit(False))
     one = lambda o: (
         F.when(o["expected"].isNull() | o["heard"].isNull(), F.lit(K.INDEL))
         .when(o["expected"] == o["heard"], F.lit(0.0))
-        .when(P.is_acceptable(o["expected"], o["heard"], F.lit(False)), F.lit(K.VARIANT))
+        .when(P.is_acceptable(o["expected"], o["heard"], function(o)), F.lit(K.VARIANT))
         .when(P.is_vowel(o["expected"]) == P.is_vowel(o["heard"]), F.lit(K.SAME_CLASS))
         .otherwise(F.lit(K.CROSS_CLASS))
     )
@@ -50,8 +54,8 @@ def edit_cost(ops: Column) -> Column:
 @pandas_function("array<array<string>>")
 def align_words(expected: pd.Series, heard: pd.Series, flags: pd.Series) -> pd.Series:
     """The heard word of each expected word; null where one was skipped."""
-    plain = lambda x: [list(w) for w in x]
-    return pd.Series([K.align_words(plain(e), plain(h), list(f)) for e, h, f in zip(expected, heard, flags, strict=True)], dtype=object)
+    plain = lambda x: [[list(w) for w in row] for row in x]
+    return pd.Series(A.align_words_many(plain(expected), plain(heard), [list(f) for f in flags]), dtype=object)
 
 
 @pandas_function("array<string>")
@@ -66,9 +70,16 @@ def match_errors(expert: pd.Series, ours: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([K.match_errors(key(e), key(o)) for e, o in zip(expert, ours, strict=True)], columns=["found", "exact"])
 
 
+def _both_aligned(canonical: pd.Series, annotated: pd.Series, predicted: pd.Series, flags: pd.Series) -> tuple:
+    """The columns as lists, and the alignments of the first with the second and with the third."""
+    own = [list(c) for c in canonical], [list(a) for a in annotated], [list(p) for p in predicted], [list(f) if f is not None else None for f in flags]
+    return *own, A.align_many(own[0], own[1], own[3]), A.align_many(own[0], own[2], own[3])
+
+
 @pandas_function("struct<ta:int,fr:int,fa:int,tr:int,diagnosed:int>")
 def _mdd_counts(canonical: pd.Series, annotated: pd.Series, predicted: pd.Series, flags: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([K.mdd_counts(list(c), list(a), list(p), list(f) if f is not None else None) for c, a, p, f in zip(canonical, annotated, predicted, flags, strict=True)], columns=["ta", "fr", "fa", "tr", "diagnosed"])
+    rows = zip(*_both_aligned(canonical, annotated, predicted, flags), strict=True)
+    return pd.DataFrame([K.mdd_counts(c, a, p, f, (x, y)) for c, a, p, f, x, y in rows], columns=["ta", "fr", "fa", "tr", "diagnosed"])
 
 
 def mdd_counts(canonical: Column, annotated: Column, predicted: Column, flags: Column | None = None) -> Column:
@@ -78,7 +89,7 @@ def mdd_counts(canonical: Column, annotated: Column, predicted: Column, flags: C
 
 @pandas_function("struct<annotated:array<string>,predicted:array<string>>")
 def _states(canonical: pd.Series, annotated: pd.Series, predicted: pd.Series, flags: pd.Series) -> pd.DataFrame:
-    rows = [[K.phone_states(list(c), list(x), list(f) if f is not None else None)[0] for x in (a, p)] for c, a, p, f in zip(canonical, annotated, predicted, flags, strict=True)]
+    rows = [[K.phone_states(c, a, f, x)[0], K.phone_states(c, p, f, y)[0]] for c, a, p, f, x, y in zip(*_both_aligned(canonical, annotated, predicted, flags), strict=True)]
     return pd.DataFrame(rows, columns=["annotated", "predicted"])
 
 
@@ -116,57 +127,95 @@ def matrix(flat, n_vocab: int) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(-1, n_vocab)
 
 
+def _by_vocabulary(values: pa.Array, n_vocab: pa.Array, run: Callable[[T.Frames, pa.Array], pa.Array]) -> pa.Array:
+    """The results of ``run(frames, rows)`` for the rows of each size of the vocabulary, in the rows' order."""
+    sizes = n_vocab.to_numpy(zero_copy_only=False)
+    parts, order = [], []
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        own = values.take(pa.array(at))
+        lengths = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+        frames = T.Frames(own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(n)), np.append(0, np.cumsum(lengths // int(n))))
+        parts.append(run(frames, pa.array(at)))
+        order.append(at)
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order), kind="stable"))) if parts else pa.array([])
+
+
+def _list_of(sizes: np.ndarray, fields: dict[str, pa.Array], null: np.ndarray | None = None) -> pa.Array:
+    """Lists of structs from the structs' fields, all rows in a row."""
+    offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)), mask=None if null is None else pa.array(null))
+
+
+def _ints(x) -> pa.Array:
+    return pa.array(np.asarray(x).astype(np.int32))
+
+
 def greedy_decode(log_probs: Column, n_vocab: Column, blank: int = 0, ignore: Sequence[int] = ()) -> Column:
     """(token, first frame) of the runs of the best token; log_probs are row-major."""
 
-    @pandas_function("array<struct<token:int,frame:int>>")
-    def run(values: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([[{"token": a, "frame": b} for a, b in K.greedy_decode(matrix(v, k), blank, ignore)] for v, k in zip(values, n, strict=True)], dtype=object)
+    def run(values: pa.Array, n: pa.Array) -> pa.Array:
+        def part(frames: T.Frames, rows: pa.Array) -> pa.Array:
+            utterance, token, at = T.greedy_decode(frames, blank, ignore)
+            return _list_of(np.bincount(utterance, minlength=len(rows)), {"token": _ints(token), "frame": _ints(at)})
+
+        return _by_vocabulary(values, n, part)
+
+    return arrow_function("array<struct<token:int,frame:int>>", run)(log_probs, n_vocab)
 
-    return run(log_probs, n_vocab)
+
+def _spans(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list of (start, end), all rows in a row, and the rows' sizes."""
+    flat = lists.flatten()
+    both = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end")], 1).reshape(-1, 2)
+    return both.astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
 def forced_align(log_probs: Column, n_vocab: Column, targets: Column, blank: int = 0) -> Column:
     """(start, end, lpp, lpr) of each target; null without a path."""
 
-    @pandas_function("array<struct<start:int,end:int,lpp:double,lpr:double>>")
-    def run(values: pd.Series, n: pd.Series, tokens: pd.Series) -> pd.Series:
-        out = []
-        for v, k, t in zip(values, n, tokens, strict=True):
-            lp = matrix(v, k)
-            spans = K.forced_align(lp, list(t), blank)
-            out.append(None if spans is None else [{"start": a, "end": b, "lpp": x, "lpr": y} for (a, b), x, y in zip(spans, *K.gop_scores(lp, list(t), spans, blank), strict=True)])
-        return pd.Series(out, dtype=object)
+    def run(values: pa.Array, n: pa.Array, tokens: pa.Array) -> pa.Array:
+        def part(frames: T.Frames, rows: pa.Array) -> pa.Array:
+            own = tokens.take(rows).to_pylist()
+            spans = T.forced_align(frames, own, blank)
+            null = np.array([s is None for s in spans], bool)
+            sizes = np.array([0 if s is None else len(s) for s in spans])
+            flat = np.concatenate([s for s in spans if s is not None] or [np.empty((0, 2), np.int64)])
+            lpp, lpr = T.gop_scores(frames, np.repeat(np.arange(len(own)), sizes), np.array([x for t, z in zip(own, null, strict=True) if not z for x in t], np.int64), flat, blank)
+            return _list_of(sizes, {"start": _ints(flat[:, 0]), "end": _ints(flat[:, 1]), "lpp": pa.array(lpp), "lpr": pa.array(lpr)}, null)
+
+        return _by_vocabulary(values, n, part)
 
-    return run(log_probs, n_vocab, targets)
+    return arrow_function("array<struct<start:int,end:int,lpp:double,lpr:double>>", run)(log_probs, n_vocab, targets)
 
 
 def gop_scores(log_probs: Column, n_vocab: Column, targets: Column, spans: Column, blank: int = 0) -> Column:
     """(lpp, lpr) of each target in its frames; spans: (start, end) of each."""
 
-    @pandas_function("array<struct<lpp:double,lpr:double>>")
-    def run(values: pd.Series, n: pd.Series, tokens: pd.Series, frames: pd.Series) -> pd.Series:
-        out = []
-        for v, k, t, f in zip(values, n, tokens, frames, strict=True):
-            lpp, lpr = K.gop_scores(matrix(v, k), list(t), [(x["start"], x["end"]) for x in f], blank)
-            out.append([{"lpp": a, "lpr": b} for a, b in zip(lpp, lpr, strict=True)])
-        return pd.Series(out, dtype=object)
+    def run(values: pa.Array, n: pa.Array, tokens: pa.Array, places: pa.Array) -> pa.Array:
+        def part(frames: T.Frames, rows: pa.Array) -> pa.Array:
+            flat, sizes = _spans(places.take(rows))
+            lpp, lpr = T.gop_scores(frames, np.repeat(np.arange(len(rows)), sizes), tokens.take(rows).flatten().to_numpy(zero_copy_only=False), flat, blank)
+            return _list_of(sizes, {"lpp": pa.array(lpp), "lpr": pa.array(lpr)})
 
-    return run(log_probs, n_vocab, targets, spans)
+        return _by_vocabulary(values, n, part)
+
+    return arrow_function("array<struct<lpp:double,lpr:double>>", run)(log_probs, n_vocab, targets, spans)
 
 
 def rival_margin(log_probs: Column, n_vocab: Column, span: Column, target: Column, rivals: Column) -> Column:
     """(margin, rival) of the rival token that leads the target most in its frames (start, end)."""
 
-    @pandas_function("struct<margin:double,rival:int>")
-    def run(values: pd.Series, n: pd.Series, frames: pd.DataFrame, tokens: pd.Series, others: pd.Series) -> pd.DataFrame:
-        out = []
-        for v, k, a, b, t, r in zip(values, n, frames["start"], frames["end"], tokens, others, strict=True):
-            margin, at = K.rival_margin(matrix(v, k), (a, b), t, list(r))
-            out.append((margin, int(r[at])))
-        return pd.DataFrame(out, columns=["margin", "rival"])
+    def run(values: pa.Array, n: pa.Array, places: pa.Array, tokens: pa.Array, others: pa.Array) -> pa.Array:
+        def part(frames: T.Frames, rows: pa.Array) -> pa.Array:
+            own, lists = places.take(rows), others.take(rows).to_pylist()
+            flat = np.stack([own.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end")], 1).reshape(-1, 2).astype(np.int64)
+            margin, at = T.rival_margins(frames, np.arange(len(rows)), flat, tokens.take(rows).to_numpy(zero_copy_only=False), lists)
+            return pa.StructArray.from_arrays([pa.array(margin), _ints([r[k] for r, k in zip(lists, at.tolist(), strict=True)])], ["margin", "rival"])
+
+        return _by_vocabulary(values, n, part)
 
-    return run(log_probs, n_vocab, span, target, rivals)
+    return arrow_function("struct<margin:double,rival:int>", run)(log_probs, n_vocab, span, target, rivals)
 
 
 def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, special: Sequence[int] = (0, 1, 2, 3), sounds: bool = False, **settings) -> DataFrame:
@@ -184,14 +233,18 @@ def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, sp
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for u in batch.to_dict("records"):
-                a = K.analyze(list(u["words"]), [list(r) for r in u["raw"]], matrix(u["log_probs"], len(vocabulary)), vocabulary, u["seconds"], blank, special, **settings)
-                words = [{**{k: getattr(w, k) for k in ("text", "expected", "issues", "dismissed", "gop", "score", "w_margin", "w_rival", "w_pos", "rivals")}, "ops": _ops(w.ops)} for w in a["words"]]
-                out.append({**{f.name: u[f.name] for f in kept}, "heard": a["heard"], "words": words, "features": a["features"], "tips": a["tips"], "phone_accuracy": a["phone_accuracy"], "aligned": a["spans"] is not None})
-                if sounds:
-                    out[-1]["sounds"] = sound_measures(list(u["words"]), [list(r) for r in u["raw"]], a, vocabulary, blank)
-            yield pd.DataFrame(out, columns=columns)
+            # as many utterances at once as have CELLS log probabilities
+            cells = np.cumsum([len(x) for x in batch["log_probs"]])
+            for own in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(cells // CELLS)) + 1):
+                records = batch.iloc[own].to_dict("records")
+                given = [(list(u["words"]), [list(r) for r in u["raw"]], matrix(u["log_probs"], len(vocabulary)), u["seconds"]) for u in records]
+                out = []
+                for u, (spoken, raw, _, _), a in zip(records, given, K.analyze_many(given, vocabulary, blank, special, **settings), strict=True):
+                    words = [{**{k: getattr(w, k) for k in ("text", "expected", "issues", "dismissed", "gop", "score", "w_margin", "w_rival", "w_pos", "rivals")}, "ops": _ops(w.ops)} for w in a["words"]]
+                    out.append({**{f.name: u[f.name] for f in kept}, "heard": a["heard"], "words": words, "features": a["features"], "tips": a["tips"], "phone_accuracy": a["phone_accuracy"], "aligned": a["spans"] is not None})
+                    if sounds:
+                        out[-1]["sounds"] = sound_measures(spoken, raw, a, vocabulary, blank)
+                yield pd.DataFrame(out, columns=columns)
 
     return utterances.mapInPandas(rows, schema)
 

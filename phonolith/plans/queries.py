@@ -107,7 +107,7 @@ _TOKENS_SQL = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[''’][a-z]+)*')"
 
 @query(f"""WITH RECURSIVE w AS (SELECT p_partkey, {_TOKENS_SQL.format("p_type")} AS ws, {_TOKENS_SQL.format("p_name")} AS hs FROM part),
 pairs AS (SELECT (p_partkey, x, y) AS id, string_split(ws[x], '') AS a, string_split(hs[y], '') AS b FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS x FROM w), (SELECT unnest(range(1, 9)) AS y) WHERE y <= len(hs)), {_MATRIX_SQL},
-c AS (SELECT id[1] AS p, list(list_value(id[2]::DOUBLE, id[3]::DOUBLE, h[-1] / greatest(len(a), 1))) AS cs FROM m WHERE i = len(a) GROUP BY 1),
+c AS (SELECT id[1] AS p, list(list_value(id[2]::DOUBLE, id[3]::DOUBLE, h[-1] / greatest(len(a), len(b), 1))) AS cs FROM m WHERE i = len(a) GROUP BY 1),
 t AS (SELECT p_partkey AS id, ws AS a, hs AS b, list_transform(range(1, len(ws) + 1), lambda x: list_transform(range(1, len(hs) + 1), lambda y: list_filter(cs, lambda k: k[1] = x AND k[2] = y)[1][3])) AS k FROM w LEFT JOIN c ON p = p_partkey),
 n AS (SELECT id, a, b, k, 0 AS i, list_transform(range(len(b) + 1), lambda j: 0.5::DOUBLE * j) AS h FROM t UNION ALL SELECT id, a, b, k, i + 1, {_NEXT_ROW.format(gap="0.5::DOUBLE", cost="k[i + 1][j]")} FROM n WHERE i < len(a)),
 s AS (SELECT id, len(a) AS i, len(b) AS j, 0 AS hit FROM t UNION ALL SELECT id, i - (z <> 'ins')::INT, j - (z <> 'del')::INT, (z = 'both')::INT FROM (SELECT s.id, s.i, s.j, CASE WHEN s.i = 0 THEN 'ins' WHEN s.j = 0 THEN 'del'
