@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phonolith.operators.windows import nearest_known
+
 
 def positional_join(left: DataFrame, right: DataFrame, key: str, place: str) -> DataFrame:
     """Rows at the same place of groups that have as many rows on both sides; other groups are left out whole."""
@@ -14,18 +16,21 @@ def positional_join(left: DataFrame, right: DataFrame, key: str, place: str) ->
 
 
 def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, name: str) -> DataFrame:
-    """Points with the interval of their key that they lie in, or else the nearest (the earlier of two as near).
+    """Points with the interval of their key that they lie in, or else the nearest (the earlier of two as near, also where they
+    share a border); ``distance`` is 0 inside. Points without a time, and those of keys without intervals, have none.
 
-    Intervals of a key must not overlap. Both sides are sorted once by key and time: no pairs are made.
+    Intervals of a key must not overlap. Points and starts are put in one order by key and time and take the last start before
+    and the first one from there on (``windows.nearest_known``): no pairs are made, and a key with many rows is in many tasks.
     """
-    marks = intervals.select(key, F.col(start).alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(name).alias("n")).alias("_own"))
-    dots = points.withColumns({"_t": F.col(at), "_kind": F.lit(1)})
-    window, back = Window.partitionBy(key).orderBy("_t", "_kind"), Window.partitionBy(key).orderBy(F.desc_nulls_last("_t"), F.desc("_kind"))
-    both = dots.unionByName(marks, allowMissingColumns=True)
-    both = both.withColumns({"_b": F.last("_own", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.last("_own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
+    marks = intervals.select(key, F.col(start).alias("_t"), F.lit(1).alias("_kind"), F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(name).alias("n")).alias("_own"))
+    # a point comes before an interval that starts with it: the interval before may end there
+    both = points.withColumns({"_t": F.col(at), "_kind": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+    both = nearest_known(both, F.col("_own"), [key], ["_t", "_kind"], "_b", "_a").where("_kind = 0")
     before, after = F.greatest(F.lit(0), F.col(at) - F.col("_b.e")), F.col("_a.s") - F.col(at)
-    pick = F.when(F.col("_a").isNull() | (F.col("_b").isNotNull() & (before <= after)), F.col("_b")).otherwise(F.col("_a"))
-    return both.where("_kind = 1").withColumn("_pick", pick).withColumns({name: F.col("_pick.n"), "distance": F.when(F.coalesce(F.col("_pick.s") == F.col("_a.s"), F.lit(False)), after).otherwise(before)}).drop("_t", "_kind", "_own", "_b", "_a", "_pick")
+    first = F.col("_a").isNull() | (F.col("_b").isNotNull() & (before <= after))
+    known = F.col(at).isNotNull() & (F.col("_a").isNotNull() | F.col("_b").isNotNull())
+    found = {name: F.when(known, F.when(first, F.col("_b.n")).otherwise(F.col("_a.n"))), "distance": F.when(known, F.when(first, before).otherwise(after))}
+    return both.withColumns(found).drop("_t", "_kind", "_own", "_b", "_a")
 
 
 def paired(rows: DataFrame, keys: list[str], version: str, value: Column, versions: tuple[str, str]) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from phonolith.functions import phones as P
 from phonolith.operators import joins as J
@@ -176,8 +175,9 @@ def q12_gop_and_rivals(spark, d):
 @query("""SELECT event_id, last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
 first_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM events""")
 def q13_nearest_known(spark, d):
-    before, after = N.nearest_known(F.when(F.col("event_type") != "error", F.col("event_type")), ["user_id"], "ts", "event_id")
-    return table(spark, d, "events").select("event_id", before.alias("before"), after.alias("after"))
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    found = N.nearest_known(events, F.when(F.col("event_type") != "error", F.col("event_type")), ["user_id"], ["ts", "event_id"], "before", "after")
+    return found.select("event_id", "before", "after")
 
 
 @query("""WITH w AS (SELECT *, CASE WHEN event_type <> 'error' THEN floor(value / 10)::BIGINT END AS word FROM events),
@@ -471,48 +471,71 @@ def q44_models(spark, d):
     return spark.createDataFrame([*((f"r2_{n}", float(v)) for n, v in quality.items()), ("p_low", p.low), ("p_high", p.high)], "name string, value double")
 
 
-VOCABULARY = ["<pad>", "<s>", "</s>", "<unk>", "θ", "ɪ", "ŋ", "k", "t", "s", "ð", "ə", "w", "v", "iː", "b", "d", "æ", "uː", "l"]
-_LEXICON = {"think": "θ ɪ ŋ k", "the": "ð ə", "sit": "s ɪ t", "bad": "b æ d", "school": "s k uː l", "will": "w ɪ l", "this": "ð ɪ s", "week": "w iː k"}
+#: The 64 tokens of a frame: blank, three that are never heard, a sound for each letter, and others that are no sounds.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", "æ b k d ɛ f ɡ h ɪ dʒ k l m n ʊ p k ɹ s t ʌ v w z iː z".split(), strict=True))
+SOUNDS = list(dict.fromkeys(LETTERS.values()))
+VOCABULARY = ["<pad>", "<s>", "</s>", "<unk>", *SOUNDS, *(f"<{k}>" for k in range(60 - len(SOUNDS)))]
 
 
 def _recorded(spark, d):
-    """Turns as recordings: each says a few lexicon words, with an error pattern that its number picks."""
-    from phonolith.sources.readers import fake_model
-
-    words, ids = list(_LEXICON), {t: i for i, t in enumerate(VOCABULARY)}
-    lexicon = F.create_map(*[c for w, p in _LEXICON.items() for c in (F.lit(w), F.array(*map(F.lit, p.split())))])
-    pick = lambda n: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.col("conv_id") * 3 + F.col("turn") * 5 + n, F.lit(len(words))) + 1).cast("int"))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.array(*[pick(n) for n in range(3)]).alias("words"))
-    rows = rows.withColumn("raw", F.transform("words", lambda w: F.element_at(lexicon, w)))
-    swaps = P.literal_map({"θ": "t", "ð": "d", "w": "v", "æ": "ə"})
-    said = F.transform(F.flatten("raw"), lambda p: F.when(F.col("turn") % 2 == 1, F.coalesce(F.try_element_at(swaps, p), p)).otherwise(p))
-    number = P.literal_map({t: str(i) for t, i in ids.items()})
-    rows = rows.withColumns({"tokens": F.transform(said, lambda p: F.element_at(number, p).cast("int")), "n_vocab": F.lit(len(VOCABULARY))}).withColumn("seconds", (6 + 3 * F.size("tokens")) * K.FRAME_SECONDS)
-    recorded = rows.mapInPandas(fake_model, T.StructType([*rows.schema, T.StructField("log_probs", T.ArrayType(T.FloatType()))]))
-    return recorded.drop("tokens", "n_vocab")
-
-
-@query()
+    """Parts as recordings: the words of the name, a sound for each letter, said in 50 vectors in a row as frames."""
+    vectors = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("utt"), F.struct("vec_id", "embedding").alias("f"))
+    frames = vectors.groupBy("utt").agg(F.flatten(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["embedding"])).alias("log_probs"))
+    n = frames.agg(F.max("utt") + 1).first()[0]
+    letters = P.literal_map(LETTERS)
+    raw = F.transform("words", lambda w: F.transform(F.split(w, ""), lambda c: F.element_at(letters, c)))
+    parts = table(spark, d, "part").select("p_partkey", F.pmod("p_partkey", F.lit(n)).alias("utt"), P.tokenize(F.lower("p_name")).alias("words"))
+    return parts.withColumn("raw", raw).join(frames, "utt").withColumn("seconds", F.size("log_probs") / 64 * K.FRAME_SECONDS).drop("utt")
+
+
+_SOUND_COST = "CASE WHEN {0} = {1} THEN 0.0 WHEN list_contains(['æ', 'ɛ', 'ɪ', 'ʊ', 'ʌ', 'iː'], {0}) = list_contains(['æ', 'ɛ', 'ɪ', 'ʊ', 'ʌ', 'iː'], {1}) THEN 0.6 ELSE 1.2 END"
+_SOUND_MATRIX_SQL = f"""m AS (SELECT id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda j: 1.0::DOUBLE * j) AS h FROM pairs
+UNION ALL SELECT id, a, b, i + 1, {_NEXT_ROW.format(gap="1.0::DOUBLE", cost="(" + _SOUND_COST.format("a[i + 1]", "b[j]") + ")::DOUBLE")} FROM m WHERE i < len(a))"""
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT {list(LETTERS.values())} AS sounds, {["<pad>", "<s>", "</s>", "<unk>", *SOUNDS]} AS names, {len(SOUNDS)} + 4 AS last),
+e AS (SELECT vec_id // 50 AS utt, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+r AS (SELECT utt, vec_id, list_concat(x[1:1], x[5:last]) AS x, last FROM e, l), q AS (SELECT utt, vec_id, list_transform(x, lambda y: y - list_max(x) - ln(list_sum(list_transform(x, lambda z: exp(z - list_max(x)))))) AS x, list_position(x, list_max(x)) AS best FROM r),
+u AS (SELECT utt, list(x ORDER BY vec_id) AS f FROM q GROUP BY utt), k AS (SELECT *, lag(best) OVER (PARTITION BY utt ORDER BY vec_id) AS before FROM q),
+h AS (SELECT utt, coalesce(list(names[best + 3] ORDER BY vec_id) FILTER (best <> 1 AND best IS DISTINCT FROM before), []) AS b FROM k, l GROUP BY utt),
+n AS (SELECT DISTINCT p_name, p_partkey % (SELECT max(utt) + 1 FROM u) AS utt FROM part),
+w AS (SELECT p_name, utt, list_transform(string_split(lower(p_name), ' '), lambda w: list_transform(string_split(w, ''), lambda c: sounds[ascii(c) - 96])) AS ws FROM n, l),
+pairs AS (SELECT (p_name, utt) AS id, flatten(list_transform(ws, lambda w: list_filter(w, lambda c, i: i = 1 OR c <> w[i - 1]))) AS a, b, list_transform(flatten(ws), lambda c: list_position(names, c) - 3) AS t FROM w JOIN h USING (utt), l),
+{_SOUND_MATRIX_SQL},
+s AS (SELECT id, len(a) AS i, len(b) AS j, NULL::VARCHAR AS kind FROM pairs UNION ALL SELECT id, i - (k <> 'ins')::INT, j - (k <> 'del')::INT, k FROM (SELECT s.id, s.i, s.j, CASE WHEN s.i = 0 THEN 'ins' WHEN s.j = 0 THEN 'del'
+ WHEN o.h[s.j] + {_SOUND_COST.format("m.a[s.i]", "m.b[s.j]")} <= least(o.h[s.j + 1] + 1, m.h[s.j] + 1) THEN CASE WHEN m.a[s.i] = m.b[s.j] THEN 'match' ELSE 'sub' END
+ WHEN o.h[s.j + 1] + 1 <= m.h[s.j] + 1 THEN 'del' ELSE 'ins' END AS k FROM s JOIN m ON m.id = s.id AND m.i = s.i LEFT JOIN m o ON o.id = s.id AND o.i = s.i - 1 WHERE s.i + s.j > 0)),
+y AS (SELECT id, count(*) FILTER (kind = 'match') / count(*) AS accuracy FROM s WHERE kind IS NOT NULL GROUP BY id),
+c AS (SELECT id, list_transform(range(1, 2 * len(t) + 2), lambda i: CASE WHEN i % 2 = 1 THEN 1 ELSE t[i // 2] END) AS tok, f FROM pairs JOIN u ON utt = id[2]),
+v AS (SELECT id, 1 AS fr, list_transform(range(1, len(tok) + 1), lambda i: CASE WHEN i <= 2 THEN f[1][tok[i]] ELSE -1e30 END) AS sc, NULL::INT[] AS st FROM c
+UNION ALL SELECT id, fr + 1, list_transform(o, lambda x: list_max(x[1:3]) + x[4]), list_transform(o, lambda x: (list_position(x[1:3], list_max(x[1:3])) - 1)::INT) FROM (SELECT v.id, fr, list_transform(range(1, len(tok) + 1),
+ lambda i: [sc[i], CASE WHEN i > 1 THEN sc[i - 1] ELSE -1e30 END, CASE WHEN i % 2 = 0 AND i > 2 AND tok[i] <> tok[i - 2] THEN sc[i - 2] ELSE -1e30 END, f[fr + 1][tok[i]]]) AS o FROM v JOIN c ON c.id = v.id WHERE fr < len(f))),
+z AS (SELECT v.id, fr, CASE WHEN sc[-1] >= sc[-2] THEN len(sc) ELSE len(sc) - 1 END AS i FROM v JOIN c ON c.id = v.id WHERE fr = len(f) AND greatest(sc[-1], sc[-2]) > -5e29
+UNION ALL SELECT z.id, z.fr - 1, z.i - v.st[z.i] FROM z JOIN v ON v.id = z.id AND v.fr = z.fr WHERE z.fr > 1),
+g AS (SELECT z.id, i, max(f[fr][tok[i]] - list_max(f[fr][2:])) AS lpr FROM z JOIN c ON c.id = z.id WHERE i % 2 = 0 GROUP BY ALL), p AS (SELECT id, avg(lpr) AS lpr FROM g GROUP BY id)
+SELECT p_partkey, array_to_string(b, ' ') AS heard, round(accuracy, 6) AS phone_accuracy, round(coalesce(lpr, -20), 6) AS lpr_mean, lpr IS NOT NULL AS aligned
+FROM part JOIN pairs ON id = (p_name, p_partkey % (SELECT max(utt) + 1 FROM u)) JOIN y ON y.id = pairs.id LEFT JOIN p ON p.id = pairs.id""")
 def q45_analyze(spark, d):
+    """What was heard of each part's name, how much of it was right, and the mean score of its sounds."""
     found = sequences.analyze(_recorded(spark, d), VOCABULARY)
-    return found.select("conv_id", "turn", r6("phone_accuracy").alias("phone_accuracy"), F.array_join("tips", ",").alias("tips"), F.array_join("heard", " ").alias("heard"), r6("features.gop_lpr_mean").alias("lpr_mean"), "aligned")
+    return found.select("p_partkey", F.array_join("heard", " ").alias("heard"), r6("phone_accuracy").alias("phone_accuracy"), r6("features.gop_lpr_mean").alias("lpr_mean"), "aligned")
 
 
 @query()
 def q46_sound_features(spark, d):
     """The features of every expected sound, with scores standardised by the sounds said right."""
-    rows = once(detector.sound_rows(sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True), ["conv_id", "turn"]))
+    rows = once(detector.sound_rows(sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True), ["p_partkey"]))
     rows = detector.standardized(rows, detector.sound_stats(rows, F.col("kind") == "match"))
-    return rows.select("conv_id", "turn", "word", "at", "phone", "kind", "heard", "top_other", *[r6(f).alias(f) for f in detector.FEATURES])
+    return rows.select("p_partkey", "word", "at", "phone", "kind", "heard", "top_other", *[r6(f).alias(f) for f in detector.FEATURES])
 
 
 @query()
 def q47_detector_feedback(spark, d):
     """Feedback from probabilities of sounds; here those of a fixed curve of the score."""
     found = once(sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True))
-    p = detector.sound_rows(found, ["conv_id", "turn"]).select("conv_id", "turn", "at", (1 / (1 + F.exp(F.coalesce("lpr", F.lit(-20.0)) + 2))).alias("p"))
-    judged = detector.decided(found, p, ["conv_id", "turn"], red=0.7, yellow=0.3)
-    return judged.select("conv_id", "turn", F.array_join("tips", ",").alias("tips"), F.array_join(F.transform("words", lambda w: P.level_color(w["level"])), ",").alias("colors"), r6(reports.reported_accuracy(F.col("words"))).alias("accuracy"))
+    p = detector.sound_rows(found, ["p_partkey"]).select("p_partkey", "at", (1 / (1 + F.exp(F.coalesce("lpr", F.lit(-20.0)) + 2))).alias("p"))
+    judged = detector.decided(found, p, ["p_partkey"], red=0.7, yellow=0.3)
+    return judged.select("p_partkey", F.array_join("tips", ",").alias("tips"), F.array_join(F.transform("words", lambda w: P.level_color(w["level"])), ",").alias("colors"), r6(reports.reported_accuracy(F.col("words"))).alias("accuracy"))
 
 
 @query("""SELECT pair, count(*) AS n FROM (SELECT p_partkey, unnest(ws) AS pair, generate_subscripts(ws, 1) AS i FROM (SELECT p_partkey, string_split(p_type, ' ') AS ws FROM part)) GROUP BY pair ORDER BY n DESC, min((p_partkey, i)) LIMIT 7""")
@@ -754,3 +777,13 @@ def q71_speaker_summary(spark, d):
     summary = evaluation.speaker_summary(rows, ["user_id"], ["value"], F.col("event_type") == "error")
     first = evaluation.first_per(rows, "user_id", "event_id").select("user_id", F.col("event_type").alias("first_type"))
     return summary.join(first, "user_id").withColumns({c: r6(c) for c in ("value_mean", "share")})
+
+
+@query("""WITH v AS (SELECT DISTINCT user_id, floor(value / 20)::BIGINT AS word FROM events WHERE event_type = 'click'), d AS (SELECT event_id, word, greatest(0, 20 * word - round(value), round(value) - 20 * word - 20) AS distance FROM events JOIN v USING (user_id))
+SELECT event_id, word, distance::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY distance, word) AS k FROM d) WHERE k = 1""")
+def q72_shared_borders(spark, d):
+    """Words that end where the next one starts, as in annotation grids; many points lie on a border."""
+    events = table(spark, d, "events")
+    words = events.where("event_type = 'click'").select("user_id", F.floor(F.col("value") / 20).alias("word")).distinct().withColumns({"s": 20.0 * F.col("word"), "e": 20.0 * F.col("word") + 20})
+    found = J.nearest_interval(events.select("event_id", "user_id", F.round("value").alias("at")), words, "user_id", "at", "s", "e", "word")
+    return found.where("word is not null").select("event_id", "word", F.col("distance").cast("double").alias("distance"))
