@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phonolith.operators.windows import numbered, numbered_within
+from phonolith.operators.windows import joined, numbered, numbered_within
 
 _PRIME = 2147483647
 
@@ -45,22 +48,80 @@ def bootstrap_by(units: DataFrame, by: list[str], unit: str, statistics: dict[st
     return each.groupBy(*by).agg(*ends)
 
 
-def auc_interval(rows: DataFrame, unit: str, score: str, wrong: Column, n_resamples: int = 2000, seed: int = 1) -> DataFrame:
-    """``auc, low, high``: area under the ROC curve of a score and its interval over resampled speakers (units). Resamples
-    of one class are skipped; null without both classes.
-
-    Rows become counts for each speaker and score first; a resample is a weight of each speaker.
+def _mixed(b, slot, seed):
+    """The number that ``draw()`` takes a remainder of."""
+    return ((b * 1103515245 + slot * 12345 + seed * 69069) % 2147483647) * 48271 % 2147483647
+
+
+def _rank_sums(batch: pa.Table, n_resamples: int, seed: int, cells: int = 1 << 22) -> list[np.ndarray]:
+    """Of one group's counts in one range of scores, for the table and every resample: wins inside the range, and the weights of
+    both classes. Rows are ascending by score."""
+    x, k, p, n = (batch.column(c).to_numpy() for c in ("_x", "_k", "p", "n"))
+    n_units, total = int(batch.column("_units")[0].as_py()), n_resamples + 1
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    out = [np.zeros(total) for _ in range(3)]
+    # as many draws at a time as keep units x draws and rows x draws within the bound
+    step = max(1, cells // max(n_units, len(x)))
+    for at in range(0, total, step):
+        own = _weights(n_units, seed, at, min(at + step, total))[k]
+        pos, neg = np.add.reduceat(p[:, None] * own, starts), np.add.reduceat(n[:, None] * own, starts)
+        below = np.cumsum(neg, 0) - neg
+        for sums, value in zip(out, (pos * (below + neg / 2), pos, neg), strict=True):
+            sums[at : at + step] = value.sum(0)
+    return out
+
+
+def _weights(n_units: int, seed: int, start: int, end: int) -> np.ndarray:
+    """How often each unit (by place) is drawn in some resamples; column 0 of all is the table itself, each unit once."""
+    columns = []
+    for c in range(start, end):
+        columns.append(np.ones(n_units) if c == 0 else np.bincount(_mixed(c - 1, np.arange(n_units), seed) % n_units, minlength=n_units).astype(float))
+    return np.stack(columns, 1)
+
+
+def auc_interval(rows: DataFrame, unit: str, score: str, wrong: Column, n_resamples: int = 2000, seed: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """``by, auc, low, high``: area under the ROC curve of a score and its interval over resampled speakers (units) of each group.
+    Resamples of one class are skipped; null without both classes.
+
+    Rows become counts for each speaker and score. A resample is a weight of each speaker, which any task can compute from the
+    speaker's place, so a range of scores is added up for all resamples at once, and one row of sums for each range and group
+    is all that is left to put together.
     """
-    steps = rows.where(F.col(score).isNotNull()).groupBy(unit, F.col(score).alias("_x")).agg(F.count_if(wrong).alias("p"), F.count_if(~wrong).alias("n"))
-    weights = resample(steps.select(unit).distinct(), unit, n_resamples, seed).groupBy(unit, "replicate").agg(F.count("*").alias("w"))
-    every = steps.withColumns({"replicate": F.lit(-1).cast("bigint"), "w": F.lit(1).cast("bigint")})
-    drawn = steps.join(weights, unit).select(*every.columns).unionByName(every)
-    sums = drawn.groupBy("replicate", "_x").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("replicate").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = sums.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
-    each = won.groupBy("replicate").agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
-    again = F.when(F.col("replicate") >= 0, F.col("auc"))
-    return each.agg(F.max(F.when(F.col("replicate") < 0, F.col("auc"))).alias("auc"), F.percentile(again, F.lit(0.025)).alias("low"), F.percentile(again, F.lit(0.975)).alias("high"))
+    wanted = list(by)
+    by = wanted or ["_one"]
+    rows = rows.withColumn("_wrong", wrong).where(F.col(score).isNotNull() & F.col("_wrong").isNotNull())
+    steps = (rows if wanted else rows.withColumn("_one", F.lit(0))).groupBy(*by, unit, F.col(score).cast("double").alias("_x")).agg(F.count_if("_wrong").alias("p"), F.count_if(~F.col("_wrong")).alias("n"))
+    units = numbered_within(steps.select(*by, unit).distinct(), by, [unit], "_k", "_units")
+    placed = joined(steps, units, [*by, unit]).select(*by, "_x", "_k", "_units", "p", "n")
+    dealt = placed.repartitionByRange(*by, "_x").sortWithinPartitions(*by, "_x")
+    fields = [f for f in placed.schema if f.name in by]
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        table, part = pa.Table.from_batches(held), TaskContext.get().partitionId()
+        own = list(zip(*(table.column(c).to_pylist() for c in by), strict=True))
+        cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            found = _rank_sums(table.slice(a, b - a), n_resamples, seed)
+            yield pa.RecordBatch.from_arrays([*(table.column(c).slice(a, 1).combine_chunks() for c in by), pa.array([part]), *(pa.array([v], pa.list_(pa.float64())) for v in found)], [*by, "_range", "won", "pos", "neg"])
+
+    def ends(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("_range").to_numpy())
+        won, pos, neg = (np.stack([np.asarray(v, float) for v in table.column(c).to_pylist()])[order] for c in ("won", "pos", "neg"))
+        below = np.cumsum(neg, 0) - neg
+        both = pos.sum(0) * neg.sum(0)
+        auc = np.divide((won + pos * below).sum(0), both, out=np.full(len(both), np.nan), where=both > 0)
+        drawn = auc[1:][~np.isnan(auc[1:])]
+        low, high = np.percentile(drawn, [2.5, 97.5]) if len(drawn) and not np.isnan(auc[0]) else (None, None)
+        found = [None if np.isnan(auc[0]) else float(auc[0]), low, high]
+        return pa.table([*(table.column(c).slice(0, 1) for c in by), *(pa.array([v], pa.float64()) for v in found)], [*by, "auc", "low", "high"])
+
+    each = dealt.mapInArrow(sums, f"{keys}, _range bigint, won array<double>, pos array<double>, neg array<double>")
+    out = each.groupBy(*by).applyInArrow(ends, f"{keys}, auc double, low double, high double")
+    return out.select(*wanted, "auc", "low", "high")
 
 
 def bootstrap_ci(units: DataFrame, unit: str, statistic: Column, n_resamples: int = 2000, seed: int = 1, level: float = 0.95) -> DataFrame:

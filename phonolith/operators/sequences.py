@@ -22,7 +22,8 @@ ISSUES = "array<struct<word_index:int,kind:string,expected:string,heard:string,t
 #: Log probabilities that are analysed at once.
 CELLS = 1 << 22
 RIVALS = "array<struct<pos:int,expected:string,tip:string,sound:string,margin:double>>"
-WORDS = f"array<struct<text:string,expected:array<string>,ops:{OPS},issues:{ISSUES},dismissed:{ISSUES},gop:double,score:double,w_margin:double,w_rival:string,w_pos:int,rivals:{RIVALS}>>"
+MARGINS = "array<struct<place:int,tip:string,margin:double,greedy_expected:boolean>>"
+WORDS = f"array<struct<text:string,expected:array<string>,ops:{OPS},issues:{ISSUES},dismissed:{ISSUES},gop:double,score:double,w_margin:double,w_rival:string,w_pos:int,rivals:{RIVALS},margins:{MARGINS}>>"
 
 
 def _ops(ops: Sequence[K.Op]) -> list[dict]:
@@ -223,7 +224,7 @@ def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, sp
 
     utterances: ``words`` (array of strings), ``raw`` (their expected tokens), ``log_probs`` (row-major), ``seconds``.
     With ``sounds`` there are also the measures of each expected sound (see ``detector``).
-    settings: gop, pattern, w_margin, hidden, as ``kernels.analyze()`` takes them. One pass without a shuffle; the
+    settings: gop, pattern, w_margin, hidden, margins, as ``kernels.analyze_many()`` takes them. One pass without a shuffle; the
     matrices don't come back. Raises ValueError for an utterance without words.
     """
     kept = [f for f in utterances.schema if f.name not in ("log_probs", "raw", "words")]
@@ -240,7 +241,7 @@ def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, sp
                 given = [(list(u["words"]), [list(r) for r in u["raw"]], matrix(u["log_probs"], len(vocabulary)), u["seconds"]) for u in records]
                 out = []
                 for u, (spoken, raw, _, _), a in zip(records, given, K.analyze_many(given, vocabulary, blank, special, **settings), strict=True):
-                    words = [{**{k: getattr(w, k) for k in ("text", "expected", "issues", "dismissed", "gop", "score", "w_margin", "w_rival", "w_pos", "rivals")}, "ops": _ops(w.ops)} for w in a["words"]]
+                    words = [{**{k: getattr(w, k) for k in ("text", "expected", "issues", "dismissed", "gop", "score", "w_margin", "w_rival", "w_pos", "rivals", "margins")}, "ops": _ops(w.ops)} for w in a["words"]]
                     out.append({**{f.name: u[f.name] for f in kept}, "heard": a["heard"], "words": words, "features": a["features"], "tips": a["tips"], "phone_accuracy": a["phone_accuracy"], "aligned": a["spans"] is not None})
                     if sounds:
                         out[-1]["sounds"] = sound_measures(spoken, raw, a, vocabulary, blank)

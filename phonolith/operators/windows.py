@@ -17,7 +17,7 @@ def collapse_repeats(rows: DataFrame, by: list[str], order: str, value: str) ->
     return rows.withColumn("_before", F.lag(value).over(Window.partitionBy(*by).orderBy(order))).where(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def _joined(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+def joined(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the summary of their keys (null keys are equal), which must have each once; the summary's other columns are added."""
     own = summary.withColumnsRenamed({c: f"_g_{c}" for c in keys})
     same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(own[f"_g_{c}"]) for c in keys])
@@ -43,7 +43,7 @@ def nearest_known(rows: DataFrame, value: Column, by: list[str], order: list[str
         "_range", *by, F.count("*").over(across).alias("_ranges"),
         F.last("_last", ignorenulls=True).over(across.orderBy("_range").rowsBetween(*_BEFORE)).alias("_carried"), F.last("_first", ignorenulls=True).over(across.orderBy(F.desc("_range")).rowsBetween(*_BEFORE)).alias("_coming"),
     ).where("_ranges > 1").drop("_ranges")
-    both = _joined(inside, carried, ["_range", *by])
+    both = joined(inside, carried, ["_range", *by])
     return both.withColumns({before: F.coalesce(before, "_carried"), after: F.coalesce(after, "_coming")}).drop("_value", "_range", "_carried", "_coming")
 
 
@@ -61,7 +61,7 @@ def neighbour_features(rows: DataFrame, by: list[str], order: list[str], value:
     rows = nearest_known(rows, F.struct(F.col(value).alias("v"), F.col(time).alias("t")), by, order)
     rows = rows.withColumns({"prev_value": F.col("_before.v"), "next_value": F.col("_after.v"), "duration": F.col("_after.t") - F.col(time)}).drop("_before", "_after")
     whole = rows.groupBy(*by).agg(F.min(value).alias("group_min"), F.avg("duration").alias("_mean"))
-    return _joined(rows, whole, by).withColumn("duration_rel", F.try_divide(F.col("duration"), F.col("_mean"))).drop("_mean")
+    return joined(rows, whole, by).withColumn("duration_rel", F.try_divide(F.col("duration"), F.col("_mean"))).drop("_mean")
 
 
 def moving_mean(rows: DataFrame, by: list[str], order: list[str], value: str, n: int, block: int = 10_000) -> DataFrame:
@@ -107,4 +107,4 @@ def numbered_within(rows: DataFrame, by: list[str], order: list[str], name: str,
     of group and ``order``, less that of the group's first row, so a large group is spread over many tasks."""
     placed = numbered(rows, name, "_all", *by, *order).drop("_all")
     groups = placed.groupBy(*by).agg(F.min(name).alias("_first"), F.count("*").alias(total))
-    return _joined(placed, groups, by).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+    return joined(placed, groups, by).withColumn(name, F.col(name) - F.col("_first")).drop("_first")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolith.functions import phones as P
 from phonolith.operators import detector as D
 from phonolith.operators import models, sequences
+from phonolith.sources.readers import read_json
 from phonolith.sources.store import once
 
 
@@ -57,6 +58,7 @@ class System:
     name: str
     decision: str = "rules"
     settings: dict = field(default_factory=dict)
+    recognizer: str | None = None
 
     def assess(self, utterances: DataFrame, vocabulary: Sequence[str], keys: Sequence[str], **layout) -> DataFrame:
         """utterances: keys, words, raw, log_probs, seconds."""
@@ -70,6 +72,29 @@ class System:
         raise ValueError(f"unknown decision: {self.decision}")
 
 
+#: What the settings of a file are called here.
+_SETTINGS = {"gop_threshold": "gop", "pattern_threshold": "pattern", "w_margin_threshold": "w_margin", "hidden_thresholds": "hidden"}
+
+
+def load_system(spark: SparkSession, path: str, detectors: Mapping[str, LearnedDetector] | None = None) -> System:
+    """The system that a file describes (name, recognizer, decision, settings). A threshold that is null is off, one that is
+    missing has its default. detectors: trained ones, by the name a file has for them.
+
+    Raises ValueError for a decision or setting that isn't known, KeyError for a detector that isn't there.
+    """
+    given = read_json(spark, path)
+    decision, settings = given.get("decision", "rules"), dict(given.get("settings") or {})
+    if decision == "rules":
+        if unknown := settings.keys() - _SETTINGS.keys():
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        settings = {_SETTINGS[k]: v for k, v in settings.items()}
+    elif decision == "detector":
+        settings["detector"] = (detectors or {})[settings["detector"]]
+    else:
+        raise ValueError(f"unknown decision: {decision}")
+    return System(given["name"], decision, settings, given.get("recognizer"))
+
+
 @dataclass
 class Coach:
     """Everything loaded once. A detector trained on another recogniser's output isn't used."""

@@ -11,7 +11,7 @@ from phonolith.functions import phones as P
 from phonolith.operators import joins as J
 from phonolith.operators import kernels as K
 from phonolith.operators import metrics as M
-from phonolith.operators import detector, evaluation, models, reports, resampling, selection, sequences
+from phonolith.operators import detector, evaluation, margins, models, reports, resampling, selection, sequences
 from phonolith.operators import windows as N
 from phonolith.sources.store import once
 
@@ -493,7 +493,7 @@ _SOUND_MATRIX_SQL = f"""m AS (SELECT id, a, b, 0 AS i, list_transform(range(len(
 UNION ALL SELECT id, a, b, i + 1, {_NEXT_ROW.format(gap="1.0::DOUBLE", cost="(" + _SOUND_COST.format("a[i + 1]", "b[j]") + ")::DOUBLE")} FROM m WHERE i < len(a))"""
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT {list(LETTERS.values())} AS sounds, {["<pad>", "<s>", "</s>", "<unk>", *SOUNDS]} AS names, {len(SOUNDS)} + 4 AS last),
+_ANALYSIS_SQL = f"""l AS (SELECT {list(LETTERS.values())} AS sounds, {["<pad>", "<s>", "</s>", "<unk>", *SOUNDS]} AS names, {len(SOUNDS)} + 4 AS last),
 e AS (SELECT vec_id // 50 AS utt, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
 r AS (SELECT utt, vec_id, list_concat(x[1:1], x[5:last]) AS x, last FROM e, l), q AS (SELECT utt, vec_id, list_transform(x, lambda y: y - list_max(x) - ln(list_sum(list_transform(x, lambda z: exp(z - list_max(x)))))) AS x, list_position(x, list_max(x)) AS best FROM r),
 u AS (SELECT utt, list(x ORDER BY vec_id) AS f FROM q GROUP BY utt), k AS (SELECT *, lag(best) OVER (PARTITION BY utt ORDER BY vec_id) AS before FROM q),
@@ -512,7 +512,10 @@ UNION ALL SELECT id, fr + 1, list_transform(o, lambda x: list_max(x[1:3]) + x[4]
  lambda i: [sc[i], CASE WHEN i > 1 THEN sc[i - 1] ELSE -1e30 END, CASE WHEN i % 2 = 0 AND i > 2 AND tok[i] <> tok[i - 2] THEN sc[i - 2] ELSE -1e30 END, f[fr + 1][tok[i]]]) AS o FROM v JOIN c ON c.id = v.id WHERE fr < len(f))),
 z AS (SELECT v.id, fr, CASE WHEN sc[-1] >= sc[-2] THEN len(sc) ELSE len(sc) - 1 END AS i FROM v JOIN c ON c.id = v.id WHERE fr = len(f) AND greatest(sc[-1], sc[-2]) > -5e29
 UNION ALL SELECT z.id, z.fr - 1, z.i - v.st[z.i] FROM z JOIN v ON v.id = z.id AND v.fr = z.fr WHERE z.fr > 1),
-g AS (SELECT z.id, i, max(f[fr][tok[i]] - list_max(f[fr][2:])) AS lpr FROM z JOIN c ON c.id = z.id WHERE i % 2 = 0 GROUP BY ALL), p AS (SELECT id, avg(lpr) AS lpr FROM g GROUP BY id)
+g AS (SELECT z.id, i, max(f[fr][tok[i]] - list_max(f[fr][2:])) AS lpr FROM z JOIN c ON c.id = z.id WHERE i % 2 = 0 GROUP BY ALL), p AS (SELECT id, avg(lpr) AS lpr FROM g GROUP BY id)"""
+
+
+@query(f"""WITH RECURSIVE {_ANALYSIS_SQL}
 SELECT p_partkey, array_to_string(b, ' ') AS heard, round(accuracy, 6) AS phone_accuracy, round(coalesce(lpr, -20), 6) AS lpr_mean, lpr IS NOT NULL AS aligned
 FROM part JOIN pairs ON id = (p_name, p_partkey % (SELECT max(utt) + 1 FROM u)) JOIN y ON y.id = pairs.id LEFT JOIN p ON p.id = pairs.id""")
 def q45_analyze(spark, d):
@@ -609,13 +612,13 @@ def q53_compare_systems(spark, d):
     return found.select("metric", "speakers", *[r6(c).alias(c) for c in ("diff", "diff_low", "diff_high")], "real")
 
 
-@query(f"""WITH t AS (SELECT user_id % 20 AS unit, round(value) AS x, event_type = 'error' AS wrong FROM events), units AS (SELECT DISTINCT unit FROM t), {_DRAWS.format(unit="unit").replace("range(2000)", "range(60)")},
+@query(f"""WITH t AS (SELECT user_id % 20 AS unit, round(value) AS x, event_type = 'error' AS wrong FROM events), units AS (SELECT DISTINCT unit FROM t), {_DRAWS.format(unit="unit")},
 d AS (SELECT b, unit, count(*) AS w FROM r JOIN u USING (k) GROUP BY ALL UNION ALL SELECT -1, unit, 1 FROM units), steps AS (SELECT unit, x, count(*) FILTER (wrong) AS p, count(*) FILTER (NOT wrong) AS n FROM t GROUP BY ALL),
 q AS (SELECT b, x, sum(p * w) AS p, sum(n * w) AS n FROM steps JOIN d USING (unit) GROUP BY ALL), o AS (SELECT *, sum(n) OVER (PARTITION BY b ORDER BY x) - n AS below FROM q), e AS (SELECT b, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auc FROM o GROUP BY b)
 SELECT round(max(auc) FILTER (b < 0), 6) AS auc, round(quantile_cont(auc, 0.025) FILTER (b >= 0), 6) AS low, round(quantile_cont(auc, 0.975) FILTER (b >= 0), 6) AS high FROM e""")
 def q54_auc_interval(spark, d):
     rows = table(spark, d, "events").select((F.col("user_id") % 20).alias("unit"), F.round("value").alias("x"), (F.col("event_type") == "error").alias("wrong"))
-    return resampling.auc_interval(rows, "unit", "x", F.col("wrong"), 60).select(*[r6(c).alias(c) for c in ("auc", "low", "high")])
+    return resampling.auc_interval(rows, "unit", "x", F.col("wrong")).select(*[r6(c).alias(c) for c in ("auc", "low", "high")])
 
 
 _HASHED = "{} * 48271 % 2147483647"
@@ -787,3 +790,43 @@ def q72_shared_borders(spark, d):
     words = events.where("event_type = 'click'").select("user_id", F.floor(F.col("value") / 20).alias("word")).distinct().withColumns({"s": 20.0 * F.col("word"), "e": 20.0 * F.col("word") + 20})
     found = J.nearest_interval(events.select("event_id", "user_id", F.round("value").alias("at")), words, "user_id", "at", "s", "e", "word")
     return found.where("word is not null").select("event_id", "word", F.col("distance").cast("double").alias("distance"))
+
+
+#: What an expert heard in a third of the parts instead of some sounds.
+_SAID = {"w": "v", "v": "w", "æ": "ɛ", "ɪ": "iː", "iː": "ɪ", "d": "t", "z": "s", "ɡ": "k"}
+_PAIRS = "[('w', 'w', ['v', 'ɹ'], false), ('v', 'v', ['w'], false), ('iː', 'long_ee', ['ɪ'], false), ('ɪ', 'short_i', ['iː'], false), ('æ', 'ae', ['ɛ'], false), ('b', 'final_voicing', ['p'], true), ('d', 'final_voicing', ['t'], true), ('ɡ', 'final_voicing', ['k'], true), ('v', 'final_voicing', ['f'], true), ('z', 'final_voicing', ['s'], true)]"
+
+
+@query(f"""WITH RECURSIVE {_ANALYSIS_SQL},
+places AS (SELECT p_name, utt, unnest(ws) AS w, generate_subscripts(ws, 1) AS word FROM w),
+sounds AS (SELECT p_name, utt, word, w, unnest(w) AS e, generate_subscripts(w, 1) AS i FROM places),
+kept AS (SELECT p_name, utt, word, e, row_number() OVER (PARTITION BY p_name, utt ORDER BY word, i) - 1 AS pos, target, row_number() OVER (PARTITION BY p_name, utt, word ORDER BY i) - 1 AS place FROM
+ (SELECT *, row_number() OVER (PARTITION BY p_name, utt ORDER BY word, i) AS target, i = 1 OR e <> w[i - 1] AS new FROM sounds) WHERE new),
+finals AS (SELECT *, place >= coalesce(max(CASE WHEN e IN ('æ', 'ɛ', 'ɪ', 'ʊ', 'ʌ', 'iː') THEN place + 1 END) OVER (PARTITION BY p_name, utt, word), 0) AS final FROM kept),
+pats AS (SELECT x[1] AS e, x[2] AS tip, x[3] AS rivals, x[4] AS at_end FROM (SELECT unnest(list_transform({_PAIRS}, lambda x: row(x[1], x[2], x[3], x[4]))) AS x)),
+margin AS (SELECT k.p_name, k.utt, k.pos, k.e, k.final, tip, max(list_max(list_transform(rivals, lambda r: f[fr][list_position(names, r) - 3])) - f[fr][tok[i]]) AS margin
+ FROM finals k JOIN pats USING (e) JOIN z ON z.id = (k.p_name, k.utt) AND i = 2 * target JOIN c ON c.id = z.id, l WHERE NOT at_end OR k.final GROUP BY ALL),
+items AS (SELECT p_partkey, tip AS pattern, margin, CASE WHEN p_size % 5 < 2 THEN 'english' ELSE 'turkish' END || p_brand AS speaker, p_size % 5 < 2 AS native, EXISTS (FROM s WHERE s.id = (g.p_name, g.utt) AND s.kind = 'match' AND s.i = g.pos) AS greedy,
+ CASE WHEN p_size % 3 > 0 OR m.said IS NULL THEN 0 WHEN p_size % 5 < 2 THEN NULL WHEN (tip = 'final_voicing') = (m.said IN ('t', 's', 'k')) AND (tip <> 'final_voicing' OR g.final) THEN 1 END AS label
+ FROM part JOIN margin g ON g.p_name = part.p_name AND g.utt = p_partkey % (SELECT max(utt) + 1 FROM u) LEFT JOIN (SELECT unnest({list(_SAID)}) AS e, unnest({list(_SAID.values())}) AS said) m USING (e)),
+good AS (FROM items WHERE label IS NOT NULL), cnt AS (SELECT pattern, count(*) FILTER (label = 1) AS errors, count(*) FILTER (label = 0 AND NOT native) AS right_turkish, count(*) FILTER (label = 0 AND native) AS right_native, count(*) FILTER (label = 1 AND greedy) AS missed FROM good GROUP BY pattern),
+units AS (SELECT DISTINCT pattern, speaker FROM good), {_WITHIN.format(n=2000, by="pattern", unit="speaker")},
+d AS (SELECT pattern, b, speaker, count(*) AS w FROM r JOIN u USING (pattern, k) GROUP BY ALL UNION ALL SELECT pattern, -1, speaker, 1 FROM units),
+steps AS (SELECT pattern, speaker, margin AS x, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM good GROUP BY ALL),
+q2 AS (SELECT pattern, b, x, sum(p * w) AS p, sum(n * w) AS n FROM steps JOIN d USING (pattern, speaker) GROUP BY ALL), o2 AS (SELECT *, sum(n) OVER (PARTITION BY pattern, b ORDER BY x) - n AS below FROM q2),
+e2 AS (SELECT pattern, b, CASE WHEN sum(p) * sum(n) > 0 THEN sum(p * (below + n / 2)) / (sum(p) * sum(n)) END AS auc FROM o2 GROUP BY ALL),
+f2 AS (SELECT pattern, round(max(auc) FILTER (b < 0), 6) AS auc, round(quantile_cont(auc, 0.025) FILTER (b >= 0), 6) AS low, round(quantile_cont(auc, 0.975) FILTER (b >= 0), 6) AS high FROM e2 GROUP BY pattern)
+SELECT pattern, ordinal::INT AS ordinal, coalesce(errors, 0) AS errors, coalesce(right_turkish, 0) AS right_turkish, coalesce(right_native, 0) AS right_native, coalesce(missed, 0) AS missed, auc, CASE WHEN auc IS NOT NULL THEN low END AS low, CASE WHEN auc IS NOT NULL THEN high END AS high
+FROM (SELECT unnest({[t for t in reports.I.TIP_ORDER if t != "epenthesis"]}) AS pattern, generate_subscripts({[t for t in reports.I.TIP_ORDER if t != "epenthesis"]}, 1) - 1 AS ordinal) LEFT JOIN cnt USING (pattern) LEFT JOIN f2 USING (pattern)""".replace("u AS (SELECT *, row_number() OVER (PARTITION BY pattern", "u2 AS (SELECT *, row_number() OVER (PARTITION BY pattern").replace("FROM u, b)", "FROM u2, b)").replace("FROM r JOIN u USING (pattern, k)", "FROM r2 JOIN u2 USING (pattern, k)").replace("\nr AS (SELECT pattern", "\nr2 AS (SELECT pattern").replace("b AS (SELECT unnest(range(2000)) AS b)", "b2 AS (SELECT unnest(range(2000)) AS b)").replace("FROM u2, b)", "FROM u2, b2)"))
+def q73_pattern_margins(spark, d):
+    """Parts' names said in frames of vectors; of a third of them an expert heard other sounds, and two speakers of five are native."""
+    said = P.literal_map(_SAID)
+    merged = lambda w: F.filter(w, lambda c, i: (i == 0) | (c != F.get(w, i - 1)))
+    other = F.transform("raw", lambda w: F.transform(merged(w), lambda c: F.when(F.col("p_size") % 3 == 0, F.coalesce(F.try_element_at(said, c), c)).otherwise(c)))
+    size = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    rows = _recorded(spark, d).join(size, "p_partkey").withColumn("heard_by_expert", other)
+    native = F.col("p_size") % 5 < 2
+    labelled = margins.labelled_sounds(sequences.analyze(rows, VOCABULARY, margins=True), ["p_partkey", "p_size", "p_brand"], F.col("heard_by_expert"), ~native)
+    items = margins.sound_items(labelled).withColumn("speaker", F.concat(F.when(native, "english").otherwise("turkish"), "p_brand"))
+    found = margins.in_pattern_order(margins.pattern_margins(once(items), "speaker", native))
+    return found.select("pattern", "ordinal", "errors", "right_turkish", "right_native", "missed", *[r6(c).alias(c) for c in ("auc", "low", "high")])

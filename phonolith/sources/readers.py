@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
 import wave
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,11 @@ def read_system(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SYSTEM).option("multiLine", True).json(path)
 
 
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A small JSON file on any file system Spark knows; Infinity and NaN are numbers."""
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
+
+
 def read_split(spark: SparkSession, path: str, final: bool = False) -> DataFrame:
     """``part, speaker`` of a split file; the test part only with ``final``."""
     text = spark.read.text(path, wholetext=True)
@@ -121,16 +126,3 @@ def cached_log_probs(wanted: DataFrame, path: str, keys: list[str], model: str,
     missing = wanted.dropDuplicates(keys) if known is None else wanted.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
     infer(missing).select(*keys, "log_probs", "n_vocab").write.mode("append").parquet(folder)
     return wanted.join(spark.read.parquet(folder).dropDuplicates(keys), keys)
-
-
-def fake_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Log probabilities that a recogniser would give for ``tokens``: two frames and a blank for each, for tests."""
-    for batch in batches:
-        out = []
-        for row in batch.to_dict("records"):
-            n = int(row["n_vocab"])
-            frames = [0, 0, 0, *(f for t in row["tokens"] for f in (t, t, 0)), 0, 0, 0]
-            lp = np.full((len(frames), n), np.log(0.05 / (n - 1)))
-            lp[np.arange(len(frames)), frames] = np.log(0.95)
-            out.append({**row, "log_probs": lp.ravel().astype(np.float32)})
-        yield pd.DataFrame(out)
