@@ -20,7 +20,8 @@ FRAME, RATE, LACED, CLUSTER_BLOCKS = 192, 8000, 8, 16
 # fixed values: element ids of the Matroska specification (RFC 9559)
 EBML, SEGMENT, INFO, SCALE, DURATION, TRACKS, ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-DOC_TYPE, FRAME_DURATION = 0x4282, 0x23E383
+DOC_TYPE, FRAME_DURATION, MUXING_APP, WRITING_APP = 0x4282, 0x23E383, 0x4D80, 0x5741
+_APP = b"phonolith"
 _MASTERS = {SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 _TOP = {INFO, TRACKS, CLUSTER, CUES, EBML, SEGMENT}
 
@@ -80,7 +81,8 @@ def mux(payload: bytes, frame: int = FRAME) -> bytes:
     ms = frame * 1000 // RATE
     audio = element(SAMPLING, struct.pack(">d", RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8)
     track = _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(FRAME_DURATION, ms * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, audio)
-    body = element(INFO, _uint(SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE))) + element(TRACKS, element(ENTRY, track))
+    apps = element(MUXING_APP, _APP) + element(WRITING_APP, _APP)
+    body = element(INFO, _uint(SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE)) + apps) + element(TRACKS, element(ENTRY, track))
     parts, cues, size = [body], [], len(body)
     for c in range(0, len(frames), LACED * CLUSTER_BLOCKS):
         own = frames[c : c + LACED * CLUSTER_BLOCKS]
@@ -135,6 +137,8 @@ def _frames(data: bytes, at: int, end: int) -> tuple[int, int, list[tuple[int, i
     track, at, _ = _read_vint(data, at, False)
     time, flags = struct.unpack_from(">hB", data, at)
     at, kind = at + 3, flags >> 1 & 3
+    if at > end or (kind and at == end):
+        raise ValueError(f"a block ends in its head at {at}")
     if not kind:
         return track, time, [(at, end - at)]
     count, at = data[at] + 1, at + 1
@@ -174,6 +178,8 @@ def parse(data: bytes) -> Media:
     scale, base = 1_000_000, 0
 
     def number(a: int, b: int) -> int:
+        if b - a > 8:
+            raise ValueError(f"an integer of {b - a} bytes at {a}")
         return int.from_bytes(data[a:b], "big")
 
     def walk(at: int, end: int, parent: int, state: dict) -> None:
@@ -212,7 +218,7 @@ def parse(data: bytes) -> Media:
 
     try:
         walk(0, len(data), 0, {})
-    except (ValueError, IndexError, struct.error, RecursionError) as e:
+    except (ValueError, IndexError, OverflowError, struct.error, RecursionError) as e:
         return Media(packets, codecs, cues, str(e) or type(e).__name__)
     return Media(packets, codecs, cues, None)
 
@@ -244,7 +250,7 @@ def feature_of(samples: np.ndarray, media: Media) -> str:
     return f"packets={len(media.packets)};ms={media.packets[-1].timestamp + media.packets[-1].length * 1000 / RATE:g};mean={samples.mean():.6f};std={samples.std():.6f};crossings={crossings};cues={len(media.cues)}"
 
 
-_PACKETS = "array<struct<track:int,timestamp:double,offset:bigint,length:bigint,cluster:bigint>>"
+_PACKETS = "array<struct<track:bigint,timestamp:double,offset:bigint,length:bigint,cluster:bigint>>"
 
 
 def read_media(media: DataFrame, column: str = "media") -> DataFrame:
@@ -255,7 +261,7 @@ def read_media(media: DataFrame, column: str = "media") -> DataFrame:
     """
     new = ["packets", "payload", "feature", "error"]
     kept = media.drop(*new)
-    kind = pa.list_(pa.struct([("track", pa.int32()), ("timestamp", pa.float64()), ("offset", pa.int64()), ("length", pa.int64()), ("cluster", pa.int64())]))
+    kind = pa.list_(pa.struct([("track", pa.int64()), ("timestamp", pa.float64()), ("offset", pa.int64()), ("length", pa.int64()), ("cluster", pa.int64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

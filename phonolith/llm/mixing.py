@@ -115,11 +115,6 @@ def flow_by_parts(supply: dict, members: dict, demand: dict, most: int = MOST) -
             parts.setdefault(find(own[0]), []).append(p)
     out: dict = {}
     for patterns in parts.values():
-        if len(patterns) == 1 and len(members[patterns[0]]) == 1:
-            p, q = patterns[0], members[patterns[0]][0]
-            if (n := min(float(most * supply[p]), demand[q])) > 0:
-                out[p, q] = n
-            continue
         wanted = {q: demand[q] for p in patterns for q in members[p]}
         out |= min_cost_flow({p: supply[p] for p in patterns}, {p: members[p] for p in patterns}, wanted, most)
     return out
