@@ -5,11 +5,15 @@ about 4 MB. A slice asks for the counts of its distinct items: their sorted hash
 parts of the hash range; a part adds up and answers each slice in the order of its hashes, so no hash goes back. Then each
 slice meets its answers and is scored. A common word is one item of each slice, so it makes no part large, and nothing that
 grows with the corpus is broadcast or comes to the driver.
+
+A slice has at most ``_FAN`` parts to ask, so that its messages never shrink to a few items. Where the hash range needs more parts,
+slices ask coarse parts of it: those of a bundle of slices meet there, are merged, and ask the parts together; the answers go back
+the same way. Steps are dealt to as many tasks as the texts have ``_TASK`` bytes, so a task reads as much at any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,8 @@ from phonolith.llm.store import written
 SMOOTHING = 5.0
 #: Bytes of text in a slice and, on average, behind a part of the hash range.
 _SLICE, _PART, _LEAST_PARTS = 1 << 22, 1 << 24, 64
+#: Parts that one asks at most, and bytes of text for each task.
+_FAN, _TASK, _LEAST_TASKS = 2048, 1 << 24, 8
 # the two lowest bits of a hash tell what it is of
 _BIGRAM, _WORD, _CONTEXT = (np.uint64(i) for i in range(3))
 _START, _ASIDE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A35)
@@ -64,29 +70,71 @@ def _table(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all().combine_chunks()
 
 
+def _parted(hashes: np.ndarray, own: np.ndarray, every: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Number of each part of the hash range with the differences of its sorted hashes, and their counts: in the target and in all."""
+    number = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(number.astype(np.int64), prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True):
+        yield int(number[a]), _packed(np.diff(hashes[a:b], prepend=np.uint64(0))), _packed(own[a:b]), _packed(every[a:b])
+
+
 def _requests(part: pa.Table, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Number of each part with the differences of its sorted hashes, and how often this slice has them: in the target and in all."""
+    """What a slice asks of each part, with its own counts."""
     doc, *items = items_of(part.column("text"))
     if not len(doc):
         return
     target = np.array([bool(x) for x in part.column("target").to_pylist()])[doc]
     hashes, place = np.unique(np.concatenate(items), return_inverse=True)
-    every, own = np.bincount(place, minlength=len(hashes)), np.bincount(place[np.tile(target, 3)], minlength=len(hashes))
-    number = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(number.astype(np.int64), prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True):
-        yield int(number[a]), _packed(np.diff(hashes[a:b], prepend=np.uint64(0))), _packed(own[a:b]), _packed(every[a:b])
+    yield from _parted(hashes, np.bincount(place[np.tile(target, 3)], minlength=len(hashes)), np.bincount(place, minlength=len(hashes)), parts)
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """The counts in all slices of what each slice asked for; a row without a slice holds the words and their number."""
-    W.lean()
+def _added(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The hashes of each message, all of them (ascending), the place of each message's hashes there one after the other, and the sums
+    of both counts."""
     asked = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
     hashes, place = np.unique(np.concatenate(asked), return_inverse=True)
     totals = []
     for name in ("in_target", "in_all"):
         counts = np.concatenate([_unpacked(x) for x in table.column(name).to_pylist()])
         totals.append(np.rint(np.bincount(place, counts, len(hashes))).astype(np.int64))
+    return asked, hashes, place, totals
+
+
+_REQUEST = [("part", pa.int64()), ("hashes", pa.binary()), ("in_target", pa.binary()), ("in_all", pa.binary())]
+
+
+def _merged(parts: int) -> Callable[[pa.Table], pa.Table]:
+    """Messages of a bundle of slices to one coarse part as one sender's messages to the parts."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        W.lean()
+        _, hashes, _, totals = _added(table)
+        rows = list(_parted(hashes, *totals, parts))
+        columns = [pa.array(x, kind) for (_, kind), x in zip(_REQUEST, zip(*rows, strict=True), strict=True)]
+        sender = pa.array([table.column("bundle")[0].as_py()] * len(rows), pa.int64())
+        return pa.table([sender, *columns], ["slice", *(name for name, _ in _REQUEST)])
+
+    return merge
+
+
+def _handed_on(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answers to a bundle at one coarse part as answers to each of its slices."""
+    W.lean()
+    asked, _, place, _ = _added(table)
+    order = np.argsort(answers.column("part").to_numpy())
+    ends = np.cumsum([len(x) for x in asked])[:-1]
+    held = []
+    for name in ("in_target", "in_all"):
+        packed = answers.column(name).to_pylist()
+        count = np.concatenate([_unpacked(packed[i]) for i in order])
+        held.append(pa.array([_packed(x) for x in np.split(count[place], ends)], pa.binary()))
+    return pa.table({"slice": table.column("slice"), "part": table.column("part"), "in_target": held[0], "in_all": held[1]})
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """The counts in all slices of what each slice asked for; a row without a slice holds the words and their number."""
+    W.lean()
+    asked, hashes, place, totals = _added(table)
     word = hashes & np.uint64(3) == _WORD
     ends = np.cumsum([len(x) for x in asked])[:-1]
     held = [[_packed(x) for x in np.split(t[place], ends)] for t in totals]
@@ -94,7 +142,7 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "slice": pa.array([*table.column("slice").to_pylist(), None], pa.int64()),
-            "part": pa.array([*table.column("part").to_pylist(), None], pa.int32()),
+            "part": pa.array([*table.column("part").to_pylist(), None], pa.int64()),
             "in_target": pa.array([*held[0], None], pa.binary()),
             "in_all": pa.array([*held[1], None], pa.binary()),
             "n_words": pa.array([None] * n + [int(word.sum())], pa.int64()),
@@ -124,19 +172,31 @@ def word_cross_entropy_difference(documents: DataFrame, target: str, smoothing:
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_stream(part)])], ["slice", "held"])
                 number += 1
 
+    coarse = min(parts, _FAN)
+    parts = coarse * -(-parts // coarse)
+    # as many slices in a bundle as make a coarse part's share of them the size of a part
+    bundles = max(1, -(-(text_bytes or 0) // (_PART * coarse)))
+    tasks = max(_LEAST_TASKS, -(-(text_bytes or 0) // _TASK))
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.lean()
-        kinds = [("part", pa.int32()), ("hashes", pa.binary()), ("in_target", pa.binary()), ("in_all", pa.binary())]
         for batch in batches:
             for number, held in zip(batch.column("slice").to_pylist(), batch.column("held"), strict=True):
-                if rows := [*_requests(_table(held.as_py()), parts)]:
-                    columns = [pa.array(x, kind) for (_, kind), x in zip(kinds, zip(*rows, strict=True), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), *columns], ["slice", *(name for name, _ in kinds)])
+                if rows := [*_requests(_table(held.as_py()), coarse)]:
+                    columns = [pa.array(x, kind) for (_, kind), x in zip(_REQUEST, zip(*rows, strict=True), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), *columns], ["slice", *(name for name, _ in _REQUEST)])
 
+    # repartition() to a size that follows the texts; grouping by the same column then needs no other shuffle
+    dealt = lambda df, key: df.repartition(tasks, key).groupBy(key)
     rows = written(documents.select("doc_id", "text", F.col(target).cast("boolean").alias("target")).mapInArrow(sliced, "slice bigint, held binary"), "slices")
-    requests = rows.mapInArrow(asked, "slice bigint, part int, hashes binary, in_target binary, in_all binary")
-    found = "slice bigint, part int, in_target binary, in_all binary, n_words bigint, target_tokens bigint, all_tokens bigint"
-    answers = written(requests.groupBy("part").applyInArrow(_answers, found), "answers")
+    request = "slice bigint, part bigint, hashes binary, in_target binary, in_all binary"
+    requests = rows.mapInArrow(asked, request)
+    found = "slice bigint, part bigint, in_target binary, in_all binary, n_words bigint, target_tokens bigint, all_tokens bigint"
+    if parts == coarse:
+        answers = written(dealt(requests, "part").applyInArrow(_answers, found), "answers")
+    else:
+        bundled = requests.withColumn("bundle", F.col("part") * bundles + F.pmod(F.xxhash64("slice"), F.lit(bundles)))
+        answers = written(dealt(dealt(bundled, "bundle").applyInArrow(_merged(parts), request), "part").applyInArrow(_answers, found), "answers")
     n_words, *sums = (x or 0 for x in answers.where("slice is null").agg(F.sum("n_words"), F.sum("target_tokens"), F.sum("all_tokens")).first())
 
     def scored(slices: pa.Table, answers: pa.Table) -> pa.Table:
@@ -157,4 +217,6 @@ def word_cross_entropy_difference(documents: DataFrame, target: str, smoothing:
         return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": n, "target_loss": losses[0], "background_loss": losses[1], "score": losses[0] - losses[1]})
 
     held = answers.where("slice is not null").select("slice", "part", "in_target", "in_all")
-    return rows.groupBy("slice").cogroup(held.groupBy("slice")).applyInArrow(scored, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    if parts > coarse:
+        held = dealt(bundled, "bundle").cogroup(dealt(held.withColumnRenamed("slice", "bundle"), "bundle")).applyInArrow(_handed_on, "slice bigint, part bigint, in_target binary, in_all binary")
+    return dealt(rows, "slice").cogroup(dealt(held, "slice")).applyInArrow(scored, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")

@@ -34,8 +34,8 @@ def test_any_bytes_are_read(spark):
     whole = M.mux(bytes(range(256)) * 30)
     for _ in range(1500):
         cut = bytearray(whole[: rng.randrange(len(whole))])
-        for _ in range(rng.randrange(4)):
-            cut[rng.randrange(len(cut))] = rng.randrange(256) if cut else 0
+        for _ in range(rng.randrange(4) if cut else 0):
+            cut[rng.randrange(len(cut))] = rng.randrange(256)
         media.append(bytes(cut))
     got = M.read_media(spark.createDataFrame([(k, m) for k, m in enumerate(media)], "id int, media binary")).collect()
     assert len(got) == len(media) and any(r.error for r in got) and any(r.packets and r.error for r in got)

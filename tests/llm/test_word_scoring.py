@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.test_documents import WORD, frame, random_rows
@@ -10,8 +11,11 @@ from tests.llm.test_documents import WORD, frame, random_rows
 from phonolith.llm import queries, word_scoring
 
 
-def test_word_scores_are_naive(spark, monkeypatch):
+@pytest.mark.parametrize("fan", [word_scoring._FAN, 3])
+def test_word_scores_are_naive(spark, monkeypatch, fan):
     monkeypatch.setattr(word_scoring, "_SLICE", 500)  # several slices a task
+    monkeypatch.setattr(word_scoring, "_FAN", fan)  # with 3, slices ask in two steps
+    monkeypatch.setattr(word_scoring, "_PART", 300)
     rows = [(i, t, "good" if i % 2 else "bad") for i, t, _ in random_rows(9, n=30)] + [(None, "a b", "good")]
     docs = frame(spark, rows).withColumn("target", F.col("source") == "good")
     vocabulary = {w for _, t, _ in rows for w in WORD.findall(t or "")}
@@ -44,3 +48,16 @@ def test_query_scores_words(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     out = queries.op10_lm_scoring(spark, d).collect()
     assert {r.doc_id: r.n_tokens for r in out} == {i: len(WORD.findall(t or "")) for i, t in texts.items()}
+
+
+def test_messages_keep_their_size_with_the_number_of_parts():
+    rng = np.random.default_rng(1)
+    words = [f"w{k}" for k in rng.zipf(1.3, 150_000) % 50_000]
+    table = pa.table({"text": [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)], "target": [False] * 300})
+    size = lambda parts: sum(sum(map(len, r[1:])) for r in word_scoring._requests(table, parts))
+    assert size(512) < 1.35 * size(32)  # a tenth of a slice's words: as many items in a message as a whole slice has with _FAN parts
+
+
+def test_empty_table_with_extra_columns(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, target boolean, score string, slice int")
+    assert word_scoring.word_cross_entropy_difference(docs, "target").collect() == []
