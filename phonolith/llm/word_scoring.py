@@ -8,7 +8,8 @@ grows with the corpus is broadcast or comes to the driver.
 
 A slice has at most ``_FAN`` parts to ask, so that its messages never shrink to a few items. Where the hash range needs more parts,
 slices ask coarse parts of it: those of a bundle of slices meet there, are merged, and ask the parts together; the answers go back
-the same way. Steps are dealt to as many tasks as the texts have ``_TASK`` bytes, so a task reads as much at any size.
+the same way. The number of tasks of a step follows the size of the texts, up to ``_MOST_TASKS``; beyond, a task takes more slices or
+parts, one after the other.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from phonolith.llm.store import written
 
 SMOOTHING = 5.0
 #: Bytes of text in a slice and, on average, behind a part of the hash range.
-_SLICE, _PART, _LEAST_PARTS = 1 << 22, 1 << 24, 64
-#: Parts that one asks at most, and bytes of text for each task.
-_FAN, _TASK, _LEAST_TASKS = 2048, 1 << 24, 8
+_SLICE, _PART, _LEAST_PARTS = 1 << 22, 1 << 24, 8
+#: Parts that one asks at most, bytes of text for each task, and the fewest and most tasks of a step.
+_FAN, _TASK, _LEAST_TASKS, _MOST_TASKS = 2048, 1 << 24, 8, 1 << 16
 # the two lowest bits of a hash tell what it is of
 _BIGRAM, _WORD, _CONTEXT = (np.uint64(i) for i in range(3))
 _START, _ASIDE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A35)
@@ -176,7 +177,7 @@ def word_cross_entropy_difference(documents: DataFrame, target: str, smoothing:
     parts = coarse * -(-parts // coarse)
     # as many slices in a bundle as make a coarse part's share of them the size of a part
     bundles = max(1, -(-(text_bytes or 0) // (_PART * coarse)))
-    tasks = max(_LEAST_TASKS, -(-(text_bytes or 0) // _TASK))
+    tasks = min(_MOST_TASKS, max(_LEAST_TASKS, -(-(text_bytes or 0) // _TASK)))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.lean()
@@ -188,15 +189,17 @@ def word_cross_entropy_difference(documents: DataFrame, target: str, smoothing:
 
     # repartition() to a size that follows the texts; grouping by the same column then needs no other shuffle
     dealt = lambda df, key: df.repartition(tasks, key).groupBy(key)
+    # more tasks than parts, as hashing puts some parts together
+    by_part = lambda df: df.repartition(min(_MOST_TASKS, 3 * parts), "part").groupBy("part")
     rows = written(documents.select("doc_id", "text", F.col(target).cast("boolean").alias("target")).mapInArrow(sliced, "slice bigint, held binary"), "slices")
     request = "slice bigint, part bigint, hashes binary, in_target binary, in_all binary"
     requests = rows.mapInArrow(asked, request)
     found = "slice bigint, part bigint, in_target binary, in_all binary, n_words bigint, target_tokens bigint, all_tokens bigint"
     if parts == coarse:
-        answers = written(dealt(requests, "part").applyInArrow(_answers, found), "answers")
+        answers = written(by_part(requests).applyInArrow(_answers, found), "answers")
     else:
         bundled = requests.withColumn("bundle", F.col("part") * bundles + F.pmod(F.xxhash64("slice"), F.lit(bundles)))
-        answers = written(dealt(dealt(bundled, "bundle").applyInArrow(_merged(parts), request), "part").applyInArrow(_answers, found), "answers")
+        answers = written(by_part(dealt(bundled, "bundle").applyInArrow(_merged(parts), request)).applyInArrow(_answers, found), "answers")
     n_words, *sums = (x or 0 for x in answers.where("slice is null").agg(F.sum("n_words"), F.sum("target_tokens"), F.sum("all_tokens")).first())
 
     def scored(slices: pa.Table, answers: pa.Table) -> pa.Table:
