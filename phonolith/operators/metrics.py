@@ -142,13 +142,13 @@ def z_scores(rows: DataFrame, stats: DataFrame, phone: str, value: str) -> DataF
     return joined.withColumn("z", (F.col(value) - F.coalesce("_m", "_am")) / F.coalesce("_s", "_as")).drop("_m", "_s", "_am", "_as")
 
 
-def auc_and_ap(rows: DataFrame, score: str, label: Column) -> DataFrame:
-    """Area under the ROC curve (ties count half) and stepwise average precision; null for one class alone."""
-    steps = rows.where(F.col(score).isNotNull()).groupBy((-F.col(score)).alias("_down")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n"))
-    curve = sums_below(steps, "_down", ["p", "n"])
+def auc_and_ap(rows: DataFrame, score: str, label: Column, *by: str) -> DataFrame:
+    """By group: area under the ROC curve (ties count half) and stepwise average precision; null for one class alone."""
+    steps = rows.where(F.col(score).isNotNull()).groupBy(*by, (-F.col(score)).alias("_down")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n"))
+    curve = sums_below(steps, "_down", ["p", "n"], *by)
     p, n, tp = F.col("p"), F.col("n"), F.col("p_below") + F.col("p")
     # negatives scored above, and half of those scored alike, lose against each positive
     lost = F.sum(p * (F.col("n_below") + n / 2.0))
-    sums = curve.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), lost.alias("lost"), F.sum(p * tp / (tp + F.col("n_below") + n)).alias("ap"))
+    sums = curve.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), lost.alias("lost"), F.sum(p * tp / (tp + F.col("n_below") + n)).alias("ap"))
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
-    return sums.select("pos", "neg", F.when(both, 1 - F.col("lost") / (F.col("pos") * F.col("neg"))).alias("auc"), F.when(F.col("pos") > 0, F.col("ap") / F.col("pos")).alias("ap"))
+    return sums.select(*by, "pos", "neg", F.when(both, 1 - F.col("lost") / (F.col("pos") * F.col("neg"))).alias("auc"), F.when(F.col("pos") > 0, F.col("ap") / F.col("pos")).alias("ap"))

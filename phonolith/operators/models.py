@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -14,7 +16,7 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonolith.operators.metrics import auc_and_ap
@@ -127,23 +129,39 @@ class Detector:
         return self.calibration.transform(raw).withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))))
 
 
-def permuted(rows: DataFrame, column: str, member: str, seed: int, group_size: int = 10_000) -> DataFrame:
-    """Rows with the values of a column moved to other rows: each goes to the next row of a random group in random order.
+def permuted(rows: DataFrame, features: list[str], member: str, n_repeats: int = 5, seed: int = 0, group_size: int = 1000) -> DataFrame:
+    """Rows as they are (``_feature`` null, ``_repeat`` 0), and for every feature and repeat once more with the values of that feature
+    moved to other rows of a random group of about ``group_size`` rows.
 
-    Groups of about ``group_size`` rows take the place of one order of all rows, which a single task would have to make.
+    A group makes all its copies at once; no task holds more than a group, and none puts all rows in an order.
     """
     groups = rows.count() // group_size + 1
-    mix = lambda s: F.xxhash64(F.col(member), F.lit(seed), F.lit(s))
-    window = Window.partitionBy(F.pmod(mix("group"), F.lit(groups))).orderBy(mix("order"), member)
-    return rows.withColumn(column, F.coalesce(F.lead(F.struct(column)).over(window), F.first(F.struct(column)).over(window))[column])
-
-
-def importance(probabilities: Callable[[DataFrame], DataFrame], rows: DataFrame, features: list[str], label: str, member: str, n_repeats: int = 5, seed: int = 0) -> DataFrame:
-    """``feature, mean, std``, the most important first: how much average precision falls when a feature's values are
-    permuted. ``probabilities`` adds ``p``; ``member`` tells rows apart. One job for each feature and repeat."""
-    precision = lambda df: float(auc_and_ap(probabilities(df), "p", F.col(label)).first().ap)
-    whole, out = precision(rows), []
-    for f in features:
-        drops = [whole - precision(permuted(rows, f, member, seed + k)) for k in range(n_repeats)]
-        out.append((f, float(np.mean(drops)), float(np.std(drops))))
-    return rows.sparkSession.createDataFrame(sorted(out, key=lambda x: -x[1]), "feature string, mean double, std double")
+    columns = rows.columns
+
+    def copies(table: pa.Table) -> pa.Table:
+        group = table.column("_group")[0].as_py()
+        own = table.drop_columns(["_group"]).take(pc.sort_indices(table.drop_columns(["_group"]), [(member, "ascending")]))
+        parts = [own.append_column("_feature", pa.nulls(own.num_rows, pa.string())).append_column("_repeat", pa.array(np.zeros(own.num_rows, np.int32)))]
+        for k, f in enumerate(features):
+            for repeat in range(n_repeats):
+                moved = own.column(f).take(pa.array(np.random.default_rng([seed, group, k, repeat]).permutation(own.num_rows)))
+                other = own.set_column(own.schema.get_field_index(f), own.schema.field(f), moved)
+                parts.append(other.append_column("_feature", pa.array([f] * own.num_rows, pa.string())).append_column("_repeat", pa.array(np.full(own.num_rows, repeat, np.int32))))
+        return pa.concat_tables(parts)
+
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.col(member), F.lit(seed)), F.lit(groups)))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "_feature string, _repeat int"])
+    return dealt.groupBy("_group").applyInArrow(copies, schema).select(*columns, "_feature", "_repeat")
+
+
+def importance(probabilities: Callable[[DataFrame], DataFrame], rows: DataFrame, features: list[str], label: str, member: str, n_repeats: int = 5, seed: int = 0, top: int | None = None) -> DataFrame:
+    """``feature, mean, std``, the most important first (the ``top`` ones): how much average precision falls when a feature's values
+    are permuted. ``probabilities`` adds ``p``; ``member`` tells rows apart.
+
+    All features and repeats are scored in one job, and one aggregation gives a precision for each.
+    """
+    scored = probabilities(permuted(rows, features, member, n_repeats, seed)).select("_feature", "_repeat", "p", F.col(label).alias("_label"))
+    found = {(r["_feature"], r["_repeat"]): float(r.ap) for r in auc_and_ap(scored, "p", F.col("_label"), "_feature", "_repeat").collect()}  # one row for each feature and repeat
+    drops = {f: [found[None, 0] - found[f, k] for k in range(n_repeats)] for f in features}
+    ranked = sorted(((f, float(np.mean(d)), float(np.std(d))) for f, d in drops.items()), key=lambda x: -x[1])
+    return rows.sparkSession.createDataFrame(ranked[:top], "feature string, mean double, std double")

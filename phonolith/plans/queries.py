@@ -334,15 +334,14 @@ def _word_eval(spark, d):
 issue_type = "struct<kind:string,expected:string,heard:string,tip:string,hidden:boolean>"
 _WORDS_SQL = """l AS (SELECT 's' || (o_custkey % 40) AS speaker, CASE WHEN o_orderpriority[1] < '3' THEN 'turkish' ELSE 'english' END AS grp, CASE WHEN l_linenumber < 7 THEN l_returnflag = 'R' END AS wrong,
 CASE WHEN l_linenumber <> 5 THEN -100 * l_discount - CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END END AS gop, l_returnflag = 'R' OR l_linenumber = 3 AS issue, l_linenumber % 2 = 0 AS tip, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS word_idx FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-v AS (SELECT unnest([0, -2, -4, -6, -8])::DOUBLE AS x), g AS (SELECT a.x AS t, b.x AS p FROM v a, v b WHERE b.x >= a.x)"""
+v AS (SELECT unnest(['inf'::DOUBLE, 0, -0.5, -1, -1.5, -2, -2.5, -3, -3.5, -4, -5, -6, -8, -10]) AS x), g AS (SELECT a.x AS t, b.x AS p FROM v a, v b WHERE b.x >= a.x)"""
 _SCORE_SQL = """count(*) FILTER (turkish AND wrong AND f) AS tp, count(*) FILTER (turkish AND NOT wrong AND f) AS fp, count(*) FILTER (turkish AND wrong AND NOT f) AS fn, count(*) FILTER (NOT turkish AND NOT wrong AND f) AS ef, count(*) FILTER (NOT turkish AND NOT wrong) AS en"""
-_Q30_GRID = [0.0, -2.0, -4.0, -6.0, -8.0]
 
 
 @query(f"""WITH {_WORDS_SQL}, c AS (SELECT t, p, wrong, grp = 'turkish' AS turkish, issue AND (gop IS NULL OR gop < CASE WHEN tip THEN p ELSE t END) AS f FROM l, g), s AS (SELECT t, p, {_SCORE_SQL} FROM c GROUP BY t, p),
 r AS (SELECT t, p, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, ef / en AS fa FROM s) SELECT t, p, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fa, 6) AS english_false_alarm FROM r WHERE precision >= 0.6 AND fa <= 0.1 ORDER BY recall DESC, precision DESC, fa, t, p LIMIT 1""")
 def q30_grid_selection(spark, d):
-    best = selection.select_thresholds(_word_eval(spark, d), _Q30_GRID, min_precision=0.6, max_false_alarm=0.1)
+    best = selection.select_thresholds(_word_eval(spark, d), min_precision=0.6, max_false_alarm=0.1)
     return best.select("t", "p", *[r6(c).alias(c) for c in ("precision", "recall", "english_false_alarm")])
 
 
@@ -353,7 +352,7 @@ SELECT fold::INT AS fold, count(*) AS words, count(*) FILTER (issue AND (gop IS
 def q31_cross_validation(spark, d):
     rows = _word_eval(spark, d)
     folds = N.deal_folds(rows.select(F.lit("all").alias("g"), "speaker"), "g", "speaker", 4).select("speaker", "fold")
-    out = selection.cross_validate(rows, folds, _Q30_GRID, min_precision=0.6, max_false_alarm=0.1)
+    out = selection.cross_validate(rows, folds, min_precision=0.6, max_false_alarm=0.1)
     return out.groupBy("fold").agg(F.count("*").alias("words"), F.count_if("flagged").alias("flagged"))
 
 
@@ -447,7 +446,7 @@ _SEARCH_SQL = """{name} AS (SELECT min(x) AS {name} FROM (SELECT c.x, count(*) F
 count(*) FILTER (turkish AND wrong AND f) AS tp, count(*) FILTER (turkish AND NOT wrong AND f) AS fp FROM (SELECT z.*, c.x, issue OR (tip = '{tip}' AND m > c.x){more} AS f FROM z, c{join}) q JOIN c ON c.x = q.x GROUP BY c.x) WHERE n >= 10 AND good >= 0.3 * n AND tp >= 0.3 * (tp + fp))"""
 
 
-@query(f"""WITH {_WORDS_SQL}, z AS (SELECT wrong, grp = 'turkish' AS turkish, issue, coalesce(gop, -9) + 3 AS m, CASE WHEN speaker[2:]::INT % 2 = 0 THEN 'w' ELSE 'th_voiced' END AS tip FROM l WHERE wrong IS NOT NULL), c AS (SELECT unnest([-4, -2, 0])::DOUBLE AS x),
+@query(f"""WITH {_WORDS_SQL}, z AS (SELECT wrong, grp = 'turkish' AS turkish, issue, coalesce(gop, -9) + 3 AS m, CASE WHEN speaker[2:]::INT % 2 = 0 THEN 'w' ELSE 'th_voiced' END AS tip FROM l WHERE wrong IS NOT NULL), c AS (SELECT unnest([0, -1, -2, -3, -4, -5, -6, -7, -8])::DOUBLE AS x),
 {_SEARCH_SQL.format(name="one", tip="w", more="", join="")}, {_SEARCH_SQL.format(name="two", tip="th_voiced", more=" OR (tip = 'w' AND m > coalesce(one, 1e9))", join=", one")}
 SELECT 'w' AS tip, one AS threshold FROM one UNION ALL SELECT 'th_voiced', two FROM two""")
 def q43_coordinate_search(spark, d):
@@ -457,7 +456,7 @@ def q43_coordinate_search(spark, d):
     rival = F.struct(F.lit(0).alias("pos"), F.lit("w").alias("expected"), pick.alias("tip"), F.lit("v").alias("sound"), (F.coalesce("gop", F.lit(-9.0)) + 3).alias("margin"))
     truth = F.struct(F.lit("sub").alias("kind"), F.lit("w").alias("expected"), F.lit("v").alias("heard"), pick.alias("tip"), F.lit(False).alias("hidden"))
     rows = rows.withColumns({"rivals": F.array(rival), "expert_errors": F.when(F.col("expert_wrong"), F.array(truth)).otherwise(F.array().cast(f"array<{issue_type}>"))})
-    chosen = selection.select_hidden(rows, [0.0, -2.0, -4.0], ["w", "th_voiced"], min_precision=0.3, max_false_alarm=1.0, min_diagnosis=0.3)
+    chosen = selection.select_hidden(rows, patterns=["w", "th_voiced"], min_precision=0.3, max_false_alarm=1.0, min_diagnosis=0.3)
     return spark.createDataFrame(list(chosen.items()), "tip string, threshold double")
 
 
@@ -830,3 +829,14 @@ def q73_pattern_margins(spark, d):
     items = margins.sound_items(labelled).withColumn("speaker", F.concat(F.when(native, "english").otherwise("turkish"), "p_brand"))
     found = margins.in_pattern_order(margins.pattern_margins(once(items), "speaker", native))
     return found.select("pattern", "ordinal", "errors", "right_turkish", "right_native", "missed", *[r6(c).alias(c) for c in ("auc", "low", "high")])
+
+
+@query()
+def q74_permutation_importance(spark, d):
+    """How much the average precision of a fixed curve of the lines' numbers falls without each of them."""
+    lines = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_returnflag") == "R").alias("wrong"), (F.col("l_quantity") / 50).alias("quantity"), (F.col("l_extendedprice") / 100_000).alias("price"), "l_discount", "l_tax",
+        (F.datediff("l_shipdate", F.lit("1995-01-01")) / 1000).alias("shipped"),
+    )
+    curve = lambda df: df.withColumn("p", F.round(1 / (1 + F.exp(F.col("shipped") + F.col("l_discount") - F.col("quantity") / 10)), 3))
+    return models.importance(curve, lines, ["quantity", "price", "l_discount", "l_tax", "shipped"], "wrong", "id", top=12)

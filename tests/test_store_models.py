@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phonolith.operators import models
+from phonolith.operators import metrics, models
 from phonolith.sources import store
 
 
@@ -64,7 +64,17 @@ def test_ridge_from_products(spark):
 def test_importance(spark):
     _, _, rows = regression(spark)
     rows = rows.withColumn("wrong", F.col("b") > 0.5)
-    moved = models.permuted(rows, "b", "id", 1, group_size=60).toPandas().sort_values("id")
-    assert sorted(moved["b"]) == sorted(rows.toPandas()["b"]) and (moved["b"].to_numpy() != rows.toPandas().sort_values("id")["b"].to_numpy()).mean() > 0.9
+    copies = models.permuted(rows, ["a", "b"], "id", 2, 1, group_size=60).toPandas().sort_values("id")
+    plain = rows.toPandas().sort_values("id")
+    assert len(copies) == 5 * len(plain)
+    for feature, other in (("a", "b"), ("b", "a")):
+        for repeat in (0, 1):
+            moved = copies[(copies["_feature"] == feature) & (copies["_repeat"] == repeat)]
+            assert sorted(moved[feature]) == sorted(plain[feature]) and (moved[feature].to_numpy() != plain[feature].to_numpy()).mean() > 0.9
+            assert moved[other].tolist() == plain[other].tolist()
+    by_hand = metrics.auc_and_ap(rows.withColumn("p", F.col("b") + 0.01 * F.col("c")), "p", F.col("wrong")).first().ap
+    by_group = {r.g: r.ap for r in metrics.auc_and_ap(rows.crossJoin(spark.range(2).withColumnRenamed("id", "g")).withColumn("p", F.col("b") + 0.01 * F.col("c")), "p", F.col("wrong"), "g").collect()}
+    assert by_group == {0: by_hand, 1: by_hand}
     ranked = models.importance(lambda df: df.withColumn("p", F.col("b") + 0.01 * F.col("c")), rows, ["a", "b", "c"], "wrong", "id", 2).collect()
     assert ranked[0].feature == "b" and ranked[0].mean > 0.3 and {r.feature: r.mean for r in ranked}["a"] == 0
+    assert [r.feature for r in models.importance(lambda df: df.withColumn("p", F.col("b") + 0.01 * F.col("c")), rows, ["a", "b", "c"], "wrong", "id", 2, top=1).collect()] == ["b"]
