@@ -1,16 +1,13 @@
-"""What is kept between steps: results read more than once, JSON results, CSV tables, and unpacked archives."""
+"""What is kept between steps: results read more than once, JSON results and CSV tables."""
 
 from __future__ import annotations
 
 import atexit
-import io
 import json
 import shutil
 import tempfile
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,42 +53,6 @@ def merge_json(spark: SparkSession, path: str, values: dict) -> dict:
     return merged
 
 
-FILES = "speaker string, utterance string, wave binary, textgrid binary, transcript binary"
-
-
-def unpack(archives: DataFrame) -> DataFrame:
-    """Annotated sentences in zips of a release, or in zips of speakers inside one: ``speaker, utterance, wave, textgrid,
-    transcript``. archives: ``content``. Only sentences with an annotation; a missing wave or transcript is null.
-
-    A release must fit in a worker; hand in one archive for each speaker to spread the work.
-    """
-
-    def one(data: bytes) -> Iterator[tuple]:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            names = set(z.namelist())
-            for name in sorted(names):
-                if name.endswith(".zip"):
-                    yield from one(z.read(name))
-                elif "/annotation/" in name and name.endswith(".TextGrid"):
-                    speaker, utterance = name.split("/annotation/")[0].split("/")[-1], name.rsplit("/", 1)[-1].removesuffix(".TextGrid")
-                    top = name.split("/annotation/")[0]
-                    wave, transcript = (z.read(n) if n in names else None for n in (f"{top}/wav/{utterance}.wav", f"{top}/transcript/{utterance}.txt"))
-                    yield speaker, utterance, wave, z.read(name), transcript
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["content"]:
-                found = []
-                for row in one(data):
-                    found.append(row)
-                    if len(found) == 64:
-                        yield pd.DataFrame(found, columns=["speaker", "utterance", "wave", "textgrid", "transcript"])
-                        found = []
-                yield pd.DataFrame(found, columns=["speaker", "utterance", "wave", "textgrid", "transcript"])
-
-    return archives.select("content").mapInPandas(rows, FILES)
-
-
 def not_done(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What a stopped job still has to do."""
     return wanted.join(done, [*keys], "left_anti")

@@ -8,20 +8,62 @@ import pytest
 from pyspark.sql import functions as F
 
 from phonolith.operators import metrics, models
-from phonolith.sources import store
+from phonolith.sources import archives, store
 
 
-def test_archives_within_archives(spark):
-    def packed(files):
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for name, data in files.items():
-                z.writestr(name, data)
-        return out.getvalue()
+def packed(files, method=zipfile.ZIP_STORED):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        for name, data in files.items():
+            z.writestr(name, data)
+    return out.getvalue()
 
-    inner = packed({"ABA/annotation/u1.TextGrid": "grid", "ABA/wav/u1.wav": b"w", "ABA/transcript/u1.txt": "hi", "ABA/annotation/u2.TextGrid": "g2", "ABA/wav/u3.wav": b"x"})
-    rows = store.unpack(spark.createDataFrame([(packed({"ABA.zip": inner, "README": "r"}),), (packed({}),)], "content binary")).orderBy("utterance").collect()
-    assert [(r.speaker, r.utterance, r.wave and bytes(r.wave), bytes(r.textgrid), r.transcript and bytes(r.transcript)) for r in rows] == [("ABA", "u1", b"w", b"grid", b"hi"), ("ABA", "u2", None, b"g2", None)]
+
+def release(tmp_path, speakers=4, method=zipfile.ZIP_STORED):
+    """Speakers of 30 sentences each, in zips in a zip, and one zip by itself; by (speaker, utterance) what is in it."""
+    want, inner = {}, {}
+    for s in range(speakers):
+        files = {}
+        for u in range(30):
+            files[f"S{s}/annotation/u{u}.TextGrid"] = f"grid {s} {u} " * 20
+            if u % 3:
+                files[f"S{s}/wav/u{u}.wav"] = bytes([s, u]) * 500
+            if u % 2:
+                files[f"S{s}/transcript/u{u}.txt"] = f"text {u}"
+            want[f"S{s}", f"u{u}"] = tuple(x.encode() if isinstance(x, str) else x for x in (files.get(f"S{s}/wav/u{u}.wav"), files[f"S{s}/annotation/u{u}.TextGrid"], files.get(f"S{s}/transcript/u{u}.txt")))
+        files["S0/wav/other.wav"] = b"x"
+        inner[f"S{s}.zip"] = packed(files, zipfile.ZIP_DEFLATED)
+    (tmp_path / "release").mkdir()
+    (tmp_path / "release" / "all.zip").write_bytes(packed({**inner, "README": "r"}, method))
+    (tmp_path / "release" / "one.zip").write_bytes(packed({"X/annotation/a.TextGrid": "alone"}))
+    (tmp_path / "release" / "empty.zip").write_bytes(packed({}))
+    (tmp_path / "release" / "notes.txt").write_text("no zip")
+    return str(tmp_path / "release"), want | {("X", "a"): (None, b"alone", None)}
+
+
+def read(rows):
+    return {(r.speaker, r.utterance): tuple(None if x is None else bytes(x) for x in (r.wave, r.textgrid, r.transcript)) for r in rows}
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_archives_within_archives(spark, tmp_path, method):
+    path, want = release(tmp_path, method=method)
+    index = archives.release_index(spark, path)
+    assert read(archives.read_sentences(index).collect()) == want and index.count() == len(want)
+    done = index.select("speaker", "utterance").where("speaker <> 'S1'")
+    left = store.not_done(index, done, ["speaker", "utterance"])
+    assert read(archives.read_sentences(left).collect()) == {k: v for k, v in want.items() if k[0] == "S1"}
+    assert archives.read_sentences(index.limit(0)).collect() == []
+
+
+def test_one_release_is_read_by_many_tasks(spark, tmp_path):
+    path, want = release(tmp_path)
+    rows = archives.read_sentences(archives.release_index(spark, path), task_bytes=500)
+    by_task = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(by_task) == len(want) and len(by_task) > 4 and max(by_task) < len(want) / 3
+
+
+def test_what_is_still_to_do(spark):
     wanted = spark.createDataFrame([("ABA",), ("SKA",)], "speaker string")
     assert [r.speaker for r in store.not_done(wanted, wanted.limit(1), ["speaker"]).collect()] == ["SKA"]
 
