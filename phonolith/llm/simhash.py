@@ -6,7 +6,8 @@ index parity. That is enough: fingerprints 1 or 2 bits apart meet in a variant o
 bits apart one is even, two of the three bits have the same index parity, and the variant that flips those two is one
 bit from the other fingerprint. In a variant, owners within one bit are linked to all others by the triangle
 inequality, so a star around one of them has all links; two owners that are both two bits away are no proof and are
-skipped (they meet elsewhere if they are linked).
+skipped (they meet elsewhere if they are linked). Pairs that meet more than once are deduplicated, and every pair is verified by
+the bits in which its fingerprints differ.
 
 Variants are shuffled by their leading bits: a fingerprint goes to each bucket that one of its variants lies in, and
 the bucket's task makes, sorts and matches the variants there, in runs of bounded size. So no variant crosses the
@@ -30,6 +31,8 @@ from phonolith.llm.components import components
 from phonolith.llm.store import written
 
 SEED = 42
+#: Bits in which linked fingerprints differ at most; the variants above are made for this number.
+MOST_BITS = 3
 #: Variants that a task holds at once, and those that a bucket should have on average.
 _RUN, _BUCKET, _MEAN_BALL = 1 << 21, 1 << 22, 561
 # bit i of byte value v, in byte i of the entry, most significant first
@@ -121,7 +124,8 @@ def _variants(fp: np.ndarray, prefix: int, bits: int) -> tuple[np.ndarray, np.nd
 
 
 def _meet(fp: np.ndarray, node: np.ndarray, prefix: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (node, node) that variants with these leading bits prove; halves the range while it has too many."""
+    """Links (node, node) of owners of a common variant with these leading bits, verified; halves the range while it has too many.
+    Nodes are ascending."""
     free = 64 - bits
     near = np.bitwise_count((fp >> np.uint64(free)) ^ np.uint64(prefix)) <= 2 if bits else np.ones(len(fp), bool)
     fp, node = fp[near], node[near]
@@ -142,14 +146,15 @@ def _meet(fp: np.ndarray, node: np.ndarray, prefix: int, bits: int) -> Iterator[
     if not shared.any():
         return
     value, order = value[shared], order[shared]
-    owner, core = node[owner[order]], distance[order] <= 1
+    owner, core = owner[order], distance[order] <= 1
     starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    most = np.iinfo(np.int64).max
-    centre = np.minimum.reduceat(np.where(core, owner, most), starts)
+    # the star is around the smallest node within a bit
+    centre = np.minimum.reduceat(np.where(core, owner, len(node)), starts)
     centre = np.repeat(centre, np.diff(np.append(starts, len(value))))
-    use = (centre != most) & (centre != owner)
-    pairs = np.unique(np.stack([owner[use], centre[use]], 1), axis=0)
-    yield pairs[:, 0], pairs[:, 1]
+    use = (centre != len(node)) & (centre != owner)
+    u, v = np.unique(np.stack([owner[use], centre[use]], 1), axis=0).T
+    close = np.bitwise_count(fp[u] ^ fp[v]) <= MOST_BITS
+    yield node[u[close]], node[v[close]]
 
 
 def links(nodes: DataFrame, n: int | None = None) -> DataFrame:
@@ -162,8 +167,9 @@ def links(nodes: DataFrame, n: int | None = None) -> DataFrame:
     dealt = nodes.select("fp", "node", F.explode(buckets).alias("bucket"))
 
     def rows(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        found = [*_meet(fp, table.column("node").to_numpy(), int(table.column("bucket")[0].as_py()), bits)]
+        order = np.argsort(table.column("node").to_numpy())
+        fp, node = table.column("fp").to_numpy().view(np.uint64)[order], table.column("node").to_numpy()[order]
+        found = [*_meet(fp, node, int(table.column("bucket")[0].as_py()), bits)]
         u, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
         return pa.table({"u": u, "v": v})
 
