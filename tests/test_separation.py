@@ -16,6 +16,9 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True, timeout=120)
     found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
     assert found.returncode == 0, found.stdout
+    # those that need no session are run as well
+    ran = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_kernels.py", "tests/test_trellis.py", "tests/test_alignment.py", "--deselect", "tests/test_alignment.py::test_batches_are_ten_times_as_fast"], cwd=copy, env=env, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0 and " passed" in ran.stdout, ran.stdout
 
 
 def test_nothing_else_imports_the_subpackage():
