@@ -57,7 +57,10 @@ def archive_words(transcribed: DataFrame, analyzed: DataFrame, words: Sequence[s
     expert = expert.select("speaker", "word_idx", "x.*").withColumn("_l", sequences.expert_label(F.col("word"), F.col("expected_phones"), F.col("expert_phones")))
     expert = expert.withColumns({"expert_wrong": F.col("_l.wrong"), "expert_errors": F.col("_l.errors"), "expert_wrong_raw": P.raw_wrong(F.col("expected_phones"), F.col("expert_phones"))}).drop("_l")
     optional = [c for c in ("level", "error_prob", "dismissed", "w_margin", "w_rival", "rivals") if c in analyzed.select(F.explode("words").alias("w")).select("w.*").columns]
-    ours = analyzed.select("speaker", F.posexplode("words").alias("word_idx", "w")).select("speaker", "word_idx", F.col("w.issues").alias("our_errors"), "w.gop", *[F.col(f"w.{c}").alias(c) for c in optional])
+    # both sides' errors have the same fields
+    plain = lambda issues: F.transform(issues, lambda i: F.struct(*[i[c].alias(c) for c in ("kind", "expected", "heard", "tip", "hidden")]))
+    ours = analyzed.select("speaker", F.posexplode("words").alias("word_idx", "w"))
+    ours = ours.select("speaker", "word_idx", plain(F.col("w.issues")).alias("our_errors"), "w.gop", *[(plain(F.col("w.dismissed")) if c == "dismissed" else F.col(f"w.{c}")).alias(c) for c in optional])
     both = expert.join(ours, ["speaker", "word_idx"])
     return both.withColumns(
         {

@@ -13,6 +13,7 @@ from phonolith.operators import kernels as K
 from phonolith.operators import metrics as M
 from phonolith.operators import detector, evaluation, margins, models, reports, resampling, selection, sequences
 from phonolith.operators import windows as N
+from phonolith.plans import coach, experiments
 from phonolith.sources.store import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -840,3 +841,15 @@ def q74_permutation_importance(spark, d):
     )
     curve = lambda df: df.withColumn("p", F.round(1 / (1 + F.exp(F.col("shipped") + F.col("l_discount") - F.col("quantity") / 10)), 3))
     return models.importance(curve, lines, ["quantity", "price", "l_discount", "l_tax", "shipped"], "wrong", "id", top=12)
+
+
+@query()
+def q75_compare_runs(spark, d):
+    """Two systems over the same recordings, whose words an expert has scored by the part's size: runs, units and comparison."""
+    rows = once(_recorded(spark, d))
+    size = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.size(P.tokenize(F.lower("p_name"))).alias("n"))
+    score = lambda k: F.struct(F.pmod(F.col("p_size") * 7 + k * 3, F.lit(11)).cast("double").alias("accuracy"))
+    human = size.select("p_partkey", F.col("p_brand").alias("speaker"), F.transform(F.sequence(F.lit(1), "n"), score).alias("words"))
+    runs = [experiments.run_scored(coach.System(name, settings=given), rows, human, VOCABULARY, ["p_partkey"])[1] for name, given in (("default", {}), ("general", {"gop": 0.0, "pattern": float("inf"), "hidden": {"w": -4.0, "ae": -2.0}}))]
+    found = experiments.compare(runs[:1], runs[1:])
+    return found.select("metric", "ordinal", "speakers", *[r6(c).alias(c) for c in ("a", "b", "diff", "diff_low", "diff_high")], "real")
