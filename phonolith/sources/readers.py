@@ -57,6 +57,7 @@ def textgrid_tiers(text: Column) -> Column:
     """Interval tiers of a Praat TextGrid: map of name to array of (xmin, xmax, text); a doubled quote is one."""
     items = F.split(text, r"item \[\d+\]:")
     block = F.slice(items, F.lit(2), F.size(items) - 1)
+    # fixed value: an interval in the file format
     number = r'intervals \[\d+\]:\s*xmin = (\S+)\s*xmax = (\S+)\s*text = "((?:[^"]|"")*)"'
 
     def tier(b: Column) -> Column:
