@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from phonolith.functions.lazy import arrow_function, pandas_function
 from phonolith.operators import alignment as A
@@ -20,7 +22,7 @@ from phonolith.operators.sounds import SOUNDS, sound_measures
 OPS = "array<struct<kind:string,expected:string,heard:string,exp_pos:int,heard_pos:int>>"
 ISSUES = "array<struct<word_index:int,kind:string,expected:string,heard:string,tip:string,message:string,hidden:boolean>>"
 #: Log probabilities that are analysed at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 RIVALS = "array<struct<pos:int,expected:string,tip:string,sound:string,margin:double>>"
 MARGINS = "array<struct<place:int,tip:string,margin:double,greedy_expected:boolean>>"
 WORDS = f"array<struct<text:string,expected:array<string>,ops:{OPS},issues:{ISSUES},dismissed:{ISSUES},gop:double,score:double,w_margin:double,w_rival:string,w_pos:int,rivals:{RIVALS},margins:{MARGINS}>>"
@@ -128,6 +130,17 @@ def matrix(flat, n_vocab: int) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(-1, n_vocab)
 
 
+def _matrices(lists: pa.Array, n_vocab: int) -> list[np.ndarray]:
+    """The matrix of each row; rows in a row with the same values share one."""
+    out, last, own = [], None, None
+    for x in lists:
+        flat = np.empty(0) if x.values is None else x.values.to_numpy(zero_copy_only=False)
+        if last is None or not np.array_equal(flat, last):
+            last, own = flat, matrix(flat, n_vocab)
+        out.append(own)
+    return out
+
+
 def _by_vocabulary(values: pa.Array, n_vocab: pa.Array, run: Callable[[T.Frames, pa.Array], pa.Array]) -> pa.Array:
     """The results of ``run(frames, rows)`` for the rows of each size of the vocabulary, in the rows' order."""
     sizes = n_vocab.to_numpy(zero_copy_only=False)
@@ -219,35 +232,44 @@ def rival_margin(log_probs: Column, n_vocab: Column, span: Column, target: Colum
     return arrow_function("struct<margin:double,rival:int>", run)(log_probs, n_vocab, span, target, rivals)
 
 
-def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, special: Sequence[int] = (0, 1, 2, 3), sounds: bool = False, **settings) -> DataFrame:
+def analyze(utterances: DataFrame, vocabulary: Sequence[str], blank: int = 0, special: Sequence[int] = (0, 1, 2, 3), sounds: bool = False, wanted: Sequence[str] | None = None, **settings) -> DataFrame:
     """Utterances with what was heard of them: ``heard, words, features, tips, phone_accuracy, aligned``.
 
     utterances: ``words`` (array of strings), ``raw`` (their expected tokens), ``log_probs`` (row-major), ``seconds``.
-    With ``sounds`` there are also the measures of each expected sound (see ``detector``).
+    With ``sounds`` there are also the measures of each expected sound (see ``detector``). wanted: the results to return, where not
+    all are; the others never leave Python.
     settings: gop, pattern, w_margin, hidden, margins, as ``kernels.analyze_many()`` takes them. One pass without a shuffle; the
-    matrices don't come back. Raises ValueError for an utterance without words.
+    matrices don't come back, and a task holds the results of ``CELLS`` log probabilities at a time. Raises ValueError for an
+    utterance without words.
     """
     kept = [f for f in utterances.schema if f.name not in ("log_probs", "raw", "words")]
     names = ", ".join(f"{f}:double" for f in K.FEATURES)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"heard array<string>, words {WORDS}, features struct<{names}>, tips array<string>, phone_accuracy double, aligned boolean", *([f"sounds {SOUNDS}"] if sounds else [])])
-    columns = [*(f.name for f in kept), "heard", "words", "features", "tips", "phone_accuracy", "aligned", *(["sounds"] if sounds else [])]
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = {"heard": "array<string>", "words": WORDS, "features": f"struct<{names}>", "tips": "array<string>", "phone_accuracy": "double", "aligned": "boolean", **({"sounds": SOUNDS} if sounds else {})}
+    found = {n: t for n, t in types.items() if wanted is None or n in wanted}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} {t}" for n, t in found.items())])
+    arrow = {n: to_arrow_type(StructType.fromDDL(f"x {t}")[0].dataType) for n, t in found.items()}
+
+    def measured(spoken: list[str], raw: list[list[str]], a: dict) -> dict:
+        values = {"heard": a["heard"], "features": a["features"], "tips": a["tips"], "phone_accuracy": a["phone_accuracy"], "aligned": a["spans"] is not None}
+        if "words" in found:
+            values["words"] = [{**vars(w), "ops": _ops(w.ops), "score": w.score} for w in a["words"]]
+        if "sounds" in found:
+            values["sounds"] = sound_measures(spoken, raw, a, vocabulary, blank)
+        return values
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # as many utterances at once as have CELLS log probabilities
-            cells = np.cumsum([len(x) for x in batch["log_probs"]])
-            for own in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(cells // CELLS)) + 1):
-                records = batch.iloc[own].to_dict("records")
-                given = [(list(u["words"]), [list(r) for r in u["raw"]], matrix(u["log_probs"], len(vocabulary)), u["seconds"]) for u in records]
-                out = []
-                for u, (spoken, raw, _, _), a in zip(records, given, K.analyze_many(given, vocabulary, blank, special, **settings), strict=True):
-                    words = [{**{k: getattr(w, k) for k in ("text", "expected", "issues", "dismissed", "gop", "score", "w_margin", "w_rival", "w_pos", "rivals", "margins")}, "ops": _ops(w.ops)} for w in a["words"]]
-                    out.append({**{f.name: u[f.name] for f in kept}, "heard": a["heard"], "words": words, "features": a["features"], "tips": a["tips"], "phone_accuracy": a["phone_accuracy"], "aligned": a["spans"] is not None})
-                    if sounds:
-                        out[-1]["sounds"] = sound_measures(spoken, raw, a, vocabulary, blank)
-                yield pd.DataFrame(out, columns=columns)
-
-    return utterances.mapInPandas(rows, schema)
+            sizes = pc.fill_null(pc.list_value_length(batch.column("log_probs")), 0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // CELLS)) + 1
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                own = batch.slice(start, end - start)
+                given = [*zip(own.column("words").to_pylist(), own.column("raw").to_pylist(), _matrices(own.column("log_probs"), len(vocabulary)), own.column("seconds").to_pylist(), strict=True)]
+                out = [measured(u[0], u[1], a) for u, a in zip(given, K.analyze_many(given, vocabulary, blank, special, **settings), strict=True)]
+                columns = [*(own.column(f.name) for f in kept), *(pa.array([r[n] for r in out], t) for n, t in arrow.items())]
+                yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *arrow])
+
+    return utterances.mapInArrow(rows, schema)
 
 
 def word_eval(analyzed: DataFrame, expert: DataFrame, keys: list[str]) -> DataFrame:

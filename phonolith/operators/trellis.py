@@ -20,15 +20,18 @@ class Frames:
 
     def __init__(self, values: np.ndarray, offsets: np.ndarray):
         self.values, self.offsets = values, np.asarray(offsets, np.int64)
+        self.sizes = np.diff(self.offsets)
 
     @classmethod
     def of(cls, matrices: Sequence[np.ndarray], n_vocab: int) -> Frames:
         values = np.concatenate([np.asarray(m, np.float64).reshape(-1, n_vocab) for m in matrices]) if len(matrices) else np.empty((0, n_vocab))
         return cls(values, np.append(0, np.cumsum([len(m) for m in matrices])))
 
-    @property
-    def sizes(self) -> np.ndarray:
-        return np.diff(self.offsets)
+    def dealt(self, of: Sequence[int]) -> Frames:
+        """Utterances that share frames: of each the number of its frames here. For alignment and scores; not for decoding."""
+        out = Frames(self.values, self.offsets)
+        out.offsets, out.sizes = self.offsets[:-1][of], self.sizes[of]
+        return out
 
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

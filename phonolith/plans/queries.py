@@ -477,15 +477,28 @@ SOUNDS = list(dict.fromkeys(LETTERS.values()))
 VOCABULARY = ["<pad>", "<s>", "</s>", "<unk>", *SOUNDS, *(f"<{k}>" for k in range(60 - len(SOUNDS)))]
 
 
-def _recorded(spark, d):
-    """Parts as recordings: the words of the name, a sound for each letter, said in 50 vectors in a row as frames."""
+#: Parts that meet one copy of a recording, and parts of a task.
+_SHARE, _TASK = 128, 4096
+
+
+def _recorded(spark, d, *carried: str):
+    """Parts as recordings: the words of the name, a sound for each letter, said in 50 vectors in a row as frames. carried: further
+    columns of the parts.
+
+    Neither side is broadcast: a recording is copied for every ``_SHARE`` of its parts, and the tasks' number follows the parts'. The
+    matrices don't cross the network again.
+    """
     vectors = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("utt"), F.struct("vec_id", "embedding").alias("f"))
     frames = vectors.groupBy("utt").agg(F.flatten(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["embedding"])).alias("log_probs"))
-    n = frames.agg(F.max("utt") + 1).first()[0]
+    n, total = vectors.agg(F.max("utt") + 1).first()[0], table(spark, d, "part").count()
+    copies = -(-total // (_SHARE * (n or 1))) or 1
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // _TASK))
+    copied = frames.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint")))).repartition(tasks, "utt", "copy")
+    parts = table(spark, d, "part").select("p_partkey", *carried, F.pmod("p_partkey", F.lit(n)).alias("utt"), F.pmod(F.floor(F.col("p_partkey") / n), F.lit(copies)).alias("copy"), P.tokenize(F.lower("p_name")).alias("words"))
+    said = parts.repartition(tasks, "utt", "copy").hint("merge").join(copied, ["utt", "copy"])
     letters = P.literal_map(LETTERS)
     raw = F.transform("words", lambda w: F.transform(F.split(w, ""), lambda c: F.element_at(letters, c)))
-    parts = table(spark, d, "part").select("p_partkey", F.pmod("p_partkey", F.lit(n)).alias("utt"), P.tokenize(F.lower("p_name")).alias("words"))
-    return parts.withColumn("raw", raw).join(frames, "utt").withColumn("seconds", F.size("log_probs") / 64 * K.FRAME_SECONDS).drop("utt")
+    return said.withColumn("raw", raw).withColumn("seconds", F.size("log_probs") / 64 * K.FRAME_SECONDS).drop("utt", "copy")
 
 
 _SOUND_COST = "CASE WHEN {0} = {1} THEN 0.0 WHEN list_contains(['æ', 'ɛ', 'ɪ', 'ʊ', 'ʌ', 'iː'], {0}) = list_contains(['æ', 'ɛ', 'ɪ', 'ʊ', 'ʌ', 'iː'], {1}) THEN 0.6 ELSE 1.2 END"
@@ -520,7 +533,7 @@ SELECT p_partkey, array_to_string(b, ' ') AS heard, round(accuracy, 6) AS phone_
 FROM part JOIN pairs ON id = (p_name, p_partkey % (SELECT max(utt) + 1 FROM u)) JOIN y ON y.id = pairs.id LEFT JOIN p ON p.id = pairs.id""")
 def q45_analyze(spark, d):
     """What was heard of each part's name, how much of it was right, and the mean score of its sounds."""
-    found = sequences.analyze(_recorded(spark, d), VOCABULARY)
+    found = sequences.analyze(_recorded(spark, d), VOCABULARY, wanted=["heard", "features", "phone_accuracy", "aligned"])
     return found.select("p_partkey", F.array_join("heard", " ").alias("heard"), r6("phone_accuracy").alias("phone_accuracy"), r6("features.gop_lpr_mean").alias("lpr_mean"), "aligned")
 
 
