@@ -836,10 +836,9 @@ def q73_pattern_margins(spark, d):
     said = P.literal_map(_SAID)
     merged = lambda w: F.filter(w, lambda c, i: (i == 0) | (c != F.get(w, i - 1)))
     other = F.transform("raw", lambda w: F.transform(merged(w), lambda c: F.when(F.col("p_size") % 3 == 0, F.coalesce(F.try_element_at(said, c), c)).otherwise(c)))
-    size = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
-    rows = _recorded(spark, d).join(size, "p_partkey").withColumn("heard_by_expert", other)
+    rows = _recorded(spark, d, "p_size", "p_brand").withColumn("heard_by_expert", other)
     native = F.col("p_size") % 5 < 2
-    labelled = margins.labelled_sounds(sequences.analyze(rows, VOCABULARY, margins=True), ["p_partkey", "p_size", "p_brand"], F.col("heard_by_expert"), ~native)
+    labelled = margins.labelled_sounds(sequences.analyze(rows, VOCABULARY, margins=True, wanted=["words"]), ["p_partkey", "p_size", "p_brand"], F.col("heard_by_expert"), ~native)
     items = margins.sound_items(labelled).withColumn("speaker", F.concat(F.when(native, "english").otherwise("turkish"), "p_brand"))
     found = margins.in_pattern_order(margins.pattern_margins(once(items), "speaker", native))
     return found.select("pattern", "ordinal", "errors", "right_turkish", "right_native", "missed", *[r6(c).alias(c) for c in ("auc", "low", "high")])
