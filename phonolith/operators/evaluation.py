@@ -75,10 +75,12 @@ def scored_words(analyzed: DataFrame, human: DataFrame, keys: Sequence[str]) ->
 
     analyzed: keys and ``words`` (with score and issues); human: keys, ``speaker`` and ``words`` (with accuracy).
     """
-    both = analyzed.select(*keys, F.col("words").alias("ours")).join(human.select(*keys, "speaker", F.col("words").alias("theirs")), [*keys])
-    each = both.where(F.size("ours") == F.size("theirs")).select("speaker", F.explode(F.arrays_zip("ours", "theirs")).alias("x"))
-    issues = F.col("x.ours.issues")
-    return each.select("speaker", F.col("x.theirs.accuracy").alias("accuracy"), F.col("x.ours.score").alias("our_score"), (F.size(issues) > 0).alias("flagged"), pairs_of(issues).alias("pairs"))
+    # only what is returned of a word goes through the join, and neither table is broadcast
+    ours = F.transform("words", lambda w: F.struct(w["score"].alias("our_score"), (F.size(w["issues"]) > 0).alias("flagged"), pairs_of(w["issues"]).alias("pairs")))
+    theirs = human.select(*keys, "speaker", F.transform("words", lambda w: w["accuracy"]).alias("accuracy"))
+    both = analyzed.select(*keys, ours.alias("ours")).hint("merge").join(theirs, [*keys])
+    each = both.where(F.size("ours") == F.size("accuracy")).select("speaker", F.explode(F.arrays_zip("accuracy", "ours")).alias("x"))
+    return each.select("speaker", "x.accuracy", "x.ours.our_score", "x.ours.flagged", "x.ours.pairs")
 
 
 def word_detection(rows: DataFrame, wrong_below: float = WRONG_BELOW) -> DataFrame:

@@ -61,11 +61,13 @@ class System:
     recognizer: str | None = None
 
     def assess(self, utterances: DataFrame, vocabulary: Sequence[str], keys: Sequence[str], **layout) -> DataFrame:
-        """utterances: keys, words, raw, log_probs, seconds."""
+        """utterances: keys, words, raw, log_probs, seconds. layout: as ``sequences.analyze()`` takes it."""
         if self.decision == "rules":
             return sequences.analyze(utterances, vocabulary, **layout, **self.settings)
         if self.decision == "detector":
             learned = self.settings["detector"]
+            if layout.get("wanted") is not None:
+                layout = layout | {"wanted": [*layout["wanted"], "words", "sounds"]}
             analyzed = once(sequences.analyze(utterances, vocabulary, sounds=True, **layout))  # read for the sounds and for the words
             limits = self.settings.get("thresholds") or learned.thresholds
             return D.decided(analyzed, learned.probabilities(analyzed, keys), keys, limits["red"], limits["yellow"])

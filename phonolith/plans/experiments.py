@@ -64,7 +64,7 @@ def run_archive(system: System, recordings: DataFrame, transcribed: DataFrame, v
 def run_scored(system: System, recordings: DataFrame, human: DataFrame, vocabulary: Sequence[str], keys: Sequence[str]) -> tuple[dict[str, DataFrame], DataFrame]:
     """Sentences whose words experts have scored (0 to 10). recordings: keys, ``words, raw, log_probs, seconds``; human: keys,
     ``speaker`` and ``words`` (with accuracy). Tables: ``words`` and detection by two limits."""
-    rows = once(evaluation.scored_words(system.assess(recordings, vocabulary, keys), human, keys))
+    rows = once(evaluation.scored_words(system.assess(recordings, vocabulary, keys, wanted=["words"]), human, keys))
     tables = {"words": rows, "expert_below_10": evaluation.word_detection(rows), "expert_below_7": evaluation.word_detection(rows, CLEARLY_WRONG_BELOW)}
     return tables, _units(evaluation.confusion_by_speaker(rows), F.lit("speechocean_val"), ("tp", "fp", "fn", "tn"))
 

@@ -858,7 +858,7 @@ def q74_permutation_importance(spark, d):
 @query()
 def q75_compare_runs(spark, d):
     """Two systems over the same recordings, whose words an expert has scored by the part's size: runs, units and comparison."""
-    rows = once(_recorded(spark, d))
+    rows = _recorded(spark, d)
     size = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.size(P.tokenize(F.lower("p_name"))).alias("n"))
     score = lambda k: F.struct(F.pmod(F.col("p_size") * 7 + k * 3, F.lit(11)).cast("double").alias("accuracy"))
     human = size.select("p_partkey", F.col("p_brand").alias("speaker"), F.transform(F.sequence(F.lit(1), "n"), score).alias("words"))
