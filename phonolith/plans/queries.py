@@ -540,7 +540,7 @@ def q45_analyze(spark, d):
 @query()
 def q46_sound_features(spark, d):
     """The features of every expected sound, with scores standardised by the sounds said right."""
-    rows = once(detector.sound_rows(sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True), ["p_partkey"]))
+    rows = detector.sound_rows(once(sequences.analyze(_recorded(spark, d), VOCABULARY, sounds=True, wanted=["sounds"])), ["p_partkey"])
     rows = detector.standardized(rows, detector.sound_stats(rows, F.col("kind") == "match"))
     return rows.select("p_partkey", "word", "at", "phone", "kind", "heard", "top_other", *[r6(f).alias(f) for f in detector.FEATURES])
 
