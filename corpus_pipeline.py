@@ -24,7 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 or more on 5-word shingles) the row with the smallest id stays. Rows without an id stay."""
+    """Of each group of near copies (0.8 or more on 5-word shingles) the row with the smallest id stays. Rows without an id stay.
+
+    Ball hashing of fingerprints names candidates, bands of MinHash those that it misses; all are compared exactly."""
     return near_copies.without_near_copies(docs.select(*COLUMNS))
 
 

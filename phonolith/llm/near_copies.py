@@ -1,7 +1,8 @@
 """Near copies by the Jaccard similarity of their sets of 5-word shingles.
 
-MinHash bands only name candidates: texts that agree in a band are linked to the smallest of the band, and the components
-of these links are the groups in which near copies can lie. Inside a group pairs are compared by their whole sets, and
+Candidates are named twice. Ball hashing links texts whose SimHash fingerprints (``simhash``) differ in 3 bits at most; near copies
+of this kind often differ in more, so MinHash bands add the rest: texts that agree in a band are linked to the smallest of the band.
+The components of all these links are the groups in which near copies can lie. Inside a group pairs are compared by their whole sets, and
 only pairs of ``LEAST`` or more are linked. A pair of similarity s has no common band with probability
 (1 - s ** ROWS) ** BANDS: 5e-7 at 0.8, less above.
 
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phonolith.llm import simhash
 from phonolith.llm import words as W
 from phonolith.llm.components import components
 from phonolith.llm.store import written
@@ -79,7 +81,7 @@ def band_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _signed(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, rest, node, bytes, bands`` of every row."""
+    """``doc_id, text_hash, rest, node, bytes, fp, bands`` of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.lean()
@@ -89,10 +91,11 @@ def _signed(documents: DataFrame) -> DataFrame:
                 full = np.diff(offsets) > 0
                 keys = band_keys(values, offsets) if full.any() else np.empty((0, BANDS), np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(full * BANDS)).astype(np.int32)), pa.array(keys.ravel()))
+                fp = pa.array(simhash.fingerprints_of(part.column("text")).view(np.int64))
                 size = pa.array(np.diff(W.raw(part.column("text"))[1]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), part.column("rest"), _nodes(values, offsets), size, bands], ["doc_id", "text_hash", "rest", "node", "bytes", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), part.column("rest"), _nodes(values, offsets), size, fp, bands], ["doc_id", "text_hash", "rest", "node", "bytes", "fp", "bands"])
 
-    return documents.select("doc_id", "text_hash", "rest", "text").mapInArrow(rows, "doc_id bigint, text_hash bigint, rest bigint, node binary, bytes bigint, bands array<bigint>")
+    return documents.select("doc_id", "text_hash", "rest", "text").mapInArrow(rows, "doc_id bigint, text_hash bigint, rest bigint, node binary, bytes bigint, fp bigint, bands array<bigint>")
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -180,11 +183,21 @@ def _first(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "root": pa.array([root] * len(u), pa.binary()), "band": pa.array(bands, pa.int32())})
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """``node, root`` of the nodes that share a band with another, by the components of the shared bands."""
+def _balls(fingerprints: DataFrame) -> DataFrame:
+    """Links u, v of nodes whose fingerprints differ in at most ``simhash.MOST_BITS`` bits. fingerprints: ``fp, node``, each pair once."""
+    first = written(fingerprints.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = fingerprints.join(first.hint("shuffle_hash"), "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = simhash.links(first.select("fp", F.col("fp").alias("node")))
+    named = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")).hint("shuffle_hash")
+    return equal.unionByName(near.join(named("u"), "u").join(named("v"), "v").where("u_node <> v_node").select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
+
+
+def candidates(nodes: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """``node, root`` of the nodes that ball hashing or a shared band links to another, by the components of these links."""
     bands = nodes.select("node", F.explode("bands").alias("key"))
     met = bands.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").select("key", "v")
-    return components(written(bands.join(met.hint("shuffle_hash"), "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "bands"))
+    shared = bands.join(met.hint("shuffle_hash"), "key").where("node <> v").select(F.col("node").alias("u"), "v")
+    return components(written(shared.unionByName(_balls(fingerprints)).distinct(), "bands"))
 
 
 def _sized(groups: DataFrame, *by: str) -> DataFrame:
@@ -200,9 +213,10 @@ def _with(rows: DataFrame, sizes: DataFrame, *by: str) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")).join(salted.hint("shuffle_hash"), [*by, "salt"], "left").drop("salt")
 
 
-def links(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links u, v that connect all candidates of a similarity of ``LEAST`` or more. nodes: ``node, bytes, bands``, each once."""
-    groups = written(nodes.select("node", "bytes").join(candidates(nodes), "node"), "groups")
+def links(documents: DataFrame, nodes: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """Links u, v that connect all candidates of a similarity of ``LEAST`` or more. nodes: ``node, bytes, bands``, each once;
+    fingerprints: the ``fp`` of each node's texts."""
+    groups = written(nodes.select("node", "bytes").join(candidates(nodes, fingerprints), "node"), "groups")
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     dealt = written(_with(groups, _sized(groups, "root"), "root").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part), "dealt")
     # the representative is in its own part and, as a copy, in all others
@@ -240,7 +254,7 @@ def without_near_copies(documents: DataFrame) -> DataFrame:
     docs = documents.withColumns({"text_hash": F.xxhash64("text"), "rest": F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")})
     signed = written(_signed(docs.where("doc_id is not null")), "signed")
     nodes = written(signed.select("node", "bytes", "bands").dropDuplicates(["node"]), "nodes")
-    found = components(written(links(docs.where("doc_id is not null"), nodes), "links"))
+    found = components(written(links(docs.where("doc_id is not null"), nodes, signed.select("fp", "node").distinct()), "links"))
     best = signed.groupBy("node").agg(F.min(F.struct(*key)).alias("x")).join(found.hint("shuffle_hash"), "node", "left")
     kept = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("x").alias("x")).select("x.*")
     return docs.join(kept, key, "left_semi").dropDuplicates(key).unionByName(docs.where("doc_id is null")).select(*documents.columns)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from tests.llm.test_documents import WORD, classes
 
 import corpus_pipeline
-from phonolith.llm import near_copies
+from phonolith.llm import near_copies, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -91,3 +91,14 @@ def test_a_template_costs_its_number_of_copies():
     values, offsets = near_copies.shingle_sets(pa.array(texts))
     common, union = near_copies._shares(values, offsets, 0)
     assert (5 * common >= 4 * union).all()
+
+
+def test_ball_hashing_alone_links_near_copies(spark, monkeypatch):
+    """Without a common band, copies whose fingerprints differ in at most 3 bits are still found; unlike texts stay."""
+    lonely = np.random.default_rng(4)
+    monkeypatch.setattr(near_copies, "band_keys", lambda values, offsets: np.random.default_rng(int(values[:1].sum() % 2**31)).integers(-(2**62), 2**62, (int((np.diff(offsets) > 0).sum()), near_copies.BANDS)))
+    base = [f"w{k}" for k in lonely.integers(0, 5000, 900)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:450], "x", *base[451:]])), (3, " ".join(f"v{k}" for k in range(900)))]
+    a, b = simhash.fingerprints_of(pa.array([rows[0][1], rows[1][1]]))
+    assert a != b and int(a ^ b).bit_count() <= simhash.MOST_BITS
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").collect()) == [1, 3]
