@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonolith.sources.store import once
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 for an empty denominator."""
@@ -144,7 +146,8 @@ def z_scores(rows: DataFrame, stats: DataFrame, phone: str, value: str) -> DataF
 
 def auc_and_ap(rows: DataFrame, score: str, label: Column, *by: str) -> DataFrame:
     """By group: area under the ROC curve (ties count half) and stepwise average precision; null for one class alone."""
-    steps = rows.where(F.col(score).isNotNull()).groupBy(*by, (-F.col(score)).alias("_down")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n"))
+    # read for the cuts and for the sums; the rows behind it are scored once
+    steps = once(rows.where(F.col(score).isNotNull()).groupBy(*by, (-F.col(score)).alias("_down")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n")))
     curve = sums_below(steps, "_down", ["p", "n"], *by)
     p, n, tp = F.col("p"), F.col("n"), F.col("p_below") + F.col("p")
     # negatives scored above, and half of those scored alike, lose against each positive

@@ -133,25 +133,31 @@ def permuted(rows: DataFrame, features: list[str], member: str, n_repeats: int =
     """Rows as they are (``_feature`` null, ``_repeat`` 0), and for every feature and repeat once more with the values of that feature
     moved to other rows of a random group of about ``group_size`` rows.
 
-    A group makes all its copies at once; no task holds more than a group, and none puts all rows in an order.
+    Python returns each row once, with the values that it gets from others in arrays; the copies are made of them in the JVM, where they
+    are scored. No task holds more than a group in Python, and none puts all rows in an order.
     """
     groups = rows.count() // group_size + 1
     columns = rows.columns
 
-    def copies(table: pa.Table) -> pa.Table:
+    def moved(table: pa.Table) -> pa.Table:
         group = table.column("_group")[0].as_py()
         own = table.drop_columns(["_group"]).take(pc.sort_indices(table.drop_columns(["_group"]), [(member, "ascending")]))
-        parts = [own.append_column("_feature", pa.nulls(own.num_rows, pa.string())).append_column("_repeat", pa.array(np.zeros(own.num_rows, np.int32)))]
+        n = own.num_rows
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * n_repeats)
         for k, f in enumerate(features):
-            for repeat in range(n_repeats):
-                moved = own.column(f).take(pa.array(np.random.default_rng([seed, group, k, repeat]).permutation(own.num_rows)))
-                other = own.set_column(own.schema.get_field_index(f), own.schema.field(f), moved)
-                parts.append(other.append_column("_feature", pa.array([f] * own.num_rows, pa.string())).append_column("_repeat", pa.array(np.full(own.num_rows, repeat, np.int32))))
-        return pa.concat_tables(parts)
+            places = np.stack([np.random.default_rng([seed, group, k, repeat]).permutation(n) for repeat in range(n_repeats)], 1)
+            own = own.append_column(f"_moved{k}", pa.ListArray.from_arrays(offsets, own.column(f).combine_chunks().take(pa.array(places.ravel()))))
+        return own
 
     dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.col(member), F.lit(seed)), F.lit(groups)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "_feature string, _repeat int"])
-    return dealt.groupBy("_group").applyInArrow(copies, schema).select(*columns, "_feature", "_repeat")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in types.items()), *(f"_moved{k} array<{types[f]}>" for k, f in enumerate(features))])
+    which = [(-1, 0), *((k, repeat) for k in range(len(features)) for repeat in range(n_repeats))]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("repeat")) for k, r in which]))
+    copies = dealt.groupBy("_group").applyInArrow(moved, schema).withColumn("_copy", each)
+    values = {f: F.when(F.col("_copy.k") == k, F.get(f"_moved{k}", F.col("_copy.repeat"))).otherwise(F.col(f)) for k, f in enumerate(features)}
+    named = F.get(F.array(*[F.lit(f) for f in features]), F.nullif(F.col("_copy.k"), F.lit(-1)))
+    return copies.select(*[values.get(c, F.col(c)).alias(c) for c in columns], named.alias("_feature"), F.col("_copy.repeat").alias("_repeat"))
 
 
 def importance(probabilities: Callable[[DataFrame], DataFrame], rows: DataFrame, features: list[str], label: str, member: str, n_repeats: int = 5, seed: int = 0, top: int | None = None) -> DataFrame:
