@@ -25,6 +25,8 @@ from phonolith.sources.store import once
 ALPHAS = [10.0 ** (k / 2) for k in range(-6, 7)]
 #: Rounds of boosting; stopping early is for the caller, who knows the size of the table.
 ROUNDS = 300
+#: Rows of a task in training.
+TASK_ROWS = 1 << 19
 
 
 def fold_of(group: str, n_folds: int):
@@ -32,6 +34,12 @@ def fold_of(group: str, n_folds: int):
     return F.pmod(F.xxhash64(group), F.lit(n_folds)).cast("int")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in tasks of at most about ``TASK_ROWS``: dealt anew if a task holds more, as it may where files are large."""
+    held = rows.groupBy(F.spark_partition_id().alias("_task")).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    return rows if (held["most"] or 0) <= TASK_ROWS else rows.repartition(-(-held["all"] // TASK_ROWS))
+
+
 def products(rows: DataFrame, columns: list[str], by: str) -> dict[int, np.ndarray]:
     """For each fold the sums of products of all columns and 1, in one aggregation: all that least squares needs."""
     named = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
@@ -80,7 +88,7 @@ def fit_scorer(rows: DataFrame, features: list[str], label: str, group: str, n_f
 
     The linear ones, every penalty and fold come from one aggregation; only the trees need passes of their own.
     """
-    data = once(rows.withColumn("_fold", fold_of(group, n_folds)).select(*features, label, "_fold").na.drop())
+    data = once(spread(rows.withColumn("_fold", fold_of(group, n_folds)).select(*features, label, "_fold").na.drop()))
     folds = products(data, [*features, label], "_fold")
     every = sum(folds.values())
 
@@ -112,7 +120,7 @@ class Detector:
         return rows.withColumns(clean).withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in self.features})
 
     def fit(self, rows: DataFrame, label: str) -> Detector:
-        data = self._flagged(rows).withColumn("_fold", fold_of(self.group, self.n_folds)).withColumn("_label", F.col(label).cast("double"))
+        data = self._flagged(spread(rows.select(*dict.fromkeys([*self.features, self.group, label])))).withColumn("_fold", fold_of(self.group, self.n_folds)).withColumn("_label", F.col(label).cast("double"))
         filled = [f"{f}_filled" for f in self.features]
         prepare = Pipeline(stages=[Imputer(inputCols=self.features, outputCols=filled), VectorAssembler(inputCols=filled + [f"{f}_missing" for f in self.features], outputCol="x")])
         prepared = prepare.fit(data.where("_fold <> 0"))
@@ -121,7 +129,9 @@ class Detector:
         trees = GBTClassifier(featuresCol="x", labelCol="_label", maxIter=self.rounds, maxDepth=3, seed=self.seed).fit(ready.where("_fold <> 0"))
         self.model = PipelineModel([prepared, trees])
         held = trees.transform(ready.where("_fold = 0")).withColumn("raw", vector_to_array("probability")[1])
-        self.calibration = IsotonicRegression(featuresCol="raw", labelCol="_label", predictionCol="calibrated").fit(held)
+        # one weighted point for each value: ties don't meet in a task
+        points = held.groupBy("raw").agg(F.avg("_label").alias("_label"), F.count("*").cast("double").alias("_weight"))
+        self.calibration = IsotonicRegression(featuresCol="raw", labelCol="_label", weightCol="_weight", predictionCol="calibrated").fit(points)
         return self
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
