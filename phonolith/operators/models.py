@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,8 @@ ALPHAS = [10.0 ** (k / 2) for k in range(-6, 7)]
 ROUNDS = 300
 #: Rows of a task in training.
 TASK_ROWS = 1 << 19
+#: Rows of a table that is trained on as it is, and points of a task where equal rows are merged.
+SMALL, TASK_POINTS = 10_000, 1 << 16
 
 
 def fold_of(group: str, n_folds: int):
@@ -40,12 +42,27 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if (held["most"] or 0) <= TASK_ROWS else rows.repartition(-(-held["all"] // TASK_ROWS))
 
 
-def products(rows: DataFrame, columns: list[str], by: str) -> dict[int, np.ndarray]:
-    """For each fold the sums of products of all columns and 1, in one aggregation: all that least squares needs."""
+def points_of(rows: DataFrame, columns: list[str]) -> int | None:
+    """About how many distinct values of ``columns`` the rows have, where it pays to merge rows of equal values: trees see no
+    difference between equal rows and one with their number as its weight. None where few are equal, or few rows are there."""
+    found = rows.agg(F.count("*").alias("all"), F.approx_count_distinct(F.xxhash64(*columns)).alias("points")).first()
+    return found["points"] if found["all"] > max(SMALL, 2 * found["points"]) else None
+
+
+def dealt(points: DataFrame, n: int) -> DataFrame:
+    """About ``n`` points in tasks of at most about ``TASK_POINTS``."""
+    return points.repartition(-(-n // TASK_POINTS))
+
+
+def products(rows: DataFrame, columns: list[str], by: str, weight: str | None = None, within: str | None = None) -> dict[int, np.ndarray]:
+    """For each fold the sums of products of all columns and 1, in one aggregation: all that least squares needs. A row counts as
+    ``weight`` ones, whose last columns have ``within`` as the sum of their squared differences from the row's."""
+    times, more = F.col(weight) if weight else F.lit(1.0), F.col(within) if within else F.lit(0.0)
     named = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
     pairs = [(i, j) for i in range(len(named)) for j in range(i + 1)]
+    each = {(i, j): times * named[i] * named[j] + (more if i == j == len(columns) else F.lit(0.0)) for i, j in pairs}
     out = {}
-    for r in rows.groupBy(by).agg(*[F.sum(named[i] * named[j]).alias(f"p{i}_{j}") for i, j in pairs]).collect():  # one row for each fold
+    for r in rows.groupBy(by).agg(*[F.sum(each[i, j]).alias(f"p{i}_{j}") for i, j in pairs]).collect():  # one row for each fold
         out[r[by]] = np.zeros((len(named), len(named)))
         for i, j in pairs:
             out[r[by]][i, j] = out[r[by]][j, i] = r[f"p{i}_{j}"]
@@ -86,10 +103,17 @@ def fit_scorer(rows: DataFrame, features: list[str], label: str, group: str, n_f
     """The best of three candidates by cross-validated R2 (one-feature baseline apart), and each one's value. Rows with a
     null among the features or label don't count.
 
-    The linear ones, every penalty and fold come from one aggregation; only the trees need passes of their own.
+    The linear ones, every penalty and fold come from one aggregation; only the trees need passes of their own. Rows of equal
+    features and fold are one point with their mean label, their number as its weight and their squared differences from the
+    mean, if that leaves far fewer: sums of squares, trees and R2 are those of the rows.
     """
-    data = once(spread(rows.withColumn("_fold", fold_of(group, n_folds)).select(*features, label, "_fold").na.drop()))
-    folds = products(data, [*features, label], "_fold")
+    rows = rows.withColumn("_fold", fold_of(group, n_folds)).select(*features, label, "_fold").na.drop()
+    if n := points_of(rows, [*features, "_fold"]):
+        merged = rows.groupBy(*features, "_fold").agg(F.avg(F.col(label).cast("double")).alias(label), F.count("*").cast("double").alias("_weight"), (F.var_pop(label) * F.count("*")).alias("_within"))
+        data = once(dealt(merged, n))
+    else:
+        data = once(spread(rows).withColumns({"_weight": F.lit(1.0), "_within": F.lit(0.0)}))
+    folds = products(data, [*features, label], "_fold", "_weight", "_within")
     every = sum(folds.values())
 
     def validated(columns: list[int], alpha: float) -> float:
@@ -98,10 +122,20 @@ def fit_scorer(rows: DataFrame, features: list[str], label: str, group: str, n_f
 
     whole = list(range(len(features) + 2))
     alpha = max(ALPHAS, key=lambda a: validated(whole, a))
-    trees = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), GBTRegressor(featuresCol="x", labelCol=label, maxIter=rounds, maxDepth=3, seed=1)])
-    cv = CrossValidator(estimator=trees, estimatorParamMaps=ParamGridBuilder().build(), evaluator=RegressionEvaluator(labelCol=label, metricName="r2"), foldCol="_fold", numFolds=n_folds, parallelism=4).fit(data)
-    quality = {"baseline": validated([0, 1, len(features) + 1], 0.0), "ridge": validated(whole, alpha), "trees": max(cv.avgMetrics)}
-    best = Linear(features, ridge(every, alpha)) if quality["ridge"] >= quality["trees"] else cv.bestModel
+    trees = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), GBTRegressor(featuresCol="x", labelCol=label, weightCol="_weight", maxIter=rounds, maxDepth=3, seed=1)])
+
+    def held_out(fold: int) -> float:
+        scored = trees.fit(data.where(F.col("_fold") != fold)).transform(data.where(F.col("_fold") == fold))
+        missed = scored.agg(F.sum(F.col("_weight") * (F.col(label) - F.col("prediction")) ** 2 + F.col("_within"))).first()[0]
+        total = folds[fold][-1, -1] - folds[fold][0, -1] ** 2 / folds[fold][0, 0]
+        return float(1 - missed / total) if total > 0 else 0.0
+
+    on_session = inheritable_thread_target(data.sparkSession)
+    with ThreadPoolExecutor(n_folds + 1) as pool:
+        of_all = pool.submit(on_session(trees.fit), data)
+        by_trees = float(np.mean(list(pool.map(on_session(held_out), folds))))
+    quality = {"baseline": validated([0, 1, len(features) + 1], 0.0), "ridge": validated(whole, alpha), "trees": by_trees}
+    best = Linear(features, ridge(every, alpha)) if quality["ridge"] >= quality["trees"] else of_all.result()
     return best, quality
 
 
@@ -120,17 +154,23 @@ class Detector:
         return rows.withColumns(clean).withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in self.features})
 
     def fit(self, rows: DataFrame, label: str) -> Detector:
-        data = self._flagged(spread(rows.select(*dict.fromkeys([*self.features, self.group, label])))).withColumn("_fold", fold_of(self.group, self.n_folds)).withColumn("_label", F.col(label).cast("double"))
+        """Rows of equal features, fold and label are one weighted point, if that leaves far fewer."""
+        data = self._flagged(rows.select(*dict.fromkeys([*self.features, self.group, label]))).withColumn("_fold", fold_of(self.group, self.n_folds)).withColumn("_label", F.col(label).cast("double"))
         filled = [f"{f}_filled" for f in self.features]
         prepare = Pipeline(stages=[Imputer(inputCols=self.features, outputCols=filled), VectorAssembler(inputCols=filled + [f"{f}_missing" for f in self.features], outputCol="x")])
         prepared = prepare.fit(data.where("_fold <> 0"))
-        # every round reads the assembled rows, not the source
-        ready = once(prepared.transform(data).select("x", "_label", "_fold"))
-        trees = GBTClassifier(featuresCol="x", labelCol="_label", maxIter=self.rounds, maxDepth=3, seed=self.seed).fit(ready.where("_fold <> 0"))
+        alike = [*self.features, "_fold", "_label"]
+        if n := points_of(data, alike):
+            points = self._flagged(dealt(data.groupBy(*alike).agg(F.count("*").cast("double").alias("_weight")), n))
+        else:
+            points = spread(data).withColumn("_weight", F.lit(1.0))
+        # every round reads the assembled points, not the source
+        ready = once(prepared.transform(points).select("x", "_label", "_fold", "_weight"))
+        trees = GBTClassifier(featuresCol="x", labelCol="_label", weightCol="_weight", maxIter=self.rounds, maxDepth=3, seed=self.seed).fit(ready.where("_fold <> 0"))
         self.model = PipelineModel([prepared, trees])
         held = trees.transform(ready.where("_fold = 0")).withColumn("raw", vector_to_array("probability")[1])
         # one weighted point for each value: ties don't meet in a task
-        points = held.groupBy("raw").agg(F.avg("_label").alias("_label"), F.count("*").cast("double").alias("_weight"))
+        points = held.groupBy("raw").agg((F.sum(F.col("_label") * F.col("_weight")) / F.sum("_weight")).alias("_label"), F.sum("_weight").alias("_weight"))
         self.calibration = IsotonicRegression(featuresCol="raw", labelCol="_label", weightCol="_weight", predictionCol="calibrated").fit(points)
         return self
 
