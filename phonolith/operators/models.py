@@ -49,9 +49,10 @@ def points_of(rows: DataFrame, columns: list[str]) -> int | None:
     return found["points"] if found["all"] > max(SMALL, 2 * found["points"]) else None
 
 
-def dealt(points: DataFrame, n: int) -> DataFrame:
-    """About ``n`` points in tasks of at most about ``TASK_POINTS``."""
-    return points.repartition(-(-n // TASK_POINTS))
+def dealt(points: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """About ``n`` points in tasks of at most about ``TASK_POINTS``, each in one task and place in every run: Spark ML draws the
+    bins of a feature from rows by their places."""
+    return points.repartition(-(-n // TASK_POINTS), *columns).sortWithinPartitions(*columns)
 
 
 def products(rows: DataFrame, columns: list[str], by: str, weight: str | None = None, within: str | None = None) -> dict[int, np.ndarray]:
@@ -108,9 +109,10 @@ def fit_scorer(rows: DataFrame, features: list[str], label: str, group: str, n_f
     mean, if that leaves far fewer: sums of squares, trees and R2 are those of the rows.
     """
     rows = rows.withColumn("_fold", fold_of(group, n_folds)).select(*features, label, "_fold").na.drop()
-    if n := points_of(rows, [*features, "_fold"]):
-        merged = rows.groupBy(*features, "_fold").agg(F.avg(F.col(label).cast("double")).alias(label), F.count("*").cast("double").alias("_weight"), (F.var_pop(label) * F.count("*")).alias("_within"))
-        data = once(dealt(merged, n))
+    alike = [*features, "_fold"]
+    if n := points_of(rows, alike):
+        merged = rows.groupBy(*alike).agg(F.avg(F.col(label).cast("double")).alias(label), F.count("*").cast("double").alias("_weight"), (F.var_pop(label) * F.count("*")).alias("_within"))
+        data = once(dealt(merged, n, alike))
     else:
         data = once(spread(rows).withColumns({"_weight": F.lit(1.0), "_within": F.lit(0.0)}))
     folds = products(data, [*features, label], "_fold", "_weight", "_within")
@@ -161,7 +163,7 @@ class Detector:
         prepared = prepare.fit(data.where("_fold <> 0"))
         alike = [*self.features, "_fold", "_label"]
         if n := points_of(data, alike):
-            points = self._flagged(dealt(data.groupBy(*alike).agg(F.count("*").cast("double").alias("_weight")), n))
+            points = self._flagged(dealt(data.groupBy(*alike).agg(F.count("*").cast("double").alias("_weight")), n, alike))
         else:
             points = spread(data).withColumn("_weight", F.lit(1.0))
         # every round reads the assembled points, not the source

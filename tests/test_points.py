@@ -40,4 +40,5 @@ def test_points_are_spread(spark, monkeypatch):
     assert models.points_of(sounds(spark), ["y"]) is None and models.points_of(sounds(spark).limit(9000), ["a"]) is None
     assert models.points_of(sounds(spark), ["a"]) == pytest.approx(30, abs=4)
     monkeypatch.setattr(models, "TASK_POINTS", 100)
-    assert models.dealt(spark.range(1000).coalesce(1), 950).rdd.getNumPartitions() == 10
+    first, second = (models.dealt(spark.range(1000).repartition(k), 950, ["id"]) for k in (3, 8))
+    assert first.rdd.getNumPartitions() == 10 and first.collect() == second.collect() and {r.id for r in first.collect()} == set(range(1000))
